@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, licenses, mixing, secrets
+from graphloom.llm import chat, decontamination, licenses, mixing, quality, secrets, toxicity
+from graphloom.llm.columns import held_out
 from graphloom.llm.oracles import SQL
-from graphloom.runtime import table
+from graphloom.runtime import materialize, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    stats = materialize(quality.stats_of(docs, ["doc_id"]), "quality-stats")
+    model = quality.fit(stats.where(~out), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score_stats(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +42,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose template it holds."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's score."""
     scanned, name = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -71,8 +86,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.where(~out), table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic"))
+    scored, name = toxicity.score_documents(docs, model, ["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_formatting, op5_secret_scan, op7_source_mixing, op9_license_scan)}
+    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op7_source_mixing, op9_license_scan, op10_toxicity)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
