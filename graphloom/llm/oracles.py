@@ -60,4 +60,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, n_base::BIGINT AS n_base, first_word:
 FROM w JOIN b USING (rid) LEFT JOIN g USING (rid)
 """
 
-SQL = {"op2_chat_formatting": OP2, "op7_source_mixing": OP7, "op9_license_scan": OP9}
+OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS shingles FROM w),
+x AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * shared >= 85 * (an + bn - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+d AS (SELECT doc_id, count(DISTINCT o.shingles) AS n_links FROM (SELECT e.a AS doc_id, list_sort(y.shingles) AS shingles, list_sort(z.shingles) AS own
+  FROM e JOIN s y ON y.doc_id = e.b JOIN s z ON z.doc_id = e.a) o WHERE shingles <> own GROUP BY doc_id)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, m.component_id, coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id LEFT JOIN d ON d.doc_id = s.doc_id
+"""
+
+SQL = {"op8_ngram_jaccard_join": OP8, "op2_chat_formatting": OP2, "op7_source_mixing": OP7, "op9_license_scan": OP9}

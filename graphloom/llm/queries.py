@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, licenses, mixing, quality, secrets, toxicity
+from graphloom.llm import chat, decontamination, jaccard, licenses, mixing, quality, secrets, toxicity
 from graphloom.llm.columns import held_out
 from graphloom.llm.oracles import SQL
 from graphloom.runtime import materialize, table
@@ -68,6 +68,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, class of linked documents and number of linked sets."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     scanned, name = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -96,7 +101,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op7_source_mixing, op9_license_scan, op10_toxicity)
+    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op7_source_mixing, op8_ngram_jaccard_join, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in ops}
 
 
