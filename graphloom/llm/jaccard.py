@@ -124,10 +124,28 @@ def ordered(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.n
 
 
 def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(g, salt, n, key) of every set's prefix shingles; a task names a set once. Common shingles are salted by how common they are."""
+    """(g, salt, n, key) of every set's prefix shingles; a task names a set once.
+
+    Common shingles are salted by how common they are. For those, salt -1 has,
+    of what a task saw, the least and the largest row of each salt and size step:
+    what chains one shingle's salts together. A step is narrower than what a link
+    allows, so its ends stand for it.
+    """
+    width = -np.log(percent / 100) / 2
+
+    def batch(g: list, salt: list, n: list, key: list) -> pa.RecordBatch:
+        columns = [np.concatenate(g).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(n).astype(np.int32), np.concatenate(key)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "salt", "n", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), set()
+        ends: dict[tuple, tuple] = {}
+
+        def across() -> pa.RecordBatch:
+            rows = [(g, *end) for (g, _, _), both in ends.items() for end in set(both)]
+            g, n, key = zip(*rows)
+            return batch([np.array(g, np.uint64)], [np.full(len(g), -1)], [np.array(n)], [np.array(key, np.int64)])
+
         for b in batches:
             g, salt, n, key = [], [], [], []
             for s in _sets(b.column("text"), hashes, size):
@@ -137,17 +155,25 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
                 known.add(k)
                 first, seen = ordered(s, common, counts)
                 m = len(s) - (percent * len(s) + 99) // 100 + 1
+                salts = k % (seen[:m] // RUN + 1)
                 g.append(first[:m])
-                salt.append(k % (seen[:m] // RUN + 1))
+                salt.append(salts)
                 n.append(np.full(m, len(s)))
                 key.append(np.full(m, k))
+                step = int(np.log(len(s)) / width)
+                for x in np.flatnonzero(seen[:m] >= RUN):
+                    at, row = (int(first[x]), int(salts[x]), step), (len(s), k)
+                    low, high = ends.get(at, (row, row))
+                    ends[at] = (min(low, row), max(high, row))
             if len(known) > 500_000:
                 known.clear()
+            if len(ends) > 100_000:
+                yield across()
+                ends.clear()
             if g:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(salt), pa.int32()), pa.array(np.concatenate(n), pa.int32()), pa.array(np.concatenate(key), pa.int64())],
-                    ["g", "salt", "n", "key"],
-                )
+                yield batch(g, salt, n, key)
+        if ends:
+            yield across()
 
     return docs.select("text").mapInArrow(run, "g long, salt int, n int, key long")
 
@@ -156,8 +182,7 @@ def _chains(percent: int):
     """Rows sorted by (g, salt, n, key) -> edges between neighbours in each run of one (g, salt) whose sizes allow a link.
 
     If the sizes of two rows of a run allow a link, so do those of all between
-    them, so neighbours connect them. Ends of salted runs are passed on with g,
-    to be chained across salts.
+    them, so neighbours connect them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,19 +202,9 @@ def _chains(percent: int):
 
 
 def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all sets that share a prefix shingle and whose sizes allow a link.
-
-    Runs of salted shingles are chained within each salt, and one row of each
-    size step of each salt is chained again across salts.
-    """
-    within = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "n", "key").mapInArrow(_chains(percent), "a long, b long")
-    # across salts: a size step is narrower than what a link allows, so one row of a step stands for it
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100) / 2)).cast("int")
-    hot = rows.join(F.broadcast(rows.where("salt > 0").select("g").distinct().limit(COMMON)), "g", "left_semi")
-    steps = hot.groupBy("g", "salt", step.alias("step")).agg(F.min(F.struct("n", "key")).alias("low"), F.max(F.struct("n", "key")).alias("high"))
-    ends = steps.select("g", F.explode(F.array("low", "high")).alias("e")).select("g", F.lit(0).alias("salt"), F.col("e.n").alias("n"), F.col("e.key").alias("key"))
-    across = ends.repartition("g").sortWithinPartitions("g", "salt", "n", "key").mapInArrow(_chains(percent), "a long, b long")
-    return within.union(across).distinct()
+    """Edges (a, b) that connect all sets that share a prefix shingle and whose sizes allow a link."""
+    dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "n", "key")
+    return dealt.mapInArrow(_chains(percent), "a long, b long").distinct()
 
 
 def overlaps(column: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:

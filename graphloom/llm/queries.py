@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, jaccard, licenses, mixing, quality, secrets, toxicity
+from graphloom.llm import chat, decontamination, jaccard, licenses, lm, mixing, quality, secrets, toxicity
 from graphloom.llm.columns import held_out
 from graphloom.llm.oracles import SQL
 from graphloom.runtime import materialize, table
@@ -61,6 +61,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document under smoothed counts and under the network."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 1)
+    learned = docs.where(~out)
+    counts = materialize(lm.word_counts(learned), "lm-counts")
+    vocabulary = lm.Vocabulary(counts)
+    model = lm.train(learned, vocabulary)
+    scored = lm.with_rare_words(lm.score_documents(docs, vocabulary, model), counts, vocabulary)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     planned, name = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -101,7 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op7_source_mixing, op8_ngram_jaccard_join, op9_license_scan, op10_toxicity)
+    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op6_lm_scoring, op7_source_mixing, op8_ngram_jaccard_join, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in ops}
 
 
