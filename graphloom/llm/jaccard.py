@@ -31,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.words import WordHashes, shingles, text_bytes
+from graphloom.llm.columns import fresh
+from graphloom.llm.words import WordHashes, shingles, text_bytes, with_columns
 from graphloom.operators.components import connected_components, forest
 from graphloom.runtime import materialize, small
 
@@ -91,6 +93,19 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, seen long")
 
 
+def with_set_keys(docs: DataFrame, shingle_size: int = 4) -> tuple[DataFrame, str]:
+    """docs with a column of set keys (-1: no words), and that column's name."""
+    name = fresh(docs, "set_key")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            yield with_columns(b, {name: pa.array([_key(s) for s in _sets(b.column("text"), hashes, shingle_size)], pa.int64())})
+
+    return docs.mapInArrow(run, schema), name
+
+
 def common_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that the most texts hold, at most COMMON of them, sorted, and their counts.
 
@@ -275,11 +290,12 @@ def _product(percent: int):
 
 
 def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of docs.
+    """(doc_id, n_shingles, component_id, n_links, set_key, class_key) of every row of docs.
 
     Sets link when 100 * intersection >= percent * union. component_id is the
     smallest doc_id reachable by links, n_links how many distinct other sets the
-    row's set is linked with.
+    row's set is linked with; set_key identifies the row's set (-1: empty) and
+    class_key its class (null: empty).
     """
     sized = materialize(set_sizes(docs, shingle_size), "shingle-sets")
     rows = sized.where("n IS NOT NULL").select("doc_id", "key", "n")
@@ -328,6 +344,7 @@ def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85)
     per_key = per_key.select("key", F.coalesce("component", "key").alias("component"), "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     per_key = materialize(per_key, "set-classes")
     least = per_key.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = per_key.join(least, "component").select(F.col("key").alias("set_key"), "component_id", "n_links")
-    out = rows.join(small(materialize(known, "classes")), F.col("key") == F.col("set_key"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = per_key.join(least, "component").select(F.col("key").alias("of_key"), "component_id", "n_links", F.col("component").alias("class_key"))
+    out = rows.join(small(materialize(known, "classes")), F.col("key") == F.col("of_key"), "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("key").alias("set_key"), "class_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, jaccard, licenses, lm, mixing, quality, secrets, toxicity
+from graphloom.llm import chat, chroma, decontamination, jaccard, licenses, lm, mixing, quality, secrets, toxicity
 from graphloom.llm.columns import held_out
 from graphloom.llm.oracles import SQL
 from graphloom.runtime import materialize, table
@@ -42,6 +42,23 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from all embeddings: classes of equal fingerprints, and alignments of every hundredth with all."""
+    found = chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 100 == 0)
+    return found.select(
+        F.col("id").alias("vec_id"),
+        (F.col("id") % 100 == 0).alias("is_query"),
+        "class_id",
+        "n_codes",
+        "codes_sha256",
+        "n_matches",
+        F.col("best.class_id").alias("best_class"),
+        F.col("best.offset").alias("best_offset"),
+        F.col("best.overlap").alias("best_overlap"),
+        F.col("best.error_rate").alias("best_error_rate"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item whose template it holds."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,7 +99,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size, class of linked documents and number of linked sets."""
-    return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +131,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_quality_classifier, op2_chat_formatting, op4_decontamination, op5_secret_scan, op6_lm_scoring, op7_source_mixing, op8_ngram_jaccard_join, op9_license_scan, op10_toxicity)
+    ops = (op1_quality_classifier, op2_chat_formatting, op3_chroma_fingerprints, op4_decontamination, op5_secret_scan, op6_lm_scoring, op7_source_mixing, op8_ngram_jaccard_join, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in ops}
 
 
