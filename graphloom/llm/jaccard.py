@@ -5,8 +5,10 @@ column for each shingle. Two sets of sizes a <= b at similarity t or more share
 at least t * b shingles, so (in any one order of all shingles) they share one
 among the first b - ceil(t * b) + 1 of each: only those columns can propose a
 pair, and only between rows whose sizes differ by no more than t allows. The
-order puts shingles that many texts hold last. Rows that proposals connect form a
-candidate group. A group's rows are cut, by size, into blocks of bounded
+order puts shingles that many texts hold last. A proposed pair must also pass a bound
+by blocks of columns: no overlap exceeds the sum, over the blocks, of the lesser
+of the two rows' sizes in it. Rows that the pairs left connect form a candidate
+group. A group's rows are cut, by size, into blocks of bounded
 shingle counts, and every pair of blocks whose sizes allow a link is one sparse
 product: overlap counts are accumulated column by column, pairs below the bound
 are discarded and the rest are links, exactly. Components of the links follow.
@@ -42,6 +44,8 @@ from graphloom.runtime import materialize, small
 CHUNK, COMMON = 2_000_000, 500_000
 #: Rows of a common shingle that one task looks at, about.
 RUN = 2_000
+#: Rows up to which all pairs of a run are considered one by one.
+SHORT = 64
 #: Shingles in a block of a group.
 BLOCK = 1 << 19
 
@@ -59,8 +63,18 @@ def _key(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def column_counts(s: np.ndarray) -> bytes | None:
+    """How many of the set's shingles are in each of 256 blocks of columns; None where a count is over 255."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def set_sizes(docs: DataFrame, size: int) -> DataFrame:
-    """For every row: doc_id, key of its set, and n, its size. Also, with null n, how often a chunk of rows holds a shingle that it holds twice or more (key: the shingle, seen: the count)."""
+    """For every row: doc_id, key of its set, and n, its size; sketch: column_counts of the set, where a task first meets it.
+
+    Also, with null n, how often a chunk of rows holds a shingle that it holds twice or more (key: the shingle, seen: the count).
+    """
+    names = ["doc_id", "key", "n", "seen", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, total = WordHashes(), [], 0
@@ -69,19 +83,22 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             values, counts = values[counts > 1].view(np.int64), counts[counts > 1]
             none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(values), none, pa.array(counts)], ["doc_id", "key", "n", "seen"])
+            return pa.RecordBatch.from_arrays([none, pa.array(values), none, pa.array(counts), pa.nulls(len(values), pa.binary())], names)
 
         known: set[int] = set()
         for b in batches:
             sets = _sets(b.column("text"), hashes, size)
             keys = [_key(s) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), n, pa.nulls(len(n), pa.int64())], ["doc_id", "key", "n", "seen"])
+            sketches = []
             for k, s in zip(keys, sets):
-                if k not in known:
+                sketches.append(None)
+                if k not in known and k >= 0:
                     known.add(k)
                     held.append(s)
                     total += len(s)
+                    sketches[-1] = column_counts(s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), n, pa.nulls(len(n), pa.int64()), pa.array(sketches, pa.binary())], names)
             if total > CHUNK:
                 yield counted()
                 held, total = [], 0
@@ -90,7 +107,7 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
         if total:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, seen long, sketch binary")
 
 
 def with_set_keys(docs: DataFrame, shingle_size: int = 4) -> tuple[DataFrame, str]:
@@ -193,33 +210,77 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
     return docs.select("text").mapInArrow(run, "g long, salt int, n int, key long")
 
 
-def _chains(percent: int):
-    """Rows sorted by (g, salt, n, key) -> edges between neighbours in each run of one (g, salt) whose sizes allow a link.
+def _runs(percent: int):
+    """Rows sorted by (g, salt, n, key) -> edges (a, b, sure) within runs of one (g, salt), between rows whose sizes allow a link.
 
-    If the sizes of two rows of a run allow a link, so do those of all between
-    them, so neighbours connect them.
+    Short runs give all such pairs, to be bounded further. In longer ones
+    neighbours are chained: if the sizes of two rows allow a link, so do those of
+    all between them, so neighbours connect them.
     """
 
+    def edges(g: np.ndarray, salt: np.ndarray, n: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        run = np.cumsum(np.r_[0, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+        long = (np.bincount(run) > SHORT)[run]
+        found = [(np.zeros((0, 2), np.int64), True)]
+        for lag in range(1, SHORT):
+            same = run[lag:] == run[:-lag]
+            if not same.any():
+                break
+            same &= (key[lag:] != key[:-lag]) & (100 * n[:-lag] >= percent * n[lag:])
+            for kind in (False, True) if lag == 1 else (False,):
+                some = same & (long[lag:] == kind)
+                pairs = np.stack([key[:-lag][some], key[lag:][some]], 1)
+                found.append((np.unique(np.sort(pairs, 1), axis=0), kind))
+        pairs = np.concatenate([p for p, _ in found])
+        sure = np.concatenate([np.full(len(p), kind) for p, kind in found])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sure)], ["a", "b", "sure"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        left = None
         for b in batches:
-            g, salt, n, key = (np.asarray(b.column(c)).astype(np.int64) for c in ("g", "salt", "n", "key"))
-            if not len(g):
+            rows = [np.asarray(b.column(c)).astype(np.int64) for c in ("g", "salt", "n", "key")]
+            if left is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(left, rows)]
+            if not len(rows[0]):
                 continue
-            if last is not None:
-                g, salt, n, key = (np.append(x, y) for x, y in zip(last, (g, salt, n, key)))
-            last = (g[-1], salt[-1], n[-1], key[-1])
-            same = (g[1:] == g[:-1]) & (salt[1:] == salt[:-1]) & (key[1:] != key[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            pairs = np.unique(np.stack([key[:-1][same], key[1:][same]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            # the last run may go on in the next batch
+            cut = int(np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0])
+            left = [x[cut:] for x in rows]
+            if cut:
+                yield edges(*(x[:cut] for x in rows))
+        if left is not None:
+            yield edges(*left)
+
+    return run
+
+
+def _bounded(percent: int):
+    """Keeps pairs that their sizes in each block of columns allow to link: no overlap exceeds the sum of the lesser sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                most = int(np.minimum(x, y).sum(dtype=np.int64))
+                keep.append(100 * most >= percent * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - most))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all sets that share a prefix shingle and whose sizes allow a link."""
+def candidate_edges(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all sets that share a prefix shingle and whose sizes, whole and by blocks of columns, allow a link."""
     dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "n", "key")
-    return dealt.mapInArrow(_chains(percent), "a long, b long").distinct()
+    pairs = materialize(dealt.mapInArrow(_runs(percent), "a long, b long, sure boolean").distinct(), "pairs")
+    doubtful = pairs.where("NOT sure").select("a", "b")
+    ends = doubtful.select(F.col("a").alias("key")).union(doubtful.select("b")).distinct()
+    known = materialize(sketches.join(ends, "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch")), "sketches")
+    both = doubtful.join(known.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a", "left").join(known.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b", "left")
+    return pairs.where("sure").select("a", "b").union(both.mapInArrow(_bounded(percent), "a long, b long"))
 
 
 def overlaps(column: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -300,7 +361,7 @@ def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85)
     sized = materialize(set_sizes(docs, shingle_size), "shingle-sets")
     rows = sized.where("n IS NOT NULL").select("doc_id", "key", "n")
     common, counts = common_shingles(sized.where("n IS NULL").select("key", "seen"))
-    edges = materialize(candidate_edges(proposals(docs, shingle_size, percent, common, counts), percent), "candidates")
+    edges = materialize(candidate_edges(proposals(docs, shingle_size, percent, common, counts), sized.where("sketch IS NOT NULL").select("key", "sketch"), percent), "candidates")
     groups = connected_components(edges)
     groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
 
