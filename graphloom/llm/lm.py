@@ -236,22 +236,28 @@ class Gru:
 
 
 class Encoder(dict):
-    """Word -> (id, listed count or -1). Starts over once it holds `limit` words beyond the listed."""
+    """Word -> row of tables of ids and of logarithms of listed counts (nan: not listed). Starts over once it holds `limit` words."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         super().__init__()
         self.limit, self.listed, self.heads = limit, vocabulary.listed, len(vocabulary.head)
+        self.ids, self.logs = np.empty(1 << 14, np.int32), np.empty(1 << 14)
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
+        row = len(self)
+        if row == len(self.ids):
+            self.ids, self.logs = np.concatenate([self.ids] * 2), np.concatenate([self.logs] * 2)
         rank, c = self.listed.get(word, (HEAD, -1))
-        self[word] = found = (rank if rank < self.heads else HEAD + tail_class(word), c)
-        return found
+        self.ids[row] = rank if rank < self.heads else HEAD + tail_class(word)
+        self.logs[row] = np.log10(c + 0.5) if c >= 0 else np.nan
+        self[word] = row
+        return row
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.limit:
             self.clear()
-        pairs = np.array(list(map(self.__getitem__, words)), np.int32)
-        return pairs[:, 0], pairs[:, 1]
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.ids[rows], self.logs[rows]
 
 
 def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
@@ -318,7 +324,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([own.pack()], pa.binary())], ["weight", "p"])
 
         added, weight = 0, 0
-        for r in sample.mapInArrow(walk, "weight long, p binary").toLocalIterator():
+        for r in sample.mapInArrow(walk, "weight long, p binary").collect():  # at most MOST_REPLICAS rows
             added = added + r["weight"] * np.frombuffer(r["p"], np.float32).astype(np.float64)
             weight += r["weight"]
         if weight:
@@ -376,11 +382,10 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, model: Gru) -> Data
             doc_ids.append(b.column("doc_id"))
             for t in text_bytes(b.column("text")):
                 words = tokens(t)
-                own, c = encoder.of(words)
-                tail, listed = own >= HEAD, c >= 0
-                smoothed = np.log10(c[listed] + 0.5).sum()
-                in_class = np.log10(c[tail & listed] + 0.5).sum() - log_mass[own[tail] - HEAD].sum()
-                rows.append((len(words), int((c[listed] > 0).sum()), smoothed - len(words) * whole, in_class))
+                own, logs = encoder.of(words)
+                tail, listed = own >= HEAD, ~np.isnan(logs)
+                in_class = logs[tail & listed].sum() - log_mass[own[tail] - HEAD].sum()
+                rows.append((len(words), int(listed.sum()), logs[listed].sum() - len(words) * whole, in_class))
                 unlisted.append([words[i] for i in np.flatnonzero(~listed)])
                 ids.append(own)
                 size += len(words)
