@@ -44,7 +44,7 @@ EMBED, STATE, WINDOW = 24, 24, 24
 #: Words whose counts are sent with the scoring function, at most.
 LISTED = 200_000
 #: Share of the training documents that the network walks, and how many it walks at least where there are so many.
-SAMPLE, LEAST = 1 / 16, 2_000
+SAMPLE, LEAST = 1 / 20, 2_000
 ROUNDS, LEARNING_RATE, LANES = 2, 4e-3, 48
 #: Training documents to a replica, about, and the most replicas.
 REPLICA, MOST_REPLICAS = 600, 48
