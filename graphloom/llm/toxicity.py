@@ -35,7 +35,7 @@ from graphloom.runtime import materialize
 #: At most so many labelled texts, in expectation, are learned from: a sample by hash where there are more.
 MAX_TRAIN = 19_000
 PARTS, ROUNDS = 1, 4
-BITS, STEM = 20, 6
+BITS, STEM = 19, 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 
 #: ASCII to what words are split by: letters stay (lower-cased), all else becomes a space.
@@ -144,20 +144,20 @@ def _round(texts: DataFrame, start: tuple | None, relaxed: bool) -> tuple | None
         if seen:
             at = np.flatnonzero(ftrl.n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seen]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([ftrl.z[at].tobytes()], pa.binary()), pa.array([ftrl.n[at].tobytes()], pa.binary())],
+                [pa.array([seen]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([ftrl.z[at].astype(np.float32).tobytes()], pa.binary()), pa.array([ftrl.n[at].astype(np.float32).tobytes()], pa.binary())],
                 ["seen", "at", "z", "n"],
             )
 
     z, n, seen = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), 0
     for r in sorted(texts.mapInArrow(walk, "seen long, at binary, z binary, n binary").collect(), key=lambda r: (r["seen"], r["at"])):
         at = np.frombuffer(r["at"], np.int32)
-        z[at] += r["seen"] * np.frombuffer(r["z"])
-        n[at] += r["seen"] * np.frombuffer(r["n"])
+        z[at] += r["seen"] * np.frombuffer(r["z"], np.float32)
+        n[at] += r["seen"] * np.frombuffer(r["n"], np.float32)
         seen += r["seen"]
     if not seen:
         return None
     at = np.flatnonzero(n)
-    return at.astype(np.int32), z[at] / seen, n[at] / seen
+    return at.astype(np.int32), (z[at] / seen).astype(np.float32), (n[at] / seen).astype(np.float32)
 
 
 def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None) -> tuple[DataFrame, str]:
