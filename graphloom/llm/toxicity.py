@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     texts = materialize(docs.join(sample, "doc_id").select("text", "y", "h").repartition(parts, "h").sortWithinPartitions("h", "y", "text"), "toxicity-sample")
     state = None
     for k in range(ROUNDS + 1):
-        state = _round(texts, state, relaxed=k == ROUNDS)
+        state = _round(texts, state, k == ROUNDS, parts)
         if state is None:
             return Toxicity(None)
     full = Ftrl()
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     return Toxicity(full)
 
 
-def _round(texts: DataFrame, start: tuple | None, relaxed: bool) -> tuple | None:
+def _round(texts: DataFrame, start: tuple | None, relaxed: bool, parts: int) -> tuple | None:
     """One walk over the sample: buckets with their z and n."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _round(texts: DataFrame, start: tuple | None, relaxed: bool) -> tuple | None
             )
 
     z, n, seen = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), 0
-    for r in sorted(texts.mapInArrow(walk, "seen long, at binary, z binary, n binary").collect(), key=lambda r: (r["seen"], r["at"])):
+    for r in sorted(texts.coalesce(parts).mapInArrow(walk, "seen long, at binary, z binary, n binary").collect(), key=lambda r: (r["seen"], r["at"])):
         at = np.frombuffer(r["at"], np.int32)
         z[at] += r["seen"] * np.frombuffer(r["z"], np.float32)
         n[at] += r["seen"] * np.frombuffer(r["n"], np.float32)
