@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import ident_tokens, is_test_path, prose_tokens
+from graphloom.operators.ordered import running
 from graphloom.runtime import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -79,9 +80,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def rank_signals(scores: DataFrame) -> DataFrame:
-    """(signal, id, score) -> the same with rank, from 1; signals without a positive score are left out."""
+    """(signal, id, score) -> the same with rank, from 1; signals without a positive score are left out. scores should be a table."""
     top = scores.groupBy("signal").agg(F.max("score").alias("top")).where("top > 0").select("signal")
-    return scores.join(F.broadcast(top), "signal", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("score"), "id")))
+    kept = scores.join(F.broadcast(top), "signal", "left_semi").select("signal", "id", "score")
+    return running(kept, ["signal"], [F.desc("score"), "id"]).withColumnRenamed("place", "rank")
 
 
 def fuse(scores: DataFrame, k: int = RRF_K) -> DataFrame:

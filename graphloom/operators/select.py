@@ -6,25 +6,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordered import running
+from graphloom.runtime import materialize
+
 
 def prefix_budget(rows: DataFrame, group: list[str], order: list, tokens: str, budget: int) -> DataFrame:
-    """Rows of each group before the first one at which the running sum of tokens exceeds the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = F.sum(tokens).over(w)
-    return rows.withColumn("used", used).where(F.col("used") <= budget)
+    """Rows of each group before the first one at which the running sum of tokens exceeds the budget. Tokens are 0 or more."""
+    return running(rows, group, order, tokens).drop("place").where(F.col("used") <= budget)
 
 
 def knapsack(rows: DataFrame, group: list[str], order: list[str], tokens: str, budget: int, key: str = "id") -> DataFrame:
-    """(group, key, position): greedy choice in order; a row that doesn't fit is skipped, later smaller ones may fit."""
-    listed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(tokens).cast("long").alias("t"), F.col(key).alias("k")))).alias("rows"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() AS array<{rows.schema[key].dataType.simpleString()}>)").alias("kept"))
+    """(group, key, position): greedy choice in order; a row that doesn't fit is skipped, later smaller ones may fit.
+
+    Once a row of some size was skipped, no later row of that size fits, so only
+    the first budget / size rows of each size can be kept: a group's fold sees
+    budget * (1 + ln budget) rows at most, whatever the group's length. Rows
+    without tokens always fit and aren't folded; null and negative counts never do.
+    """
+    size = F.col(tokens).cast("long")
+    sized = rows.select(*dict.fromkeys([*group, *order, key]), size.alias("_size")).where((F.col("_size") >= 0) & (F.col("_size") <= budget))
+    sized = materialize(sized, "knapsack")
+    first = running(sized.where("_size > 0"), [*group, "_size"], order).where(F.col("place") <= F.floor(F.lit(budget) / F.col("_size")))
+    listed = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col("_size"), F.col(key).alias("_key")))).alias("rows"))
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() AS array<int>)").alias("kept"))
     fold = F.aggregate(
-        "rows",
+        F.sequence(F.lit(0), F.size("rows") - 1),
         empty,
-        lambda a, r: F.when(a["used"] + r["t"] <= budget, F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["kept"], F.array(r["k"])).alias("kept"))).otherwise(a),
+        lambda a, i: F.when(
+            a["used"] + F.get(F.col("rows"), i)["_size"] <= budget,
+            F.struct((a["used"] + F.get(F.col("rows"), i)["_size"]).alias("used"), F.concat(a["kept"], F.array(i)).alias("kept")),
+        ).otherwise(a),
         lambda a: a["kept"],
     )
-    return listed.select(*group, F.posexplode(fold).alias("position", key))
+    chosen = listed.select(*group, F.explode(F.transform(fold, lambda i: F.get(F.col("rows"), i))).alias("row"))
+    names = list(dict.fromkeys([*group, *order, key]))
+    chosen = chosen.select(*[F.col(c) if c in group else F.col("row._key").alias(c) if c == key else F.col(f"row.{c}") for c in names])
+    kept = materialize(chosen.unionByName(sized.where("_size = 0").select(*names)), "knapsack")
+    return running(kept, group, order).select(*group, (F.col("place") - 1).alias("position"), key)
 
 
 def round_robin(rows: pd.DataFrame, budget: int, per_directory: int = 3, share: float = 0.6) -> list:
@@ -55,11 +73,16 @@ def round_robin(rows: pd.DataFrame, budget: int, per_directory: int = 3, share:
 def select_round_robin(scored: DataFrame, budget: int, group: str | None = None) -> DataFrame:
     """(id, directory, score, tokens) -> (id, position), for each group if one is named.
 
-    No directory gives more rows than it pops in as many rounds as have kept any,
-    but how many that is depends on all others, so a group's fold is one task on
-    narrow rows: run it after eligibility.
+    Every round but the last keeps a row, and a directory keeps three at most, so
+    there are 3 * directories + 1 rounds at most. Each takes one row of a
+    directory: no row beyond that place is ever looked at, and the fold sees the
+    square of the number of directories, not of rows.
     """
-    by = scored.withColumn("fold", F.lit(0) if group is None else F.col(group))
+    by = scored.withColumn("fold", F.lit(0) if group is None else F.col(group)).select("fold", "id", "directory", "score", "tokens")
+    by = materialize(by, "round-robin")
+    rounds = by.groupBy("fold").agg((F.countDistinct("directory") * 3 + 1).alias("rounds"))
+    rounds = rounds.withColumnRenamed("fold", "of")
+    by = running(by, ["fold", "directory"], [F.desc("score"), "id"]).join(rounds, F.col("fold").eqNullSafe(F.col("of"))).where("place <= rounds")
     kind = by.schema["fold"].dataType.simpleString()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -73,10 +96,10 @@ def select_round_robin(scored: DataFrame, budget: int, group: str | None = None)
 
 
 def codebase_map(nodes: DataFrame, header: int, budget: int = 500, per_file: int = 3) -> DataFrame:
-    """(file, name, position): up to three nodes of each file by line, files in order, until a running budget is exceeded."""
-    top = nodes.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("line_start", "id"))).where(F.col("place") <= per_file)
-    w = Window.orderBy("file", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return top.withColumn("used", F.lit(header) + F.sum("tokens").over(w)).where(F.col("used") <= budget).select("file", "id", "place", "used")
+    """(file, id, place, used): up to three nodes of each file by line, files in order, until a running budget is exceeded."""
+    top = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("line_start", "id"))).where(F.col("nth") <= per_file)
+    top = running(materialize(top, "map"), [], ["file", "nth"], "tokens").withColumn("used", F.lit(header) + F.col("used"))
+    return top.where(F.col("used") <= budget).select("file", "id", F.col("nth").alias("place"), "used")
 
 
 def recent(rows: DataFrame, key: str, item: str, order: str, limit: int = 250) -> DataFrame:

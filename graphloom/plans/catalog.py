@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text
 from graphloom.operators import graph, scoring, select
-from graphloom.runtime import table
+from graphloom.runtime import materialize, table
+from graphloom.sources import code
 
 QUERY = "attion of_the ThandbleReading with heed"
 PATH_SQL = "CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE 'lib/' END || source || '/' || doc_id || '.py'"
@@ -149,7 +150,7 @@ def _signals(spark, d) -> DataFrame:
     tfidf = scoring.tfidf(docs, QUERY).select(F.lit("tfidf").alias("signal"), "id", F.round("score", 6).alias("score"))
     degree = graph.degrees(table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_custkey").alias("target"))).select("id", F.col("degree").cast("double").alias("score"))
     degree = docs.select("id").join(degree, "id", "left").select(F.lit("degree").alias("signal"), "id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return bm25.union(tfidf).union(degree)
+    return materialize(bm25.union(tfidf).union(degree), "signals")
 
 
 SIGNALS_CTE = f"""{_bm25_sql(ONE)}, {TFIDF_CTE},
@@ -324,7 +325,11 @@ def prefix_budget(spark, d):
     return select.prefix_budget(table(spark, d, "documents"), ["source"], ["doc_id"], "n_chars", 20_000).select("source", "doc_id", "used")
 
 
-@query()
+@query(
+    "WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), r AS (SELECT DISTINCT source, 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS doc_id FROM documents UNION ALL "
+    "SELECT d.source, d.p, CASE WHEN used + n_chars <= 20000 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 20000 THEN d.doc_id END FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.p = r.p + 1) "
+    "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, doc_id FROM r WHERE doc_id IS NOT NULL"
+)
 def knapsack_select(spark, d):
     return select.knapsack(table(spark, d, "documents"), ["source"], ["doc_id"], "n_chars", 20_000, "doc_id")
 
@@ -388,11 +393,8 @@ def recent_fifo(spark, d):
 
 @query("WITH f AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents), b AS (SELECT batch, count(*) AS n FROM f GROUP BY batch) SELECT batch, (sum(n) OVER (ORDER BY batch))::BIGINT AS nodes_so_far, round(least((batch * 50 + 50) / (SELECT count(*) FROM documents)::DOUBLE, 1), 6) AS progress FROM b")
 def batch_progress(spark, d):
-    files = table(spark, d, "documents").select("doc_id", F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 50).alias("batch"))
-    per = files.groupBy("batch").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    so_far = F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return per.crossJoin(F.broadcast(total)).select("batch", so_far.alias("nodes_so_far"), F.round(F.least((F.col("batch") * 50 + 50) / F.col("total"), F.lit(1.0)), 6).alias("progress"))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"))
+    return code.progress(files).select("batch", F.col("files_parsed").alias("nodes_so_far"), F.round("progress", 6).alias("progress"))
 
 
 @query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS hash, substr(text, 1, 50000) = text AS whole FROM documents")

@@ -13,11 +13,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import capped
 from graphloom.operators.graph import resolve_imports, resolve_names
+from graphloom.operators.ordered import running
+from graphloom.runtime import materialize
 
 #: Directories that hold no hand-written source.
 SKIPPED = (
@@ -154,8 +156,7 @@ def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def progress(files: DataFrame, batch: int = 50) -> DataFrame:
     """(batch, files_parsed, progress): running counts over batches of files in path order."""
-    numbered = files.select("file", F.floor((F.row_number().over(Window.orderBy("file")) - 1) / batch).alias("batch"))
-    per = numbered.groupBy("batch").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.orderBy("batch"))
-    total = F.sum("n").over(Window.partitionBy())
-    return per.select("batch", so_far.alias("files_parsed"), (so_far / total).alias("progress"))
+    placed = running(materialize(files.select("file"), "files"), [], ["file"])
+    per = placed.groupBy(F.floor((F.col("place") - 1) / batch).alias("batch")).agg(F.max("place").alias("files_parsed"))
+    total = per.agg(F.max("files_parsed").alias("total"))
+    return per.crossJoin(F.broadcast(total)).select("batch", "files_parsed", (F.col("files_parsed") / F.col("total")).alias("progress"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text
-from graphloom.operators import components, graph, scoring, select
+from graphloom.operators import components, graph, ordered, scoring, select
 
 
 def values(df, *columns):
@@ -117,3 +117,37 @@ def test_entry_has_no_need_of_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 35
+
+
+def test_running_over_hot_and_null_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 2 else "abc"[min(g, 2)], i, int(w)) for i, (g, w) in enumerate(zip(rng.choice([0, 0, 0, 0, 1, 2], 300), rng.integers(0, 9, 300)))]
+    df = spark.createDataFrame(rows, "g string, id long, w long")
+    want, place, used = set(), {}, {}
+    for g, i, w in sorted(rows, key=lambda r: -r[1]):
+        place[g], used[g] = place.get(g, 0) + 1, used.get(g, 0) + w
+        want.add((g, i, place[g], used[g]))
+    assert {(r["g"], r["id"], r["place"], r["used"]) for r in ordered.running(df, ["g"], [F.desc("id")], "w").collect()} == want
+    assert ordered.running(df.limit(0), ["g"], ["id"]).count() == 0
+    assert [r["used"] for r in ordered.running(df, [], ["id"], "w").orderBy("id").collect()] == np.cumsum([r[2] for r in rows]).tolist()
+
+
+def test_knapsack_against_plain_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [("gh"[int(g)], i, int(t)) for i, (g, t) in enumerate(zip(rng.random(400) < 0.2, rng.integers(0, 60, 400)))] + [("g", 900, None), ("n", 901, 500)]
+    want = set()
+    for g in "ghn":
+        left, kept = 100, []
+        for _, i, t in [r for r in rows if r[0] == g]:
+            if t is not None and t <= left:
+                left, kept = left - t, [*kept, i]
+        want |= {(g, at, i) for at, i in enumerate(kept)}
+    assert {tuple(r) for r in select.knapsack(spark.createDataFrame(rows, "g string, id long, t long"), ["g"], ["id"], "t", 100).collect()} == want
+
+
+def test_round_robin_on_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "abcd"[int(rng.integers(0, 4))], float(s), int(t)) for i, (s, t) in enumerate(zip(rng.random(120).round(2), rng.integers(1, 90, 120)))]
+    plain = pd.DataFrame(rows, columns=["id", "directory", "score", "tokens"]).sort_values(["score", "id"], ascending=[False, True])
+    got = select.select_round_robin(spark.createDataFrame(rows, "id long, directory string, score double, tokens long"), 100)
+    assert [r["id"] for r in got.orderBy("position").collect()] == select.round_robin(plain, 100)
