@@ -61,10 +61,15 @@ def resolve_names(refs: DataFrame, nodes: DataFrame, first: int = 3) -> DataFram
     return refs.join(ranked, F.col("callee") == F.col("name")).select("source", "target", "type", "seq", "place")
 
 
+#: What may follow a dotted import's path, and a name as it stands.
+IMPORT_ENDS = (".py", ".js", ".ts", "/index.js", "/index.ts", "/__init__.py")
+BARE_ENDS = (".py", ".js")
+
+
 def import_candidates(name) -> list:
-    """Paths that a dotted import may mean."""
+    """Paths that an import may mean."""
     path = F.replace(name, F.lit("."), F.lit("/"))
-    return [F.concat(path, F.lit(end)) for end in (".py", ".js", ".ts", "/index.js", "/index.ts", "/__init__.py", ".jsx", ".tsx")]
+    return [F.concat(path, F.lit(end)) for end in IMPORT_ENDS] + [F.concat(name, F.lit(end)) for end in BARE_ENDS]
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,6 +83,31 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return asked.join(suffixes, "suffix").groupBy("source", "import_name").agg(F.min_by("id", "seq").alias("target"))
 
 
+def resolve_import_prefixes(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, import_name) -> (source, import_name, target): the first file, by seq, whose name begins with the import's last part.
+
+    The prefixes that are asked for are few and the files many, so each prefix's
+    first file is found before the join: every prefix of a file's name is a key,
+    as long as some import's last part, and combines before the shuffle.
+    """
+    asked = imports.select("source", "import_name", F.element_at(F.split("import_name", r"\.", -1), -1).alias("prefix"))
+    ends = F.transform(F.sequence(F.lit(0), F.length("name")), lambda i: F.substring("name", 1, i))
+    first = files.select("id", "seq", F.explode(ends).alias("prefix")).join(asked.select("prefix").distinct(), "prefix", "left_semi")
+    first = first.groupBy("prefix").agg(F.min_by("id", "seq").alias("target"))
+    return asked.join(first, "prefix").select("source", "import_name", "target")
+
+
+def edge_index(edges: DataFrame, own: str = "source", other: str = "target") -> DataFrame:
+    """(id, links): the other ends of each node's edges in edge order, repeats kept. For nodes of bounded degree."""
+    listed = F.sort_array(F.collect_list(F.struct("seq", F.col(other).alias("other"))))
+    return edges.groupBy(F.col(own).alias("id")).agg(F.transform(listed, lambda x: x["other"]).alias("links"))
+
+
+def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
+    """Edges that touch a node."""
+    return edges.where((F.col("source") == node) | (F.col("target") == node))
+
+
 def summaries(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """(id, summary): name, file, type and the short names of up to five callers and callees, by edge order."""
 

@@ -30,7 +30,7 @@ def knapsack(rows: DataFrame, group: list[str], order: list[str], tokens: str, b
     listed = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col("_size"), F.col(key).alias("_key")))).alias("rows"))
     empty = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() AS array<int>)").alias("kept"))
     fold = F.aggregate(
-        F.sequence(F.lit(0), F.size("rows") - 1),
+        F.transform("rows", lambda _, i: i),
         empty,
         lambda a, i: F.when(
             a["used"] + F.get(F.col("rows"), i)["_size"] <= budget,

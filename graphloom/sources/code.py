@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import capped
-from graphloom.operators.graph import resolve_imports, resolve_names
+from graphloom.operators.graph import resolve_import_prefixes, resolve_imports, resolve_names
 from graphloom.operators.ordered import running
 from graphloom.runtime import materialize
 
@@ -126,7 +126,7 @@ def parse(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError):
                     found, calls, imports = [], [], []
                 ids = {d: f"{d[0]}:{file}:{d[1]}:{d[2] - 1}" for d in found}
-                rows.append((file, "node", f"file:{file}", "file", file, 1, len(lines), "" if found else text, None))
+                rows.append((file, "node", f"file:{file}", "file", file.rsplit("/", 1)[-1], 1, len(lines), "" if found else text, None))
                 rows += [(file, "node", ids[d], d[0], d[1], d[2], d[3], "\n".join(lines[d[2] - 1 : d[3]]), None) for d in found]
                 rows += [(file, "call", ids[d], "calls", None, 0, 0, None, callee) for d, callee in calls]
                 rows += [(file, "import", f"file:{file}", "imports", None, 0, 0, None, name) for name in imports]
@@ -147,7 +147,9 @@ def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = parsed.where("kind = 'call'").select(F.col("id").alias("source"), "callee", "type", F.lit(0).alias("seq"))
     called = resolve_names(calls, nodes, 3).select("source", "target", "type")
     imports = parsed.where("kind = 'import'").select(F.col("id").alias("source"), F.col("callee").alias("import_name")).distinct()
-    by_path = resolve_imports(imports, nodes.where("type = 'file'"))
+    in_files = nodes.where("type = 'file'")
+    by_path = resolve_imports(imports, in_files)
+    by_path = by_path.union(resolve_import_prefixes(imports.join(by_path, ["source", "import_name"], "left_anti"), in_files))
     left = imports.join(by_path, ["source", "import_name"], "left_anti").select("source", F.col("import_name").alias("callee"), F.lit("imports").alias("type"), F.lit(0).alias("seq"))
     by_name = resolve_names(left, nodes, 1).select("source", "target", "type")
     imported = by_path.select("source", "target", F.lit("imports").alias("type")).union(by_name)
