@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import scrub, text
-from graphloom.operators import graph, scoring, select
+from graphloom.functions import scrub, text, tokens
+from graphloom.operators import graph, render, retrieval, scoring, select
 from graphloom.runtime import materialize, table
 from graphloom.sources import code
 
@@ -402,6 +402,126 @@ def content_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", text.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), (text.capped(F.col("text")) == F.col("text")).alias("whole"))
 
 
+def _coded(spark, d) -> DataFrame:
+    """Documents as definitions: name from the language, file from id and source."""
+    kind = F.when(F.col("doc_id") % 4 == 0, "class").when(F.col("doc_id") % 4 == 1, "constant").otherwise("function")
+    start = (F.col("doc_id") % 90 + 1).cast("int")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), kind.alias("type"), F.concat("lang", F.lit("_"), "source").alias("name"), _path().alias("file"), start.alias("line_start"), (start + 5).alias("line_end"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+
+
+CODED = f"SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'class' WHEN doc_id % 4 = 1 THEN 'constant' ELSE 'function' END AS type, lang || '_' || source AS name, {PATH_SQL} AS file, doc_id % 90 + 1 AS line_start, text AS content FROM documents"
+
+
+def _supplies(spark, d) -> DataFrame:
+    """Edges between documents: an order links the document of its customer's id with that of its own."""
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.lit("calls").alias("type"), F.col("o_orderkey").alias("seq"))
+    return graph.restrict_edges(edges, ids).select("source", "target", "type", "seq")
+
+
+SUPPLIES = "SELECT o_custkey AS source, o_orderkey AS target FROM orders WHERE o_custkey IN (SELECT doc_id FROM documents) AND o_orderkey IN (SELECT doc_id FROM documents)"
+SUMMARY = f"""c AS ({CODED}), e AS ({SUPPLIES}),
+callers AS (SELECT target AS id, ' [callers:' || string_agg(source::VARCHAR, ',' ORDER BY target) || ']' AS s FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY target) AS place FROM e) WHERE place <= 5 GROUP BY target),
+calls AS (SELECT source AS id, ' [calls:' || string_agg(target::VARCHAR, ',' ORDER BY target) || ']' AS s FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS place FROM e) WHERE place <= 5 GROUP BY source),
+lines AS (SELECT c.id, name || ' ' || file || ' ' || type || coalesce(callers.s, '') || coalesce(calls.s, '') AS summary FROM c LEFT JOIN callers ON callers.id = c.id LEFT JOIN calls ON calls.id = c.id)"""
+
+
+@query(f"WITH {SUMMARY} SELECT id AS doc_id, summary FROM lines")
+def node_summaries(spark, d):
+    nodes = _coded(spark, d)
+    return graph.summaries(nodes.withColumn("id", F.col("id").cast("string")), _supplies(spark, d).withColumn("source", F.col("source").cast("string")).withColumn("target", F.col("target").cast("string"))).select(F.col("id").cast("long").alias("doc_id"), "summary")
+
+
+ABOUT = "function lib src3 class"
+
+
+@query(f"WITH {SUMMARY}, " + _bm25_sql(f"SELECT 0 AS query_id, '{ABOUT}' AS text").replace("SELECT doc_id AS id, " + IDENT.format(t="text") + " AS ts FROM documents", "SELECT id, " + IDENT.format(t="summary") + " AS ts FROM lines") + " SELECT d.id AS doc_id, round(coalesce(score, 0), 5) AS score FROM d LEFT JOIN bm25 USING (id)")
+def bm25_summary(spark, d):
+    lines = materialize(node_summaries(spark, d).select(F.col("doc_id").alias("id"), F.col("summary").alias("text")), "summaries")
+    return lines.select("id").join(scoring.bm25(lines, _asked(spark, ABOUT)), "id", "left").select(F.col("id").alias("doc_id"), F.round(F.coalesce("score", F.lit(0.0)), 5).alias("score"))
+
+
+@query(f"WITH c AS ({CODED}) SELECT id, file FROM c WHERE file NOT LIKE 'tests/%'")
+def test_filter(spark, d):
+    return retrieval.without_tests(_coded(spark, d), QUERY).select("id", "file")
+
+
+@query("WITH k AS (SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT id FROM k UNION ALL SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM k)")
+def exclude_returned(spark, d):
+    return retrieval.without(_coded(spark, d), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))).select("id")
+
+
+@query(f"WITH {SIGNALS_CTE}, {ELIGIBLE} SELECT CASE WHEN top < 0.05e0 THEN 'low' WHEN top >= 0.5e0 THEN 'high' ELSE 'medium' END AS label, round(top, 6) AS confidence FROM (SELECT max(score) AS top FROM tfidf)")
+def confidence_label(spark, d):
+    top = scoring.tfidf(_docs(spark, d), QUERY).agg(F.max("score").alias("top"))
+    return top.select(scoring.confidence(F.col("top")).alias("label"), F.round("top", 6).alias("confidence"))
+
+
+@query("WITH r AS (SELECT doc_id AS id, n_chars::DOUBLE AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) SELECT * FROM r WHERE rank <= greatest(10, (SELECT count(*) FROM documents) // 20)")
+def highlight_top(spark, d):
+    return retrieval.highlighted(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")))
+
+
+@query(
+    f"WITH e AS ({EDGES_SQL}), g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id) SELECT id, degree, round(CASE WHEN id LIKE 'r%' THEN greatest(9 + 16 * (degree / (SELECT max(degree) FROM g)), 28) ELSE 9 + 16 * (degree / (SELECT max(degree) FROM g)) END, 6) AS size, id || chr(10) || id AS label, id LIKE 'r%' AS highlighted FROM g"
+)
+def visual_attributes(spark, d):
+    nodes, edges = _containment(spark, d)
+    nodes = nodes.withColumn("name", F.col("id")).withColumn("file", F.concat(F.lit("graph/"), "id"))
+    return render.visual(nodes, edges, nodes.where("id LIKE 'r%'")).withColumn("size", F.round("size", 6))
+
+
+@query(f"WITH e AS ({EDGES_SQL}) SELECT * FROM e WHERE source = 'n3' OR target = 'n3'")
+def neighbourhood(spark, d):
+    return graph.neighbourhood(_containment(spark, d)[1], "n3").select("source", "target")
+
+
+@query(f"WITH e AS ({EDGES_SQL}) SELECT source AS id, string_agg(target, ',' ORDER BY target) AS links FROM e GROUP BY source")
+def edge_index(spark, d):
+    edges = _containment(spark, d)[1].withColumn("seq", F.col("target"))
+    return graph.edge_index(edges).select("id", F.array_join("links", ",").alias("links"))
+
+
+@query("WITH i AS (SELECT DISTINCT p_type || '.' || substr(p_name, 1, 3) AS import_name, substr(p_name, 1, 3) AS prefix FROM part) SELECT import_name, min(p_partkey) AS target FROM i JOIN part ON starts_with(p_name, prefix) GROUP BY import_name")
+def import_prefixes(spark, d):
+    part = table(spark, d, "part")
+    files = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
+    imports = part.select(F.lit("any").alias("source"), F.concat("p_type", F.lit("."), F.substring("p_name", 1, 3)).alias("import_name")).distinct()
+    return graph.resolve_import_prefixes(imports, files).select("import_name", "target")
+
+
+@query(
+    r"WITH w AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS name FROM documents), b AS (SELECT item_id, list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]+'))[1] AS name FROM benchmark), f AS (SELECT name, min(item_id) AS id FROM b WHERE name IS NOT NULL GROUP BY name) SELECT id, name, count(*) AS n FROM w JOIN f USING (name) GROUP BY ALL"
+)
+def reference_counts(spark, d):
+    """Items named by their first word, as the texts of all documents refer to them."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.get(text.question_words(F.col("text")), F.lit(0)).alias("name"), F.col("text").alias("content"))
+    nodes = b.where("name IS NOT NULL").select("*", F.lit("function").alias("type"), F.lit("b.py").alias("file"), F.lit(1).alias("line_start"), F.col("id").alias("seq"))
+    return retrieval.references(table(spark, d, "documents").select(F.col("text").alias("content")), nodes).select("id", "name", "n")
+
+
+@query(
+    rf"WITH c AS ({CODED}) SELECT id, md5('### ' || CASE type WHEN 'function' THEN name || '()' WHEN 'class' THEN 'class ' || name ELSE name END || ' (' || file || ':' || line_start || '-' || (line_start + 5) || ')' || chr(10) || chr(10) || CASE WHEN coalesce(content, '') = '' THEN '*(' || type || ' — no content stored)*' ELSE '```python' || chr(10) || array_to_string(list_transform(string_split(regexp_replace(content, '\r?\n$', ''), chr(10)), lambda x, i: (line_start + i - 1) || ': ' || x), chr(10)) || chr(10) || '```' END) AS markdown_md5 FROM c"
+)
+def node_markdown(spark, d):
+    return _coded(spark, d).select("id", F.md5(render.node_markdown()).alias("markdown_md5"))
+
+
+@query()
+def map_lines(spark, d):
+    return render.map_lines(_coded(spark, d))
+
+
+@query()
+def token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", tokens.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def compress_contexts(spark, d):
+    return table(spark, d, "documents").select("doc_id", tokens.compress(F.col("text"), 200).alias("c")).select("doc_id", "c.*")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
