@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
 from graphloom.llm.words import WordHashes, shingles, text_bytes, with_columns
 from graphloom.operators.components import connected_components, forest
+from graphloom.operators.ordered import running
 from graphloom.runtime import materialize, small
 
 #: Shingles counted at a time when common ones are looked for, and how many common ones are broadcast at most.
@@ -46,8 +47,9 @@ CHUNK, COMMON = 2_000_000, 500_000
 RUN = 2_000
 #: Rows up to which all pairs of a run are considered one by one.
 SHORT = 64
-#: Shingles in a block of a group.
-BLOCK = 1 << 19
+#: Shingles in a block of a group, and the least that a row counts for: no block has over BLOCK / LEAST rows, so a
+#: product's table of overlaps is bounded where texts are short, too.
+BLOCK, LEAST = 1 << 19, 1 << 8
 
 
 def _sets(column: pa.Array, hashes: WordHashes, size: int) -> list[np.ndarray]:
@@ -365,10 +367,11 @@ def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85)
     groups = connected_components(edges)
     groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
 
-    # blocks: a group's sets by size, a bounded number of shingles in each
+    # blocks: a group's sets by size, a bounded number of shingles and of rows in each
     sets = rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")).join(groups, F.col("key") == F.col("node")).drop("node")
-    upto = F.sum("n").over(Window.partitionBy("component").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sets = materialize(sets.withColumn("block", F.floor((upto - F.col("n")) / BLOCK).cast("int")), "candidate-sets")
+    sets = materialize(sets.withColumn("counted", F.greatest("n", F.lit(LEAST))), "candidate-sizes")
+    sets = running(sets, ["component"], ["n", "key"], "counted")
+    sets = materialize(sets.withColumn("block", F.floor((F.col("used") - F.col("counted")) / BLOCK).cast("int")).drop("place", "used", "counted"), "candidate-sets")
     block = sets.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     i, j = block.alias("i"), block.alias("j")
     pairs = i.join(j, (F.col("i.component") == F.col("j.component")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low")))

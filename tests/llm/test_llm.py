@@ -83,6 +83,16 @@ def test_jaccard_blocks_agree_with_one_block(spark, monkeypatch):
     assert sorted(tuple(r)[:4] for r in jaccard.similar_documents(docs_of(spark, rows)).collect()) == one
 
 
+def test_jaccard_blocks_of_few_short_rows_agree_with_one_block(spark, monkeypatch):
+    # 16 words, 13 shingles; another last word leaves 12 of 14 in common, another first and last 11 of 15
+    body = "a b c d e f g h i j k l m n o".split()
+    rows = [(i, " ".join([*body, "z%d" % i] if i % 3 else ["y%d" % i, *body[1:], "z"]), "s") for i in range(30)]
+    one = sorted(tuple(r)[:4] for r in jaccard.similar_documents(docs_of(spark, rows)).collect())
+    assert {r[3] for r in one} == {9, 19} and {r[2] for r in one} == {0, 1}
+    monkeypatch.setattr(jaccard, "BLOCK", 8 * jaccard.LEAST)
+    assert sorted(tuple(r)[:4] for r in jaccard.similar_documents(docs_of(spark, rows)).collect()) == one
+
+
 def test_overlaps_is_the_matrix_product():
     rng = np.random.default_rng(5)
     a = rng.random((40, 90)) < 0.5
