@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text, tokens
 from graphloom.operators import graph, render, retrieval, scoring, select
-from graphloom.runtime import materialize, table
+from graphloom.runtime import materialize, spread, table
 from graphloom.sources import code
 
 QUERY = "attion of_the ThandbleReading with heed"
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 def _path() -> F.Column:
