@@ -9,9 +9,10 @@ with one more such share for words never seen). Biases start at the counted
 frequencies, so training starts from the unigram model. Text probabilities sum
 to one over all texts, seen words or not.
 
-Training replicas walk their parts of a sample of training documents, window by
-window, carrying the state from one window to the next; gradients stop at the
-window's edge. Replicas' parameters are averaged after every round. Scoring
+Every training document is walked once. Replicas, as many as the documents need,
+walk their parts window by window, carrying the state from one window to the
+next; gradients stop at the window's edge. Their parameters are averaged, by how
+many steps each took, in partial sums first. Scoring
 runs all documents of a batch side by side, longest first, and carries every
 document's state through to its end.
 
@@ -43,11 +44,9 @@ HEAD, CLASSES, TAILS = 2048, 32, 32
 EMBED, STATE, WINDOW = 24, 24, 24
 #: Words whose counts are sent with the scoring function, at most.
 LISTED = 200_000
-#: Share of the training documents that the network walks, and how many it walks at least where there are so many.
-SAMPLE, LEAST = 1 / 20, 2_000
-ROUNDS, LEARNING_RATE, LANES = 2, 4e-3, 48
-#: Training documents to a replica, about, and the most replicas.
-REPLICA, MOST_REPLICAS = 600, 48
+LEARNING_RATE, LANES = 4e-3, 192
+#: Training documents to a replica, about, words that it walks at a time, and partial sums of replicas that the driver adds.
+REPLICA, WALKED, SUMS = 4_000, 2_000_000, 16
 #: Words of a batch that is scored side by side, about.
 SIDE_BY_SIDE = 1_500_000
 END = b"\n"  # no word has this byte
@@ -222,7 +221,10 @@ class Gru:
         flat, ids = da.reshape(-1, 3 * s), x.ravel()
         g["b"] = flat.sum(0)
         g["W"] = p["E"][ids].T @ flat
-        np.add.at(g["E"], ids, flat @ p["W"].T)
+        order = np.argsort(ids, kind="stable")
+        own = ids[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        g["E"][own[first]] = np.add.reduceat(flat[order], first, axis=0) @ p["W"].T
         return g, h_end
 
     def pack(self) -> bytes:
@@ -269,7 +271,10 @@ def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
         k = loads.index(min(loads))
         dealt[k].append(documents[i])
         loads[k] += len(documents[i])
-    steps = max(loads)
+    # longest lanes first: those that ended take no part in later windows
+    by_load = sorted(range(lanes), key=lambda k: -loads[k])
+    loads, dealt = np.array([loads[k] for k in by_load]), [dealt[k] for k in by_load]
+    steps = int(loads[0])
     start = HEAD + TAILS
     x, y, fresh = np.full((steps, lanes), start, np.int32), np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), bool)
     valid = np.zeros((steps, lanes), bool)
@@ -283,8 +288,9 @@ def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
     h, done = np.zeros((lanes, STATE), np.float32), 0
     for t in range(0, steps, WINDOW):
         # a document's first word comes from the start symbol; its lane forgets the one before at the window's edge
-        h = h * ~fresh[t][:, None]
-        g, h = model.gradients(x[t : t + WINDOW], y[t : t + WINDOW], valid[t : t + WINDOW], h)
+        n = int(np.searchsorted(-loads, -t, "left"))
+        h = h[:n] * ~fresh[t, :n, None]
+        g, h = model.gradients(x[t : t + WINDOW, :n], y[t : t + WINDOW, :n], valid[t : t + WINDOW, :n], h)
         done += 1
         for k, v in model.p.items():
             m, s = moments[k]
@@ -295,40 +301,45 @@ def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
-    """docs: (doc_id, text) of the training documents."""
+    """docs: (doc_id, text) of the training documents, each of which is walked once."""
     model = Gru(vocabulary, seed)
     total = docs.count()
     if not total:
         return model
-    share = max(SAMPLE, min(1.0, LEAST / total))
-    replicas = int(np.clip(share * total / REPLICA, 1, MOST_REPLICAS))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1e6 * share))
-    lane = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(replicas)).cast("int")
-    sample = materialize(chosen.select(lane.alias("replica"), "doc_id", "text").repartition(replicas, "replica").sortWithinPartitions("replica", "doc_id", "text"), "lm-sample")
-    for k in range(ROUNDS):
-        rate = LEARNING_RATE / (1 + k)
-
-        def walk(batches: Iterator[pa.RecordBatch], model=model, rate=rate) -> Iterator[pa.RecordBatch]:
-            own, encoder, held, size, weight = Gru(vocabulary, seed), Encoder(vocabulary), [], 0, 0
-            own.p = {k: v.copy() for k, v in model.p.items()}
-            for b in batches:
-                for t in text_bytes(b.column("text")):
-                    held.append(encoder.of(tokens(t))[0])
-                    size += len(held[-1])
-                    if size > 400_000:
-                        weight += _train(own, held, rate)
-                        held, size = [], 0
-            if held:
-                weight += _train(own, held, rate)
-            if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([own.pack()], pa.binary())], ["weight", "p"])
+    replicas = -(-total // REPLICA)
+    lane = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(replicas)).cast("int")
+    dealt = docs.select(lane.alias("replica"), "doc_id", "text").repartitionById(replicas, "replica").sortWithinPartitions("doc_id", "text")
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, encoder, held, size, weight = Gru(vocabulary, seed), Encoder(vocabulary), [], 0, 0
+        for b in batches:
+            for t in text_bytes(b.column("text")):
+                held.append(encoder.of(tokens(t))[0])
+                size += len(held[-1])
+                if size > WALKED:
+                    weight += _train(own, held, LEARNING_RATE)
+                    held, size = [], 0
+        if held:
+            weight += _train(own, held, LEARNING_RATE)
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([own.pack()], pa.binary())], ["weight", "p"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added, weight = 0, 0
-        for r in sample.mapInArrow(walk, "weight long, p binary").collect():  # at most MOST_REPLICAS rows
-            added = added + r["weight"] * np.frombuffer(r["p"], np.float32).astype(np.float64)
-            weight += r["weight"]
+        for b in batches:
+            for w, p in zip(b.column("weight").to_pylist(), b.column("p").to_pylist()):
+                added = added + w * np.frombuffer(p, np.float32).astype(np.float64)
+                weight += w
         if weight:
-            model.unpack(added / weight)
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([added.tobytes()], pa.binary())], ["weight", "p"])
+
+    walked = materialize(dealt.mapInArrow(walk, "weight long, p binary"), "lm-replicas")
+    added, weight = 0, 0
+    for r in walked.coalesce(SUMS).mapInArrow(add, "weight long, p binary").collect():  # at most SUMS rows
+        added = added + np.frombuffer(r["p"], np.float64)
+        weight += r["weight"]
+    if weight:
+        model.unpack(added / weight)
     return model
 
 

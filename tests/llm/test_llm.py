@@ -287,6 +287,14 @@ def test_lm_base_and_windows(spark, odd):
     assert lm.score_documents(docs_of(spark, []), v, model).count() == 0
 
 
+def test_lm_walks_every_training_document(spark):
+    # each word opens six of 9,000 documents; a word's embedding moves only where a document that holds it is walked
+    docs = docs_of(spark, [(i, "w%d x" % (i % 1500), "s") for i in range(9000)]).select("doc_id", "text")
+    v = lm.Vocabulary(lm.word_counts(docs))
+    moved = (lm.train(docs, v).p["E"] != lm.Gru(v).p["E"]).any(1)
+    assert len(v.head) == 1502 and all(moved[i] for i, w in enumerate(v.head) if w.startswith(b"w"))
+
+
 def test_chroma_alignment_and_recall(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(30, 64)) * 0.125
