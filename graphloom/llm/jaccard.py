@@ -160,8 +160,8 @@ def ordered(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.n
 def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(g, salt, n, key) of every set's prefix shingles; a task names a set once.
 
-    Common shingles are salted by how common they are. For those, salt -1 has,
-    of what a task saw, the least and the largest row of each salt and size step:
+    Common shingles are salted, from 1 on, by how common they are; others have
+    salt 0. For the common ones, salt -1 has, of what a task saw, the least and the largest row of each salt and size step:
     what chains one shingle's salts together. A step is narrower than what a link
     allows, so its ends stand for it.
     """
@@ -189,7 +189,7 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
                 known.add(k)
                 first, seen = ordered(s, common, counts)
                 m = len(s) - (percent * len(s) + 99) // 100 + 1
-                salts = k % (seen[:m] // RUN + 1)
+                salts = np.where(seen[:m] >= RUN, k % (seen[:m] // RUN + 1) + 1, 0)
                 g.append(first[:m])
                 salt.append(salts)
                 n.append(np.full(m, len(s)))
@@ -215,14 +215,15 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
 def _runs(percent: int):
     """Rows sorted by (g, salt, n, key) -> edges (a, b, sure) within runs of one (g, salt), between rows whose sizes allow a link.
 
-    Short runs give all such pairs, to be bounded further. In longer ones
-    neighbours are chained: if the sizes of two rows allow a link, so do those of
+    Short runs of unsalted shingles give all such pairs, to be bounded further. In
+    longer ones, and in all of salted shingles, whose ends stand for rows of other
+    salts, neighbours are chained: if the sizes of two rows allow a link, so do those of
     all between them, so neighbours connect them.
     """
 
     def edges(g: np.ndarray, salt: np.ndarray, n: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         run = np.cumsum(np.r_[0, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
-        long = (np.bincount(run) > SHORT)[run]
+        long = (np.bincount(run) > SHORT)[run] | (salt != 0)
         found = [(np.zeros((0, 2), np.int64), True)]
         for lag in range(1, SHORT):
             same = run[lag:] == run[:-lag]

@@ -93,6 +93,15 @@ def test_jaccard_blocks_of_few_short_rows_agree_with_one_block(spark, monkeypatc
     assert sorted(tuple(r)[:4] for r in jaccard.similar_documents(docs_of(spark, rows)).collect()) == one
 
 
+def test_jaccard_links_across_salts_whose_ends_are_dissimilar(spark, monkeypatch):
+    # one edited word of 63 leaves 56 of 64 shingles in common with the body, and at most 55 of 65 with another's
+    body = ["b%d" % i for i in range(63)]
+    rows = [(0, " ".join(body), "s")] + [(i, " ".join([*body[: 9 + i], "e%d" % i, *body[10 + i :]]), "s") for i in range(1, 41)]
+    monkeypatch.setattr(jaccard, "RUN", 16)
+    got = jaccard.similar_documents(docs_of(spark, rows).repartition(1)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(0, 0, 40)] + [(i, 0, 1) for i in range(1, 41)]
+
+
 def test_overlaps_is_the_matrix_product():
     rng = np.random.default_rng(5)
     a = rng.random((40, 90)) < 0.5
