@@ -4,7 +4,10 @@ Words lose punctuation around them and A-Z is lower-cased. Numbers, names
 (capitalised words that don't open a sentence) and units (after a number) become
 typed placeholders, so a question keeps its template when its figures or names
 are exchanged. Windows of WINDOW template words of every benchmark item are
-hashed; each document's windows are looked up in that hash table. Along the
+hashed, and also the windows of its plain words; each document's windows are
+looked up in that hash table by templates, by plain words (so copies match in
+lower case, too) and, where a window's first word is capitalised, with the other
+reading of it (what stands before a copy decides if it opens a sentence). Along the
 diagonal of a match (place in the document less place in the item) every
 placeholder of the item must stand for one value throughout; diagonals where it
 doesn't are discarded. A document is contaminated by an item when the windows
@@ -64,8 +67,8 @@ class Templates(dict):
         self[word] = row
         return row
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template codes, the hashes of the words themselves, and whether each is a placeholder."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template codes, the hashes of the words themselves, whether each is a placeholder, and the codes of capitalised words read the other way."""
         if len(self) > self.limit:
             self.clear()
         words = text.split()
@@ -77,7 +80,9 @@ class Templates(dict):
         after_number = np.zeros(len(words), bool)
         after_number[1:] = number[:-1]
         kinds = [number, unit & after_number, capital & ~opens]
-        return np.select(kinds, [NUMBER, UNIT, NAME], own), own, kinds[0] | kinds[1] | kinds[2]
+        other = capital & ~kinds[0] & ~kinds[1]
+        codes = np.select(kinds, [NUMBER, UNIT, NAME], own)
+        return codes, own, kinds[0] | kinds[1] | kinds[2], np.where(other, np.where(opens, NAME, own), codes)
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -91,6 +96,21 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def readings(codes: np.ndarray, own: np.ndarray, slot: np.ndarray, other: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of all windows by templates, of those with a placeholder by plain words, and of those whose first word has another reading by it."""
+    h = windows(codes, size)
+    if not len(h):
+        return np.zeros(0, np.int64), h
+    held = np.r_[0, np.cumsum(slot)]
+    plain = np.flatnonzero(held[size:] > held[:-size])
+    first = np.flatnonzero(other[: len(h)] != codes[: len(h)])
+    more = [np.full(len(at), size, np.uint64) for at in (plain, first)]
+    for k in range(size):
+        more[0] += own[plain + k] * PLACES[k]
+        more[1] += (codes if k else other)[first + k] * PLACES[k]
+    return np.concatenate([np.arange(len(h)), plain, first]), np.concatenate([h, *map(mixed, more)])
+
+
 class Index:
     """Hash table of the windows of a block of items."""
 
@@ -99,7 +119,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.own, self.slot, entries = [], [], []
         for k, (_, text) in enumerate(items):
-            codes, own, slot = templates.of(text)
+            codes, own, slot, _ = templates.of(text)
             self.own.append(own)
             self.slot.append(slot)
             size = min(WINDOW, len(codes))
@@ -109,6 +129,7 @@ class Index:
             literal = np.convolve(~slot, np.ones(size, int), "valid")
             useful = literal >= min(LITERAL, literal.max())
             entries += [(size, int(x), k, p) for p, (x, u) in enumerate(zip(h, useful)) if u]
+            entries += [(size, int(x), k, p) for p, x in enumerate(windows(own, size)) if x != h[p] or not useful[p]]
         self.tables = {}
         for size in sorted({e[0] for e in entries}):
             rows = sorted((e[1:] for e in entries if e[0] == size))
@@ -116,21 +137,21 @@ class Index:
 
     def matches(self, text: bytes, templates: Templates) -> list[tuple]:
         """(item's place in the block, windows, words matched, slots, slots with another value) of each item that contaminates the text."""
-        codes, own, _ = templates.of(text)
-        found: dict[int, list] = {}
+        codes, own, slot, other = templates.of(text)
+        found: dict[int, set] = {}
         for size, (hashes, items, places) in self.tables.items():
-            h = windows(codes, size)
+            place, h = readings(codes, own, slot, other, size)
             low = np.searchsorted(hashes, h)
             for at in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h):
                 e = low[at]
                 while e < len(hashes) and hashes[e] == h[at]:
-                    found.setdefault(int(items[e]), []).append((int(at) - int(places[e]), int(places[e]), size))
+                    found.setdefault(int(items[e]), set()).add((int(place[at]) - int(places[e]), int(places[e]), size))
                     e += 1
         out = []
         for item, hits in sorted(found.items()):
             covered, runs, slots, changed = set(), 0, 0, 0
             by_diagonal: dict[int, list] = {}
-            for shift, place, size in hits:
+            for shift, place, size in sorted(hits):
                 by_diagonal.setdefault(shift, []).append((place, size))
             for shift, parts in by_diagonal.items():
                 words = sorted({p for place, size in parts for p in range(place, place + size)})

@@ -215,6 +215,18 @@ def test_decontamination(spark, odd):
     assert decontamination.contaminated(odd[1], bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_copies_in_other_places():
+    items = [b"What is the capital of France?", b"Which of the old towns did Anna Miller leave in spring", b"Anna has 3 apples and 4 pears"]
+    index = decontamination.Index(list(enumerate(items)))
+    found = lambda text: [m[0] for m in index.matches(text, decontamination.Templates())]
+    for k, item in enumerate(items):
+        for text in (item, b"Question 3\n" + item, b"they asked " + item + b" and left", item.lower(), b"so " + item.lower() + b" so"):
+            assert found(text) == [k], text
+    assert found(b"Question 3\nWhat is the capital of Peru?") == [0]
+    assert found(b"Question 3\nWhat is the river of France?") == []
+    assert found(b"Question 3\nwhich of the old towns did anna leave in spring") == []
+
+
 def test_quality(spark, odd):
     rng = np.random.default_rng(8)
     rows = [(i, words(rng, 80) if i % 4 else words(rng, 3).upper() * 9 + "!! ### " * 20, "s") for i in range(400)]
