@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
 from graphloom.llm.words import text_bytes, with_columns
+from graphloom.runtime import materialize
 
 #: At most so many labelled rows, in expectation, are fitted: a sample by hash where there are more.
 MAX_TRAIN = 200_000
@@ -159,20 +160,22 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train:
         return model
     if total["n"] > max_train:
         rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1e6 * max_train / total["n"]))
+    rows = materialize(rows.select("stats", "y", "fold"), "quality-labelled")
     wide = rows.agg(*[f(F.col("stats")[i]).alias(f"{k}{i}") for i in range(len(STATS)) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     model.mean = np.array([wide[f"m{i}"] for i in range(len(STATS))])
     model.scale = np.maximum([wide[f"s{i}"] for i in range(len(STATS))], 0.02)
     width, dim = len(STATS), FEATURES + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((FOLDS, dim, dim)), np.zeros((FOLDS, dim))
+        a, b, seen = np.zeros((FOLDS, dim, dim)), np.zeros((FOLDS, dim)), 0
         for batch in batches:
+            seen += batch.num_rows
             x, y, fold = model.features(matrix(batch.column("stats"), width)), np.asarray(batch.column("y")), np.asarray(batch.column("fold"))
             for k in range(FOLDS):
                 part = x[fold == k]
                 a[k] += part.T @ part
                 b[k] += part.T @ y[fold == k]
-        if b.any():
+        if seen:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel(), b.ravel()]).tobytes()], pa.binary())], ["sums"])
 
     added = 0
