@@ -17,11 +17,14 @@ their own; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.columns import fresh
+from graphloom.llm.columns import fresh, prefix_sums
+from graphloom.runtime import materialize
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 PLACEHOLDER = "[SECRET]"
@@ -29,6 +32,8 @@ PLACEHOLDER = "[SECRET]"
 #: Number of labelled findings generated where the caller gives none; also the bound on those given.
 LABELLED_ROWS = 4_000
 TREES, DEPTH = 24, 7
+#: Characters before and after a candidate that its features see.
+AROUND = 48
 
 #: Words that names in code are made of.
 DICTIONARY = (
@@ -160,8 +165,20 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5, max_rows: int = LABELLED_ROWS) -> list[str]:
-    """Trees, as SQL over an array x of features, from labelled findings; max_rows bounds how many are used."""
-    rows = findings.selectExpr(feature_sql("candidate", "before", "after", "path") + " AS x", "label").orderBy("label", "x").limit(max_rows).collect()
+    """Trees, as SQL over an array x of features, from labelled findings.
+
+    Where there are more than max_rows (a bound), each label gives its share of
+    them: the rows of its least hashes.
+    """
+    h = F.xxhash64("candidate", "before", "after", "path", F.lit(seed))
+    every = materialize(findings.where("label IS NOT NULL").select("candidate", "before", "after", "path", "label", h.alias("h")), "findings")
+    counts = {r["label"]: r["count"] for r in every.groupBy("label").count().collect()}
+    total = sum(counts.values())
+    if not total:
+        raise ValueError("no labelled findings")
+    parts = [every.where(F.col("label") == label).orderBy("h", "candidate", "before", "after", "path").limit(max(1, round(n * min(1.0, max_rows / total)))) for label, n in sorted(counts.items())]
+    chosen = reduce(DataFrame.unionByName, parts)
+    rows = sorted(chosen.selectExpr(feature_sql("candidate", "before", "after", "path") + " AS x", "label").collect(), key=lambda r: (r["label"], r["x"]))
     x, y = np.array([r["x"] for r in rows]).round(6), np.array([r["label"] for r in rows], dtype=float)
     rng = np.random.default_rng(seed)
     grown = []
@@ -177,21 +194,17 @@ def forest_sql(trees: list[str], x: str = "x") -> str:
     return f"({votes}) / {len(trees)}.0D".replace("x[", f"{x}[")
 
 
-def find_secrets(docs: DataFrame, trees: list[str] | None = None, threshold: float = 0.5, path: str = "source", around: int = 48) -> tuple[DataFrame, str]:
-    """docs with an array column of findings, and that column's name.
-
-    A finding has ordinal, start (characters before it), candidate, before,
-    after, score (share of the forest's vote) and is_secret (score >= threshold).
-    """
+def _scanned(docs: DataFrame, trees: list[str] | None, threshold: float, path: str) -> tuple[DataFrame, str, str]:
+    """docs with the gaps between candidates (null: no candidate) and the findings, and those columns' names."""
     trees = trees or train_forest(labelled_findings(docs.sparkSession))
     name, found, gaps = fresh(docs, "findings"), fresh(docs, "secret_candidates"), fresh(docs, "secret_gaps")
     none = "cast(array() AS array<struct<ordinal:int,start:int,candidate:string,before:string,after:string,score:double,is_secret:boolean>>)"
-    starts = f"""aggregate(sequence(0, size({found}) - 1), named_struct('at', 0, 'all', cast(array() AS array<int>)),
-        (s, i) -> named_struct('at', s.at + length({gaps}[i]) + length({found}[i]), 'all', concat(s.all, array(s.at + length({gaps}[i])))), s -> s.all)"""
     around_it = f"""transform({found}, (c, i) -> named_struct('ordinal', i, 'start', starts[i], 'candidate', c,
-        'before', right({gaps}[i], {around}), 'after', left({gaps}[i + 1], {around})))"""
+        'before', right({gaps}[i], {AROUND}), 'after', left({gaps}[i + 1], {AROUND})))"""
     with_x = f"transform({around_it}, f -> named_struct('f', f, 'x', {feature_sql('f.candidate', 'f.before', 'f.after', f'coalesce(`{path}`, "")')}))"
     scored = f"transform({with_x}, g -> named_struct('f', g.f, 'score', {forest_sql(trees, 'g.x')}))"
+    steps = f"zip_with({found}, slice({gaps}, 1, size({found})), (c, g) -> length(g) + length(c))"
+    starts = f"zip_with({prefix_sums(steps)}, slice({gaps}, 1, size({found})), (a, g) -> a + length(g))"
     out = f"""CASE WHEN size({found}) > 0 THEN flatten(transform(array({starts}), starts -> transform({scored}, g -> named_struct(
         'ordinal', g.f.ordinal, 'start', g.f.start, 'candidate', g.f.candidate, 'before', g.f.before, 'after', g.f.after,
         'score', round(g.score, 6), 'is_secret', g.score >= {threshold}D)))) ELSE {none} END"""
@@ -200,17 +213,27 @@ def find_secrets(docs: DataFrame, trees: list[str] | None = None, threshold: flo
         docs.withColumn(found, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
         .withColumn(gaps, F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)))
         .withColumn(name, F.expr(out))
-        .drop(found, gaps),
+        .drop(found),
+        gaps,
         name,
     )
 
 
+def find_secrets(docs: DataFrame, trees: list[str] | None = None, threshold: float = 0.5, path: str = "source") -> tuple[DataFrame, str]:
+    """docs with an array column of findings, and that column's name.
+
+    A finding has ordinal, start (characters before it), candidate, before,
+    after, score (share of the forest's vote) and is_secret (score >= threshold).
+    """
+    scanned, gaps, name = _scanned(docs, trees, threshold, path)
+    return scanned.drop(gaps), name
+
+
 def redact(docs: DataFrame, trees: list[str] | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """docs with every secret in text replaced by PLACEHOLDER; n_chars, where there is one, follows the text."""
-    scanned, name = find_secrets(docs, trees, threshold, path)
-    cut = f"""aggregate(filter({name}, f -> f.is_secret), named_struct('done', '', 'at', 0),
-        (s, f) -> named_struct('done', concat(s.done, substr(text, s.at + 1, f.start - s.at), {_sql(PLACEHOLDER)}), 'at', f.start + length(f.candidate)),
-        s -> concat(s.done, substr(text, s.at + 1)))"""
+    scanned, gaps, name = _scanned(docs, trees, threshold, path)
+    kept = f"transform({name}, (f, i) -> concat({gaps}[i], CASE WHEN f.is_secret THEN {_sql(PLACEHOLDER)} ELSE f.candidate END))"
+    cut = f"concat(array_join({kept}, ''), {gaps}[size({name})])"
     hit = fresh(scanned, "has_secret")
     out = scanned.withColumn(hit, F.expr(f"exists({name}, f -> f.is_secret)")).withColumn("text", F.expr(f"CASE WHEN {hit} THEN {cut} ELSE text END"))
     if "n_chars" in docs.columns:
