@@ -1,21 +1,26 @@
 """License scans: phrase places and an exact set-similarity join against notice templates.
 
-Templates are short fixed notices. Tokens of a template are ordered by how many
-documents of the whole corpus hold them, rarest first. A text block (line)
-contains a template when at least `threshold` of the template's distinct tokens
-are in it. A block that does must share a token with the template's prefix, its
-first |T| - ceil(threshold |T|) + 1 tokens in that order; the prefix tokens are
-a hash index, and the length filter (tokens the block has of the templates'
-vocabulary) and the positional filter (tokens left after the first shared one
-on either side) discard pairs before overlaps are counted. The filters are
-exact: they drop no pair that meets the threshold.
+Templates are fixed notices. Tokens of a template are ordered by how many
+documents of the whole corpus hold them, rarest first. Text blocks are
+overlapping runs of words, however lines are broken: for templates of up to c
+words (c: 8, 16, 32 ...), every c words a block of 2c words begins, so any run of
+c words lies whole in a block. A block contains a template when at least
+`threshold` of the template's distinct tokens are in it. A block that does must
+share a token with the template's prefix, its first |T| - ceil(threshold |T|) +
+1 tokens in that order; the prefix tokens are a hash index, and the length filter
+(tokens the block has of the templates' vocabulary) and the positional filter
+(tokens left after the first shared one on either side) discard pairs before
+overlaps are counted. The filters are exact: they drop no pair that meets the
+threshold.
 
 Only DataFrame expressions are used. The template list is fixed, so its index is
 a literal in the plan and nothing is shuffled but the template tokens' counts.
 
 Edge cases: null and empty texts have no words, no places and no labels, score
-0; a text made of one very long line is one block; repeated rows are rows of
-their own; an empty table gives no rows; other columns pass through.
+0; a text of fewer words than a block is one block, a very long one, with or
+without line breaks, as many as its words ask for; tokens that equally many
+documents hold are ordered by themselves; repeated rows are rows of their own; an
+empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -46,6 +51,13 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
 )
 
 #: What separates words: ASCII but digits and letters.
@@ -57,8 +69,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+
+
 def template_tokens(text: str) -> list[str]:
-    return sorted({w for w in re.split(SEPARATORS, text.lower()) if w})
+    return sorted(set(template_words(text)))
+
+
+def block_class(text: str) -> int:
+    """The power of two, 8 at least, that is no shorter than a notice in words."""
+    return max(8, 1 << (len(template_words(text)) - 1).bit_length())
 
 
 def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -69,13 +90,13 @@ def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def index(counts: dict[str, int], templates=TEMPLATES, threshold: float = 0.8) -> tuple[dict[str, int], list[dict]]:
-    """Rank of each token in the global order, and the templates: label, ordered tokens, required overlap, prefix length."""
-    parsed = [(label, template_tokens(text)) for label, text in templates]
-    rank = {t: i for i, t in enumerate(sorted({t for _, ts in parsed for t in ts}, key=lambda t: (counts.get(t, 0), t)))}
+    """Rank of each token in the global order, and the templates: label, ordered tokens, required overlap, prefix length, class."""
+    parsed = [(label, template_tokens(text), block_class(text)) for label, text in templates]
+    rank = {t: i for i, t in enumerate(sorted({t for _, ts, _ in parsed for t in ts}, key=lambda t: (counts.get(t, 0), t)))}
     made = []
-    for label, tokens in parsed:
+    for label, tokens, words_at_most in parsed:
         need = ceil(threshold * len(tokens) - 1e-9)
-        made.append({"label": label, "tokens": sorted(tokens, key=rank.get), "need": need, "prefix": len(tokens) - need + 1})
+        made.append({"label": label, "tokens": sorted(tokens, key=rank.get), "need": need, "prefix": len(tokens) - need + 1, "class": words_at_most})
     return rank, made
 
 
@@ -83,19 +104,21 @@ def _strings(values) -> str:
     return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
 
 
-def template_hits(line_words: str, rank: dict[str, int], templates: list[dict]) -> str:
+def template_hits(block: str, rank: dict[str, int], templates: list[dict]) -> str:
     """SQL: array of (label, containment) of the templates that the block with those words contains.
 
     Block tokens in the vocabulary become their ranks, sorted: the block in
     global order. The index maps the rank of a prefix token to its postings
     (template, place of the token in it).
     """
-    order = sorted(rank, key=rank.get)
+    own = {x for t in templates for x in t["tokens"]}
+    order = sorted(own, key=rank.get)
+    rank = {t: i for i, t in enumerate(order)}
     postings: dict[int, list[tuple[int, int]]] = {}
     for t, template in enumerate(templates):
         for place, token in enumerate(template["tokens"][: template["prefix"]]):
             postings.setdefault(rank[token], []).append((t, place))
-    ranks_of = f"array_sort(transform(array_intersect({line_words}, {_strings(order)}), w -> array_position({_strings(order)}, w) - 1))"
+    ranks_of = f"array_sort(transform(array_intersect({block}, {_strings(order)}), w -> array_position({_strings(order)}, w) - 1))"
     index_sql = "map(" + ", ".join(f"{r}L, array({', '.join(f'named_struct("t", {t}, "place", {p})' for t, p in ps)})" for r, ps in sorted(postings.items())) + ")"
     lists = "array(" + ", ".join("array(" + ", ".join(f"{rank[x]}L" for x in t["tokens"]) + ")" for t in templates) + ")"
     needs = "array(" + ", ".join(str(t["need"]) for t in templates) + ")"
@@ -133,9 +156,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     last_words = sorted({p.split()[-1] for p in phrases})
     places = f"""CASE WHEN arrays_overlap({ws}, {_strings(last_words)}) THEN
         filter(flatten(transform(array({joined}), j -> array({", ".join(place(p, x) for p, x in phrases.items())}))), p -> p.count > 0) END"""
-    block_words = f"array_remove(split(lower(block), '{SEPARATORS}'), '')".replace("\\", "\\\\")
-    hits = f"""CASE WHEN arrays_overlap({ws}, {_strings(probe)}) THEN
-        flatten(transform(split(text, '\\n'), block -> {template_hits(block_words, rank, made)})) END"""
+    size = f"size({ws})"
+
+    def class_hits(c: int) -> str:
+        own = [t for t in made if t["class"] == c]
+        first = _strings(sorted({x for t in own for x in t["tokens"][: t["prefix"]]}))
+        blocks = f"transform(sequence(0, greatest({size} - 1, 0) div {c}), k -> slice({ws}, k * {c} + 1, {2 * c}))"
+        return f"flatten(transform(filter({blocks}, block -> arrays_overlap(block, {first})), block -> {template_hits('block', rank, own)}))"
+
+    hits = f"CASE WHEN arrays_overlap({ws}, {_strings(probe)}) THEN concat({', '.join(class_hits(c) for c in sorted({t['class'] for t in made}))}) END"
     none_placed = "cast(array() AS array<struct<phrase:string,label:string,count:bigint,first:bigint,last:bigint>>)"
     none_hit = "cast(array() AS array<struct<label:string,containment:double>>)"
     out = F.expr(f"named_struct('n_words', cast(size({ws}) AS bigint), 'places', coalesce({places}, {none_placed}), 'templates', coalesce({hits}, {none_hit}))")

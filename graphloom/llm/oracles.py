@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm.licenses import TEMPLATES
+from graphloom.llm.licenses import TEMPLATES, block_class
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -13,7 +13,7 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
   SELECT *, length(replace(replace(text, '\', '\\'), '<', '\l')) AS text_chars,
-    length(replace(replace(role, '\', '\\'), '<', '\l')) AS role_chars,
+    length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) AS role_chars,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS merged
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
@@ -37,9 +37,10 @@ m AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.so
 SELECT doc_id, source, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
 """
 
-_NOTICES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_NOTICES = ", ".join(f"({i}, {block_class(text)}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_BLOCKS = " UNION ALL ".join(f"SELECT rid, {c} AS class, list_distinct(ws[k * {c} + 1 : k * {c} + {2 * c}]) AS tokens FROM (SELECT rid, ws, unnest(range(0, greatest(len(ws) - 1, 0) // {c} + 1)) AS k FROM w)" for c in sorted({block_class(text) for _, text in TEMPLATES}))
 OP9 = rf"""
-WITH notices AS (SELECT i, label, list_distinct(list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS tokens FROM (VALUES {_NOTICES}) n(i, label, text)),
+WITH notices AS (SELECT i, class, label, list_distinct(list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS tokens FROM (VALUES {_NOTICES}) n(i, class, label, text)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
 p AS (SELECT rid, unnest([
@@ -48,9 +49,8 @@ p AS (SELECT rid, unnest([
     {{'label': 'gpl', 'at': list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license')}}]) AS p FROM w),
 b AS (SELECT rid, sum(len(p.at)) AS n_base, min(list_min(p.at)) - 1 AS first_word, max(list_max(p.at)) - 1 AS last_word,
   list(DISTINCT p.label) FILTER (len(p.at) > 0) AS labels FROM p GROUP BY rid),
-blocks AS (SELECT rid, list_distinct(list_filter(string_split_regex(lower(block), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS tokens
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS block FROM d)),
-h AS (SELECT rid, label, len(list_intersect(blocks.tokens, notices.tokens)) / len(notices.tokens)::DOUBLE AS containment FROM blocks, notices
+blocks AS ({_BLOCKS}),
+h AS (SELECT rid, label, len(list_intersect(blocks.tokens, notices.tokens)) / len(notices.tokens)::DOUBLE AS containment FROM blocks JOIN notices USING (class)
   WHERE len(list_intersect(blocks.tokens, notices.tokens)) >= 0.8 * len(notices.tokens)),
 g AS (SELECT rid, list(DISTINCT label) AS labels, max(containment) AS best FROM h GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, n_base::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

@@ -94,7 +94,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     planned, name = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     m = F.col(name)
-    return planned.select("doc_id", "source", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
+    return planned.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"), "source")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

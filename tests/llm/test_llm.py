@@ -111,15 +111,19 @@ def test_overlaps_is_the_matrix_product():
 
 
 def test_chat_round_trip(spark, odd):
-    said = ["\\### Assistant: </turn> ok", "<+>", "\\", "\\\\l<", "<turn user>\n", "", None, "a\\l<b\\\\<"]
-    rows = [(k, t, ("user", "assistant", "assistant", None, "a<b\\")[(t * k) % 5], said[(t + k) % len(said)]) for k in range(12) for t in range(8)]
+    said = ["\\### Assistant: </turn> ok", "<+>", "\\", "\\\\l<", "<turn user>\n", "", None, "a\\l<b\\\\<", "é\\g>\U0001f600"]
+    roles = ("user", "assistant", "assistant", None, "a<b\\", "x>\ny", "x>", "\\g\ufffd>\n", ">\n")
+    rows = [(k, t, roles[(t * k) % len(roles)], said[(t + k) % len(said)]) for k in range(12) for t in range(9)]
     rows += [(3, 2, "user", "same turn"), (3, 2, "user", "same turn"), (None, 0, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(13, t, "assistant", "é%d" % t) for t in range(700)]
+    df = spark.createDataFrame([(*r, "f", 1, "p") for r in rows], "conv_id long, turn long, role string, text string, formatted string, at int, parts string")
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     for k in {r[0] for r in rows}:
         turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == k)
         assert [(t["role"], t["text"]) for t in got[k]["turns"]] == [(r, x) for _, r, x in turns]
         assert got[k]["loss_texts"] == [x for _, r, x in turns if r == "assistant"]
+        cut = [got[k]["formatted"][s["start"] : s["start"] + s["length"]] for s in got[k]["loss_spans"]]
+        assert cut == [x.replace("\\", "\\\\").replace("<", "\\l") for _, r, x in turns if r == "assistant"]
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
@@ -167,16 +171,31 @@ def test_licenses(spark, odd):
 
 def test_license_filters_drop_nothing(spark):
     rng = np.random.default_rng(6)
-    lines = []
+    texts = []
     for _, t in licenses.TEMPLATES:
         for share in (0.6, 0.75, 0.8, 0.85, 1.0):
             tokens = [w for w in re.split(licenses.SEPARATORS, t) if w]
-            lines.append(" ".join([w for w in tokens if rng.random() < share] + ["extra"] * int(rng.integers(5))))
-    out, name = licenses.scan(docs_of(spark, [(i, x, "a") for i, x in enumerate(lines)]))
+            texts.append(" ".join(["lead"] * int(rng.integers(40)) + [w for w in tokens if rng.random() < share] + ["extra"] * int(rng.integers(70))))
+    out, name = licenses.scan(docs_of(spark, [(i, x, "a") for i, x in enumerate(texts)]))
     for r in out.collect():
-        block = set(licenses.template_tokens(r["text"]))
-        want = sorted(label for label, t in licenses.TEMPLATES if len(block & set(licenses.template_tokens(t))) >= 0.8 * len(licenses.template_tokens(t)) - 1e-9)
-        assert sorted(t["label"] for t in r[name]["templates"]) == want
+        ws, want = licenses.template_words(r["text"]), []
+        for label, t in licenses.TEMPLATES:
+            c, tokens = licenses.block_class(t), set(licenses.template_tokens(t))
+            want += [label for k in range(0, max(len(ws), 1), c) if len(set(ws[k : k + 2 * c]) & tokens) >= 0.8 * len(tokens) - 1e-9]
+        assert sorted(t["label"] for t in r[name]["templates"]) == sorted(want)
+
+
+def test_licenses_however_lines_are_broken(spark):
+    fill = words(np.random.default_rng(7), 3_000)
+    rows, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        wrapped = "".join(" * " + " ".join(t.split()[i : i + 4]) + "\n" for i in range(0, len(t.split()), 4))
+        for j, text in enumerate((wrapped, fill + "\n" + wrapped + fill, (fill + " " + t + " " + fill).replace("\n", " "), t + " " + t)):
+            rows.append((4 * k + j, text, "a"))
+            want[4 * k + j] = label
+    out, name = licenses.scan(docs_of(spark, rows))
+    for r in out.collect():
+        assert want[r["doc_id"]] in {t["label"] for t in r[name]["templates"]}, r["doc_id"]
 
 
 def test_secrets(spark, odd):
@@ -197,6 +216,37 @@ def test_secrets(spark, odd):
     assert secrets.find_secrets(docs_of(spark, []), trees)[0].count() == 0
 
 
+def test_forest_samples_labels_alike(spark):
+    made = secrets.labelled_findings(spark, 6000)
+    positive = made.where("label = 1").count() / 6000
+    kept = []
+    grow, secrets_grow = secrets._grow, lambda x, y, rng, depth: kept.append((len(y), y.mean())) or "0.5D"
+    try:
+        secrets._grow = secrets_grow
+        secrets.train_forest(made.repartition(5), trees=40, max_rows=2000)
+    finally:
+        secrets._grow = grow
+    assert all(abs(n - 2000) <= 1 for n, _ in kept) and abs(np.mean([p for _, p in kept]) - positive) < 0.01
+    assert secrets.train_forest(made.repartition(5), trees=2) == secrets.train_forest(made.coalesce(1), trees=2)
+    with pytest.raises(ValueError):
+        secrets.train_forest(made.limit(0))
+
+
+def test_secrets_offsets_of_many_candidates_and_accuracy(spark):
+    rng = np.random.default_rng(12)
+    hexes = ["%040x" % int.from_bytes(rng.bytes(20), "big") for _ in range(300)]
+    kinds = [('é token = "%s" x', 1), ("password: %s y", 1), ("see commit %s z", 0), ("sha1 checksum %s w", 0)]
+    chosen = [kinds[int(i)] for i in rng.integers(0, 4, 900)]
+    text = "\n".join(k[0] % hexes[int(i)] for k, i in zip(chosen, rng.integers(0, 300, 900)))
+    out, name = secrets.find_secrets(docs_of(spark, [(1, text, "s")]))
+    found = out.first()[name]
+    assert len(found) == 900 and all(text[f["start"] : f["start"] + 40] == f["candidate"] for f in found)
+    said, true = np.array([f["is_secret"] for f in found]), np.array([k[1] for k in chosen], bool)
+    assert (said & true).sum() / true.sum() > 0.95 and (said & true).sum() / max(said.sum(), 1) > 0.95
+    cut = secrets.redact(docs_of(spark, [(1, text, "s")])).first()["text"]
+    assert cut.count(secrets.PLACEHOLDER) == said.sum()
+
+
 def test_decontamination(spark, odd):
     rng = np.random.default_rng(7)
     item = "A train leaves the big station at 12 miles before Anna counts 30 apples and 12 pears in total for the road"
@@ -242,6 +292,19 @@ def test_quality(spark, odd):
     assert quality.score_documents(docs_of(spark, []), model)[0].count() == 0
 
 
+def test_quality_fit_does_not_depend_on_partitions(spark):
+    # one document of label 1: the partitions without it count as much as the one with it
+    rng = np.random.default_rng(13)
+    rows = [(i, words(rng, int(rng.integers(5, 90))), "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(200)], "doc_id long, quality int")
+    stats = quality.stats_of(docs_of(spark, rows), ["doc_id"]).cache()
+    one, many = quality.fit(stats.coalesce(1), labels), quality.fit(stats.repartition(7), labels)
+    assert np.allclose(one.weights, many.weights, atol=1e-9)
+    x, y = one.features(quality.text_stats([t.encode() for _, t, _ in rows])), np.arange(200) == 7
+    plain = np.linalg.solve(x.T @ x + quality.RIDGE * np.eye(x.shape[1]), x.T @ y)
+    assert np.allclose(one.weights, plain, atol=1e-6)
+
+
 def test_isotonic():
     y = quality.isotonic(np.arange(5), np.array([0.1, 0.5, 0.3, 0.3, 0.9]), np.array([1, 1, 1, 2, 1.0]))
     assert np.allclose(y, [0.1, 0.35, 0.35, 0.35, 0.9])
