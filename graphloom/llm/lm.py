@@ -28,16 +28,16 @@ formula and the network stays as initialised; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.words import text_bytes
 from graphloom.runtime import materialize
 
 HEAD, CLASSES, TAILS = 2048, 32, 32
@@ -50,35 +50,54 @@ REPLICA, WALKED, SUMS = 4_000, 2_000_000, 16
 #: Words of a batch that is scored side by side, about.
 SIDE_BY_SIDE = 1_500_000
 END = b"\n"  # no word has this byte
-
-
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
-def tail_class(word: bytes) -> int:
-    return (word[-1] * 7 + word[-2:][0] * 31 + len(word) // 6) % TAILS
+#: Rows of logits that are worked on at a time, so that they stay in a core's cache.
+CACHED = 2_048
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Tail class of each of an array of binary words (none empty), by their last two bytes and lengths."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
+    last, before = data[ends[1:] - 1], data[np.maximum(ends[1:] - 2, ends[:-1])]
+    return ((last * 7 + before * 31 + (ends[1:] - ends[:-1]) // 6) % TAILS).astype(np.int32)
+
+
+class Tokens:
+    """Tokens of a column of texts: `words` (distinct, the end token last), `at` (a row of words for each token), `sizes` (tokens of each text, its end included)."""
+
+    def __init__(self, column: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.cast(pa.binary()), np.asarray(coded.indices).astype(np.int64)
+        of = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        # white space at a text's edges leaves empty pieces
+        empty = pc.index(words, b"").as_py()
+        if empty >= 0:
+            at, of = at[at != empty], of[at != empty]
+            words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+            at -= at > empty
+        self.sizes = np.bincount(of, minlength=len(lists)) + 1
+        self.at = np.full(len(at) + len(lists), len(words))
+        self.at[np.arange(len(at)) + of] = at
+        self.words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        self.ends = np.cumsum(self.sizes)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of one value for each token, in each text."""
+        return np.add.reduceat(values, self.ends - self.sizes) if len(self.sizes) else np.zeros(0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of docs, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-
         for b in batches:
-            for t in text_bytes(b.column("text")):
-                held.update(tokens(t))
-            if len(held) > 400_000:
-                yield counted()
-                held.clear()
-        if held:
-            yield counted()
+            t = Tokens(b.column("text"))
+            counts = np.bincount(t.at, minlength=len(t.words))
+            held = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([t.words.take(pa.array(held)), pa.array(counts[held], pa.int64())], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -97,24 +116,32 @@ class Vocabulary:
             least = r["c"]
         rows = [(-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).toLocalIterator()] if least < 1 << 62 else []
         rows.sort()
-        self.listed = {w: (i, -c) for i, (c, w) in enumerate(rows)}
-        self.head = [w for _, w in rows[:HEAD]]
-        self.head_counts = np.array([-c for c, _ in rows[:HEAD]] + [0] * (HEAD - len(rows[:HEAD])), float)
-        head = self.listed
-        limit = len(self.head)
+        #: by rank
+        self.listed, self.counts = pa.array([w for _, w in rows], pa.binary()), np.array([-c for c, _ in rows], float)
+        self.head = self.listed.slice(0, HEAD)
+        self.head_counts = np.concatenate([self.counts[:HEAD], np.zeros(HEAD - len(self.head))])
+        head = self.head
 
         def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mass = np.zeros(TAILS)
             for b in batches:
-                for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-                    at = head.get(w)
-                    if at is None or at[0] >= limit:
-                        mass[tail_class(w)] += c + 0.5
+                tail = pc.invert(pc.is_in(b.column("word"), value_set=head))
+                words, c = b.column("word").filter(tail), np.asarray(b.column("c").filter(tail))
+                mass += np.bincount(tail_classes(words), c + 0.5, minlength=TAILS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAILS), pa.int32()), pa.array(mass)], ["tail", "mass"])
 
-        found = {r["tail"]: r["mass"] for r in counts.mapInArrow(masses, "tail int, mass double").groupBy("tail").agg(F.sum("mass").alias("mass")).collect()}
+        found = {r["tail"]: r["mass"] for r in counts.select("word", "c").mapInArrow(masses, "tail int, mass double").groupBy("tail").agg(F.sum("mass").alias("mass")).collect()}
         self.tail_mass = np.array([found.get(k, 0.0) + 0.5 for k in range(TAILS)])
 
+    def encode(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the tokens, and logarithms of listed counts (nan: not listed)."""
+        rank = pc.fill_null(pc.index_in(t.words, value_set=self.listed), -1).to_numpy(zero_copy_only=False)
+        head = (rank >= 0) & (rank < HEAD)
+        ids = np.where(head, rank, HEAD + tail_classes(t.words)).astype(np.int32)
+        logs = np.full(len(rank), np.nan)
+        logs[rank >= 0] = np.log10(self.counts[rank[rank >= 0]] + 0.5)
+        return ids[t.at], logs[t.at]
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
@@ -156,24 +183,34 @@ class Gru:
                 kept.append((before, z, r, new, r_in[:, 2 * s :]))
         return states, h, kept
 
+    def _bounded(self, weights: np.ndarray, biases: np.ndarray) -> bool:
+        """No logit of a state (whose entries are within -1 and 1) is too large for exp."""
+        return bool((np.abs(weights).sum(0) + np.abs(biases)).max() < 60)
+
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of ids y after states h; a tail word's is that of its class."""
         p, per = self.p, HEAD // CLASSES
         at = np.where(y < HEAD, y // per, y - HEAD + CLASSES)
         out = np.empty(len(y))
-        for k in range(0, len(y), 16_384):
-            logits = h[k : k + 16_384] @ p["C"] + p["c"]
-            top = logits.max(1)
-            out[k : k + 16_384] = logits[np.arange(len(logits)), at[k : k + 16_384]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+
+        def chosen(logits: np.ndarray, own: np.ndarray, bounded: bool) -> np.ndarray:
+            if not bounded:
+                logits -= logits.max(1)[:, None]
+            picked = logits[np.arange(len(logits)), own]
+            np.exp(logits, out=logits)
+            return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+        bounded = self._bounded(p["C"], p["c"])
+        for k in range(0, len(y), CACHED):
+            out[k : k + CACHED] = chosen(h[k : k + CACHED] @ p["C"] + p["c"], at[k : k + CACHED], bounded)
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             rows = order[ends[k] : ends[k + 1]]
-            for j in range(0, len(rows), 16_384):
-                part = rows[j : j + 16_384]
-                logits = h[part] @ p["D"][k] + p["d"][k]
-                top = logits.max(1)
-                out[part] += logits[np.arange(len(part)), y[part] - k * per] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            bounded = self._bounded(p["D"][k], p["d"][k])
+            for j in range(0, len(rows), CACHED):
+                part = rows[j : j + CACHED]
+                out[part] += chosen(h[part] @ p["D"][k] + p["d"][k], y[part] - k * per, bounded)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -185,11 +222,17 @@ class Gru:
         h, ids = states[valid], y[valid]
         dh = np.zeros_like(h)
         at = np.where(ids < HEAD, ids // per, ids - HEAD + CLASSES)
-        logits = h @ p["C"] + p["c"]
-        q = np.exp(logits - logits.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        q[np.arange(len(ids)), at] -= 1
-        q /= n
+
+        def errors(logits: np.ndarray, own: np.ndarray, bounded: bool) -> np.ndarray:
+            """Probabilities, less 1 at the words that came, by the number of steps."""
+            if not bounded:
+                logits -= logits.max(1, keepdims=True)
+            q = np.exp(logits, out=logits)
+            q /= (q @ np.full(q.shape[1], n, q.dtype))[:, None]
+            q[np.arange(len(own)), own] -= 1 / n
+            return q
+
+        q = errors(h @ p["C"] + p["c"], at, self._bounded(p["C"], p["c"]))
         g["C"], g["c"] = h.T @ q, q.sum(0)
         dh += q @ p["C"].T
         order = np.argsort(at, kind="stable")
@@ -197,11 +240,7 @@ class Gru:
         for k in range(CLASSES):
             rows = order[ends[k] : ends[k + 1]]
             if len(rows):
-                logits = h[rows] @ p["D"][k] + p["d"][k]
-                q = np.exp(logits - logits.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(rows)), ids[rows] - k * per] -= 1
-                q /= n
+                q = errors(h[rows] @ p["D"][k] + p["d"][k], ids[rows] - k * per, self._bounded(p["D"][k], p["d"][k]))
                 g["D"][k], g["d"][k] = h[rows].T @ q, q.sum(0)
                 dh[rows] += q @ p["D"][k].T
         at_states = np.zeros_like(states)
@@ -237,40 +276,16 @@ class Gru:
             at += v.size
 
 
-class Encoder(dict):
-    """Word -> row of tables of ids and of logarithms of listed counts (nan: not listed). Starts over once it holds `limit` words."""
-
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
-        super().__init__()
-        self.limit, self.listed, self.heads = limit, vocabulary.listed, len(vocabulary.head)
-        self.ids, self.logs = np.empty(1 << 14, np.int32), np.empty(1 << 14)
-
-    def __missing__(self, word: bytes) -> int:
-        row = len(self)
-        if row == len(self.ids):
-            self.ids, self.logs = np.concatenate([self.ids] * 2), np.concatenate([self.logs] * 2)
-        rank, c = self.listed.get(word, (HEAD, -1))
-        self.ids[row] = rank if rank < self.heads else HEAD + tail_class(word)
-        self.logs[row] = np.log10(c + 0.5) if c >= 0 else np.nan
-        self[word] = row
-        return row
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > self.limit:
-            self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.ids[rows], self.logs[rows]
-
-
 def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
     """One walk over the documents in LANES lanes, each a run of documents one after another; Adam steps by windows. Returns steps."""
     lanes = min(LANES, len(documents))
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    loads, dealt = [0] * lanes, [[] for _ in range(lanes)]
+    free, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for i in order:
-        k = loads.index(min(loads))
+        load, k = free[0]
         dealt[k].append(documents[i])
-        loads[k] += len(documents[i])
+        heapq.heapreplace(free, (load + len(documents[i]), k))
+    loads = {k: load for load, k in free}
     # longest lanes first: those that ended take no part in later windows
     by_load = sorted(range(lanes), key=lambda k: -loads[k])
     loads, dealt = np.array([loads[k] for k in by_load]), [dealt[k] for k in by_load]
@@ -311,11 +326,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
     dealt = docs.select(lane.alias("replica"), "doc_id", "text").repartitionById(replicas, "replica").sortWithinPartitions("doc_id", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encoder, held, size, weight = Gru(vocabulary, seed), Encoder(vocabulary), [], 0, 0
+        own, held, size, weight = Gru(vocabulary, seed), [], 0, 0
         for b in batches:
-            for t in text_bytes(b.column("text")):
-                held.append(encoder.of(tokens(t))[0])
-                size += len(held[-1])
+            t = Tokens(b.column("text"))
+            for ids in np.split(vocabulary.encode(t)[0], t.ends[:-1]) if len(t.ends) else []:
+                held.append(ids)
+                size += len(ids)
                 if size > WALKED:
                     weight += _train(own, held, LEARNING_RATE)
                     held, size = [], 0
@@ -343,16 +359,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
     return model
 
 
-def _score_side_by_side(model: Gru, ids: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each document (tail words: of their class), states carried from window to window."""
-    order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
-    sizes = np.array([len(ids[i]) for i in order])
-    h = np.zeros((len(ids), STATE), np.float32)
-    last = np.full(len(ids), HEAD + TAILS, np.int32)
-    total = np.zeros(len(ids))
-    ends = np.cumsum(sizes)
-    flat = np.concatenate([ids[i] for i in order]) if len(ids) else np.zeros(0, np.int32)
-    starts = ends - sizes
+def _score_side_by_side(model: Gru, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each document (tail words: of their class), states carried from window to window. flat: ids of one after another."""
+    order = np.argsort(-sizes, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    h = np.zeros((len(sizes), STATE), np.float32)
+    last = np.full(len(sizes), HEAD + TAILS, np.int32)
+    total = np.zeros(len(sizes))
     for t in range(0, int(sizes.max(initial=0)), WINDOW):
         n = int(np.searchsorted(-sizes, -t, "left"))  # documents longer than t come first
         steps = min(WINDOW, int(sizes[0]) - t)
@@ -364,47 +378,43 @@ def _score_side_by_side(model: Gru, ids: list[np.ndarray]) -> np.ndarray:
         h[:n], last[:n] = h_end, y[:, -1]
         found = model.log_probs(states.transpose(1, 0, 2)[valid], y[valid])
         total[:n] += np.bincount(np.nonzero(valid)[0], found, minlength=n)
-    out = np.empty(len(ids))
+    out = np.empty(len(sizes))
     out[order] = total / np.log(10)
     return out
 
 
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, model: Gru) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score, unlisted): what listed words give, and the other words with how often each stands there."""
+    """(doc_id, n_tokens, n_known, base_score, score, unlisted): what listed words give, and the other words as often as each stands there."""
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
         + [T.StructField("unlisted", T.ArrayType(T.BinaryType()))]
     )
-    log_mass = np.log10(vocabulary.tail_mass)
+    log_mass = np.concatenate([np.zeros(HEAD), np.log10(vocabulary.tail_mass)])
     whole = np.log10(vocabulary.n + 0.5 * (vocabulary.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        doc_ids, ids, rows, unlisted, size = [], [], [], [], 0
-
-        def scored() -> pa.RecordBatch:
-            r = np.array(rows)
-            score = _score_side_by_side(model, ids) + r[:, 3]
-            ends = np.cumsum([0] + [len(u) for u in unlisted])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([w for u in unlisted for w in u], pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids), pa.array(r[:, 0].astype(np.int64)), pa.array(r[:, 1].astype(np.int64)), pa.array(r[:, 2]), pa.array(score), lists], schema.fieldNames())
-
         for b in batches:
-            doc_ids.append(b.column("doc_id"))
-            for t in text_bytes(b.column("text")):
-                words = tokens(t)
-                own, logs = encoder.of(words)
-                tail, listed = own >= HEAD, ~np.isnan(logs)
-                in_class = logs[tail & listed].sum() - log_mass[own[tail] - HEAD].sum()
-                rows.append((len(words), int(listed.sum()), logs[listed].sum() - len(words) * whole, in_class))
-                unlisted.append([words[i] for i in np.flatnonzero(~listed)])
-                ids.append(own)
-                size += len(words)
-            if size > SIDE_BY_SIDE:
-                yield scored()
-                doc_ids, ids, rows, unlisted, size = [], [], [], [], 0
-        if rows:
-            yield scored()
+            if not b.num_rows:
+                continue
+            t = Tokens(b.column("text"))
+            ids, logs = vocabulary.encode(t)
+            listed = ~np.isnan(logs)
+            logs = np.where(listed, logs, 0.0)
+            n_known, known = t.sums(listed.astype(np.int64)), t.sums(logs)
+            in_class = t.sums(np.where(ids >= HEAD, logs, 0.0) - log_mass[ids])
+            score = np.empty(len(t.sizes))
+            low = 0
+            while low < len(t.sizes):  # some documents at a time, of SIDE_BY_SIDE words or one
+                before = t.ends[low] - t.sizes[low]
+                high = max(int(np.searchsorted(t.ends, before + SIDE_BY_SIDE, "right")), low + 1)
+                score[low:high] = _score_side_by_side(model, ids[before : t.ends[high - 1]], t.sizes[low:high])
+                low = high
+            rest = t.words.take(pa.array(t.at[~listed]))
+            ends = np.concatenate([[0], np.cumsum(t.sizes - n_known)])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(t.sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(known - t.sizes * whole), pa.array(score + in_class), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                schema.fieldNames(),
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

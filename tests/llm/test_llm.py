@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,8 +352,46 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-3 - g[k][at]) < 2e-4 + 0.02 * abs(g[k][at])
 
 
-def test_lm_base_and_windows(spark, odd):
+def plain_tokens(text):
+    """Words between ASCII white space, A-Z lower-cased, and an end."""
+    return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))] + [lm.END]
+
+
+def test_lm_tokens():
+    texts = ["", " a  B\tÀ\x0bb ", None, "x\u2003y\x1cz", "\n", "İI K"]
+    t = lm.Tokens(pa.array(texts, pa.string()))
+    words = t.words.to_pylist()
+    got = [[words[i] for i in t.at[e - n : e]] for e, n in zip(t.ends, t.sizes)]
+    assert got == [plain_tokens(x) for x in texts]
+    assert len(lm.Tokens(pa.array([], pa.string())).sizes) == 0
+    every = [w for w in words if w != lm.END]
+    assert lm.tail_classes(pa.array(every, pa.binary())).tolist() == [(w[-1] * 7 + w[-2:][0] * 31 + len(w) // 6) % lm.TAILS for w in every]
+
+
+def plain_score(model, v, counts, text):
+    """log10 probability of a text, word by word, from the definition."""
+    head, sigmoid = {w: i for i, w in enumerate(v.head.to_pylist())}, lambda x: 1 / (1 + np.exp(-x))
+    p, s, per = {k: x.astype(float) for k, x in model.p.items()}, lm.STATE, lm.HEAD // lm.CLASSES
+    h, last, total = np.zeros(s), lm.HEAD + lm.TAILS, 0.0
+    for w in plain_tokens(text):
+        a, r = p["E"][last] @ p["W"] + p["b"], h @ p["U"]
+        z, reset = sigmoid(a[:s] + r[:s]), sigmoid(a[s : 2 * s] + r[s : 2 * s])
+        h = z * h + (1 - z) * np.tanh(a[2 * s :] + reset * r[2 * s :])
+        last = head.get(w, lm.HEAD + (w[-1] * 7 + w[-2:][0] * 31 + len(w) // 6) % lm.TAILS)
+        k = last // per if last < lm.HEAD else last - lm.HEAD + lm.CLASSES
+        logits = h @ p["C"] + p["c"]
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if last < lm.HEAD:
+            logits = h @ p["D"][k] + p["d"][k]
+            total += logits[last % per] - np.log(np.exp(logits).sum())
+        else:
+            total += np.log((counts.get(w, 0) + 0.5) / v.tail_mass[last - lm.HEAD])
+    return total / np.log(10)
+
+
+def test_lm_base_windows_and_scores(spark, odd, monkeypatch):
     rows, df = odd
+    monkeypatch.setattr(lm, "LISTED", 2_500)  # some words of the table are beyond the list
     learned = df.where("doc_id % 2 = 0").select("doc_id", "text")
     counts = lm.word_counts(learned)
     v = lm.Vocabulary(counts)
@@ -360,23 +399,40 @@ def test_lm_base_and_windows(spark, odd):
     got = lm.with_rare_words(lm.score_documents(df.select("doc_id", "text"), v, model), counts, v).collect()
     c = {bytes(r["word"]): r["c"] for r in counts.collect()}
     n = sum(c.values())
-    want = sorted((i or -1, len(lm.tokens((t or "").encode())), sum(np.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in lm.tokens((t or "").encode()))) for i, t, _ in rows)
-    have = sorted((r["doc_id"] or -1, r["n_tokens"], r["base_score"]) for r in got)
-    assert [x[:2] for x in want] == [x[:2] for x in have] and np.allclose([x[2] for x in want], [x[2] for x in have])
-    ids = [np.arange(lm.WINDOW * 3 + 5, dtype=np.int32) % 50, np.array([4], np.int32)]
-    together = lm._score_side_by_side(model, ids)
-    x = np.concatenate([[lm.HEAD + lm.TAILS], ids[0][:-1]])[:, None]
-    states, _, _ = model.run(x, np.zeros((1, lm.STATE), np.float32))
-    assert abs(model.log_probs(states[:, 0], ids[0]).sum() / np.log(10) - together[0]) < 1e-3
+    want = sorted((i or -1, len(plain_tokens(t)), sum(np.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in plain_tokens(t)), sum(w in c for w in plain_tokens(t))) for i, t, _ in rows)
+    have = sorted((r["doc_id"] or -1, r["n_tokens"], r["base_score"], r["n_known"]) for r in got)
+    assert [x[:2] for x in want] == [x[:2] for x in have] and [x[3] for x in want] == [x[3] for x in have] and np.allclose([x[2] for x in want], [x[2] for x in have])
+    plain = sorted((r[0] or -1, plain_score(model, v, c, r[1])) for r in rows if len(r[1] or "") < 5_000)
+    short = {(r[0] or -1) for r in rows if len(r[1] or "") < 5_000}
+    near = sorted((r["doc_id"] or -1, r["score"]) for r in got if (r["doc_id"] or -1) in short)
+    assert len(plain) == len(near) and np.allclose([x[1] for x in plain], [x[1] for x in near], rtol=1e-4, atol=1e-3)
     assert lm.score_documents(docs_of(spark, []), v, model).count() == 0
 
 
+def test_lm_without_training_text(spark, odd):
+    none = odd[1].select("doc_id", "text").limit(0)
+    counts = lm.word_counts(none)
+    v = lm.Vocabulary(counts)
+    got = lm.with_rare_words(lm.score_documents(odd[1].select("doc_id", "text"), v, lm.train(none, v)), counts, v).collect()
+    assert len(got) == len(odd[0]) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-6 and r["score"] < 0 for r in got)
+
+
 def test_lm_walks_every_training_document(spark):
     # each word opens six of 9,000 documents; a word's embedding moves only where a document that holds it is walked
     docs = docs_of(spark, [(i, "w%d x" % (i % 1500), "s") for i in range(9000)]).select("doc_id", "text")
     v = lm.Vocabulary(lm.word_counts(docs))
     moved = (lm.train(docs, v).p["E"] != lm.Gru(v).p["E"]).any(1)
-    assert len(v.head) == 1502 and all(moved[i] for i, w in enumerate(v.head) if w.startswith(b"w"))
+    head = v.head.to_pylist()
+    assert len(head) == 1502 and all(moved[i] for i, w in enumerate(head) if w.startswith(b"w"))
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    docs = docs_of(spark, [(i, words(rng, 30), "s") for i in range(300)]).select("doc_id", "text")
+    monkeypatch.setattr(lm, "REPLICA", 60)
+    v = lm.Vocabulary(lm.word_counts(docs))
+    one, many = lm.train(docs.coalesce(1), v), lm.train(docs.repartition(7), v)
+    assert all(np.allclose(one.p[k], many.p[k], atol=1e-6) for k in one.p)
 
 
 def test_chroma_alignment_and_recall(spark):
