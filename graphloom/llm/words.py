@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 #: Odd multipliers that tell places in a shingle apart.
 PLACES = np.array(
@@ -20,7 +19,12 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def hash64(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return xxh3_64_intdigest(word)
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """hash64 of each of an array of binary words."""
+    return np.fromiter(map(hash64, words.to_pylist()), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -266,16 +266,97 @@ def test_decontamination(spark, odd):
     assert decontamination.contaminated(odd[1], bench.limit(0)).count() == 0
 
 
-def test_decontamination_of_copies_in_other_places():
-    items = [b"What is the capital of France?", b"Which of the old towns did Anna Miller leave in spring", b"Anna has 3 apples and 4 pears"]
-    index = decontamination.Index(list(enumerate(items)))
-    found = lambda text: [m[0] for m in index.matches(text, decontamination.Templates())]
+def found_items(spark, items, texts):
+    """Items that contaminate each text."""
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    out = [[] for _ in texts]
+    for r in decontamination.contaminated(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect():
+        out[r["doc_id"]].append(r["item_id"])
+    return [sorted(x) for x in out]
+
+
+def test_decontamination_of_copies_in_other_places(spark):
+    items = ["What is the capital of France?", "Which of the old towns did Anna Miller leave in spring", "Anna has 3 apples and 4 pears"]
+    texts, want = [], []
     for k, item in enumerate(items):
-        for text in (item, b"Question 3\n" + item, b"they asked " + item + b" and left", item.lower(), b"so " + item.lower() + b" so"):
-            assert found(text) == [k], text
-    assert found(b"Question 3\nWhat is the capital of Peru?") == [0]
-    assert found(b"Question 3\nWhat is the river of France?") == []
-    assert found(b"Question 3\nwhich of the old towns did anna leave in spring") == []
+        for text in (item, "Question 3\n" + item, "they asked " + item + " and left", item.lower(), "so " + item.lower() + " so"):
+            texts.append(text)
+            want.append([k])
+    texts += ["Question 3\nWhat is the capital of Peru?", "Question 3\nWhat is the river of France?", "Question 3\nwhich of the old towns did anna leave in spring"]
+    assert found_items(spark, items, texts) == want + [[0], [], []]
+
+
+def test_decontamination_of_numbers_and_names(spark):
+    # hardly a word of these items is literal
+    tables = "Totals 12 14 18 21 33 47 58 61 72 85 93 104 117"
+    sums = "Add 12 kg 14 kg 18 kg and 21 kg then 33 kg less 47 kg"
+    texts = [tables, "so " + tables + " so", tables.replace("12", "13").replace("93", "94"), "Totals " + " ".join(str(i) for i in range(200, 213)), sums.replace("12", "5").replace("18", "7"), "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", ""]
+    assert found_items(spark, [tables, sums], texts) == [[0], [0], [0], [], [1], [], []]
+    assert found_items(spark, [sums, sums, "", None], [sums, sums]) == [[0, 1], [0, 1]]
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    bag = "the of a train town leaves house river old red".split() + ["Anna", "Peter", "Rome", "7", "12", "30", "kg", "km", "so.", "(end)"]
+    some = lambda n: " ".join(rng.choice(bag, n))
+    items = [some(n) for n in (3, 6, 8, 9, 13, 14, 20, 30, 40)]
+    swap = {"Anna": "Peter", "7": "19", "12": "44", "Rome": "Oslo"}
+    texts = []
+    for _ in range(150):
+        words_, item = some(int(rng.integers(0, 40))).split(), items[int(rng.integers(len(items)))].split()
+        kind, at = int(rng.integers(5)), int(rng.integers(0, len(words_) + 1))
+        if kind == 1:
+            item = [swap.get(w, w) for w in item]
+        elif kind == 2:
+            item = item[int(rng.integers(len(item))) :]
+        elif kind == 3:
+            item[int(rng.integers(len(item)))] = "other"
+        texts.append(" ".join(words_ if kind == 4 else words_[:at] + item + words_[at:]))
+
+    def read(text):
+        words_ = text.split()
+        own, code, other = [], [], []
+        for i, w in enumerate(words_):
+            core = w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+            number = lambda x: re.fullmatch(r"[+-]?[$]?[0-9][0-9.,:/%]*", x.strip("().")) is not None
+            opens = i == 0 or words_[i - 1].rstrip("\"')]}")[-1:] in set(".!?:|") - {""}
+            capital = re.fullmatch("[A-Z][^A-Z]*", core) is not None
+            kind = "N" if number(core) else "U" if core.lower() in decontamination.UNITS and i and number(words_[i - 1]) else "A" if capital and not opens else None
+            own.append(core.lower())
+            code.append(("slot", kind) if kind else core.lower())
+            other.append(core.lower() if kind == "A" else ("slot", "A") if capital and opens and not kind else code[-1])
+        return own, code, other
+
+    want = []
+    for text in texts:
+        own, code, other = read(text)
+        hit = []
+        for k, item in enumerate(items):
+            i_own, i_code, _ = read(item)
+            n, slot = len(i_own), [isinstance(c, tuple) for c in i_code]
+            size = min(8, n)
+            rich = max(sum(not x for x in slot[p : p + size]) for p in range(n - size + 1))
+            shifts = set()
+            for p in range(n - size + 1):
+                looked = {tuple(i_own[p : p + size])}
+                if sum(not x for x in slot[p : p + size]) >= min(4, rich):
+                    looked.add(tuple(i_code[p : p + size]))
+                for q in range(len(own) - size + 1):
+                    read_as = {tuple(code[q : q + size]), tuple(own[q : q + size]), (other[q], *code[q + 1 : q + size])}
+                    if looked & read_as:
+                        shifts.add(q - p)
+            covered, same = set(), set()
+            for s in shifts:
+                match = [0 <= p + s < len(own) and (i_own[p] == own[p + s] or i_code[p] in (code[p + s], other[p + s])) for p in range(n)]
+                here = sorted({x for p in range(n - size + 1) if all(match[p : p + size]) for x in range(p, p + size)})
+                if all(len({own[x + s] for x in here if slot[x] and i_own[x] == v}) < 2 for v in i_own):
+                    covered |= set(here)
+                    same |= {x for x in here if own[x + s] == i_own[x]}
+            if len(covered) >= min(13, n) and len(same) >= min(4, n):
+                hit.append(k)
+        want.append(hit)
+    assert sum(map(len, want)) > 40
+    assert found_items(spark, items, texts) == want
 
 
 def test_quality(spark, odd):
