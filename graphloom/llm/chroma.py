@@ -4,17 +4,25 @@ A recording's power spectrum is folded into 12 pitch classes per frame. Sixteen
 filters compare the sums of neighbouring rectangles of that image (time by
 pitch class), read from its integral image; each log ratio is quantised to two
 bits in Gray code, and the 32 bits are one code per frame. Recordings with equal
-code sequences are one class. Query classes meet all classes on equal pairs of
-adjacent codes; the offsets of those meetings form a histogram per pair, and at
-its mode the bit error rate over the overlap decides.
-
-The index (pairs of adjacent codes) covers every recording. Alignments without
-a single equal pair are not found; tests hold recall against brute force.
+code sequences are one class. The index has, for every place of every class and
+each of BANDS bands of the code's bits, the band's bits at POINTS places GAP
+apart. Where a query class and another class have an entry in common, their
+offset gets a vote; at every offset with a vote the bit error rate over the
+overlap is measured, and two classes are aligned by the offset of the least rate,
+if that is MOST_ERRORS at most over LEAST_OVERLAP codes or more.
+
+The index covers every recording, and no offset with a vote is left out.
+Alignments of which no entry survived aren't found: against brute force over all
+offsets, under the same rule, tests find at least 0.9 of them for noise, echo,
+exchanged notes and shifts off the frames' grid, on recordings of the tables.
 
 Edge cases: null, empty or too short recordings have no codes, are a class of
-their own (null class id) and match nothing; silence has the codes of silence;
-repeated rows are copies; an empty table gives no rows; other columns are
-ignored.
+their own (null class id) and match nothing; null values of a recording are 0;
+silence has the codes of silence; repeated rows are copies, and an id that stands
+at several recordings belongs to each of their classes; of several offsets of one
+rate the longest overlap decides, then the least offset; an empty
+table gives no rows; other columns, whatever their names, are ignored. Ids are
+integers.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.runtime import materialize
@@ -36,8 +44,12 @@ FILTERS = tuple((k % 6, (5 * k) % 9, 3 + k % 4 if (5 * k) % 9 + 3 + k % 4 <= 12
 LONGEST = max(f[3] for f in FILTERS)
 CUTS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Bit error rate up to which two recordings are aligned, over so many codes at least.
-MOST_ERRORS, LEAST_OVERLAP = 0.25, 16
+#: Bit error rate up to which two recordings are aligned, over so many codes (two seconds of frames) at least.
+MOST_ERRORS, LEAST_OVERLAP = 0.2, 64
+#: Index entries: bands of a code's bits, at so many places, so far apart.
+BANDS, POINTS, GAP = 4, 4, 4
+#: Index entries and codes of queries that are broadcast, at most; beyond, a shuffled join by so many salts.
+ASKED, ASKED_CODES, SALTS = 1_000_000, 4_000_000, 8
 
 
 def tones(values: np.ndarray) -> np.ndarray:
@@ -127,42 +139,78 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[low:high] ^ b[low + offset : high + offset]).sum()), high - low
 
 
+def entries(codes: np.ndarray) -> np.ndarray:
+    """Index entries by band (row) and place (column)."""
+    width, reach = 32 // BANDS, (POINTS - 1) * GAP
+    n = max(len(codes) - reach, 0)
+    out = np.zeros((BANDS, n), np.uint64)
+    for band in range(BANDS):
+        bits = (codes.view(np.uint32) >> np.uint32(band * width) & np.uint32((1 << width) - 1)).astype(np.uint64)
+        for k in range(POINTS):
+            out[band] = out[band] << np.uint64(width) | bits[k * GAP : k * GAP + n]
+        out[band] |= np.uint64(band << 48)
+    return out
+
+
+def index(prints: DataFrame) -> DataFrame:
+    """(class_key, place, entry) of all classes (class_key, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("codes")
+            found = [entries(x.values.to_numpy(zero_copy_only=False)) for x in lists]
+            sizes = [x.size for x in found]
+            if not sum(sizes):
+                continue
+            keys = b.column("class_key").take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+            place = np.concatenate([np.tile(np.arange(x.shape[1], dtype=np.int32), BANDS) for x in found])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(place), pa.array(np.concatenate([x.ravel() for x in found]).view(np.int64))], ["class_key", "place", "entry"])
+
+    return prints.select("class_key", "codes").mapInArrow(run, "class_key long, place int, entry long")
+
+
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, class_key, offset, votes, overlap, error_rate) of the query classes and the other classes aligned with them.
 
-    prints: (class_key, codes), one row for each class; queries: (class_key) of the query classes.
+    prints: (class_key, codes), one row for each class; queries: (class_key) of
+    the query classes. Both should be tables. Queries' entries are broadcast up
+    to ASKED of them; otherwise the entries meet by salted keys.
     """
-    pairs = F.zip_with(F.slice("codes", 1, F.size("codes") - 1), F.slice("codes", 2, F.size("codes") - 1), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    places = prints.where(F.size("codes") > 1).select("class_key", F.posexplode(pairs).alias("place", "pair"))
-    asked = places.join(queries, "class_key", "left_semi").select(F.col("class_key").alias("query"), F.col("place").alias("query_place"), "pair")
-    votes = asked.join(places, "pair").where("query <> class_key").groupBy("query", "class_key", (F.col("place") - F.col("query_place")).alias("offset")).agg(F.count("*").alias("votes"))
-    mode = Window.partitionBy("query", "class_key").orderBy(F.desc("votes"), "offset")
-    best = votes.withColumn("place", F.row_number().over(mode)).where("place = 1").drop("place")
-    both = best.join(prints.select(F.col("class_key").alias("query"), F.col("codes").alias("query_codes")), "query").join(prints, "class_key")
+    wanted = materialize(prints.join(queries, "class_key", "left_semi").select(F.col("class_key").alias("query"), F.col("codes").alias("query_codes")), "chroma-queries")
+    asked = materialize(index(wanted.select(F.col("query").alias("class_key"), F.col("query_codes").alias("codes"))).select(F.col("class_key").alias("query"), F.col("place").alias("query_place"), "entry"), "chroma-asked")
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        met = index(prints).join(F.broadcast(asked), "entry")
+    else:
+        salted = asked.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        met = index(prints).withColumn("salt", F.pmod(F.xxhash64("class_key"), F.lit(SALTS)).cast("int")).join(salted, ["entry", "salt"])
+    votes = met.where("query <> class_key").groupBy("query", "class_key", (F.col("place") - F.col("query_place")).alias("offset")).agg(F.count("*").alias("votes"))
+    few = (wanted.agg(F.sum(F.size("query_codes")).alias("n")).first()["n"] or 0) <= ASKED_CODES
+    both = votes.join(prints.select("class_key", "codes"), "class_key").join(F.broadcast(wanted) if few else wanted, "query")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [
-                bit_errors(np.array(x, np.int32), np.array(y, np.int32), o)
-                for x, y, o in zip(b.column("query_codes").to_pylist(), b.column("codes").to_pylist(), b.column("offset").to_pylist())
-            ]
+            x, y = b.column("query_codes"), b.column("codes")
+            rows = [bit_errors(x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False), o) for i, o in enumerate(b.column("offset").to_pylist())]
             overlap = np.array([r[1] for r in rows], np.int64)
             rate = np.array([r[0] for r in rows]) / np.maximum(32 * overlap, 1)
+            kept = pa.array((overlap >= LEAST_OVERLAP) & (rate <= MOST_ERRORS))
             own = b.select(["query", "class_key", "offset", "votes"])
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(overlap), pa.array(rate)], [*own.schema.names, "overlap", "error_rate"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(overlap), pa.array(rate)], [*own.schema.names, "overlap", "error_rate"]).filter(kept)
 
-    measured = both.mapInArrow(compare, "query long, class_key long, offset int, votes long, overlap long, error_rate double")
-    return measured.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("error_rate") <= MOST_ERRORS))
+    measured = both.select("query", "class_key", "offset", "votes", "query_codes", "codes").mapInArrow(compare, "query long, class_key long, offset int, votes long, overlap long, error_rate double")
+    best = measured.groupBy("query", "class_key").agg(F.min(F.struct("error_rate", (-F.col("overlap")).alias("less"), "offset", "votes", "overlap")).alias("best"))
+    return best.select("query", "class_key", "best.offset", "best.votes", "best.overlap", "best.error_rate")
 
 
-def search(vectors: DataFrame, key: str, values: str, is_query) -> DataFrame:
-    """Every row with its class (smallest id of equal codes) and, in classes with a query, what they are aligned with."""
-    prints = materialize(fingerprints(vectors, key, values), "chroma-codes")
-    asked = prints.where(is_query(F.col("id"))).where("class_key IS NOT NULL").select("class_key").distinct()
+def search(vectors: DataFrame, key: str, values: str, is_query) -> tuple[DataFrame, DataFrame]:
+    """Every row with its class: (id, is_query, class_id, n_codes, codes_sha256); and the alignments of the classes with a query:
+    (class_id, match_class, offset, votes, overlap, error_rate). A class's id is the smallest of its rows'."""
+    prints = materialize(fingerprints(vectors, key, values).withColumn("is_query", F.coalesce(is_query(F.col("id")), F.lit(False))), "chroma-codes")
+    asked = prints.where("is_query AND class_key IS NOT NULL").select("class_key").distinct()
     # equal keys have equal codes, so any row's codes do; the id says which row names the class
     classes = materialize(prints.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes")), "chroma-classes")
-    found = align(classes.select("class_key", "codes"), asked).join(classes.select("class_key", "class_id"), "class_key")
-    found = found.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("error_rate", "class_id", "offset", "overlap")).alias("best"))
-    known = classes.select("class_key", "class_id").join(found, F.col("class_key") == F.col("query"), "left").drop("query")
-    rows = prints.select("id", "class_key", F.size("codes").alias("n_codes"), F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256).alias("codes_sha256"))
-    return rows.join(known, "class_key", "left").drop("class_key")
+    names = classes.select("class_key", "class_id")
+    found = align(classes.select("class_key", "codes"), asked).join(names.select("class_key", F.col("class_id").alias("match_class")), "class_key").drop("class_key")
+    found = materialize(found.join(names, F.col("query") == F.col("class_key")).select("class_id", "match_class", "offset", "votes", "overlap", "error_rate"), "chroma-alignments")
+    rows = prints.select("id", "is_query", "class_key", F.size("codes").alias("n_codes"), F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256).alias("codes_sha256"))
+    return rows.join(names, "class_key", "left").drop("class_key"), found

@@ -43,19 +43,20 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made from all embeddings: classes of equal fingerprints, and alignments of every hundredth with all."""
-    found = chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 100 == 0)
-    return found.select(
+    """Recordings made from all embeddings: their classes of equal fingerprints and, for every hundredth, each class aligned with it (a row for each; one row without any)."""
+    rows, found = chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 100 == 0)
+    found = found.withColumnRenamed("class_id", "of_class")
+    return rows.join(found, F.col("is_query") & (F.col("class_id") == F.col("of_class")), "left").select(
         F.col("id").alias("vec_id"),
-        (F.col("id") % 100 == 0).alias("is_query"),
+        "is_query",
         "class_id",
         "n_codes",
         "codes_sha256",
-        "n_matches",
-        F.col("best.class_id").alias("best_class"),
-        F.col("best.offset").alias("best_offset"),
-        F.col("best.overlap").alias("best_overlap"),
-        F.col("best.error_rate").alias("best_error_rate"),
+        "match_class",
+        F.col("offset").alias("match_offset"),
+        F.col("votes").alias("match_votes"),
+        F.col("overlap").alias("match_overlap"),
+        F.col("error_rate").alias("match_error_rate"),
     )
 
 

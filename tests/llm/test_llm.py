@@ -1,6 +1,7 @@
 """Every operator of the subpackage on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and against plainer versions."""
 
 import itertools
+import os
 import re
 import zlib
 
@@ -516,30 +517,65 @@ def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
     assert all(np.allclose(one.p[k], many.p[k], atol=1e-6) for k in one.p)
 
 
-def test_chroma_alignment_and_recall(spark):
+def distorted(rng, samples, values):
+    """The ways in which a recording comes back."""
+    yield samples + rng.normal(size=len(samples)) * 0.4
+    yield np.r_[rng.normal(size=37 * chroma.HOP) * 0.3, samples[: -37 * chroma.HOP]] + rng.normal(size=len(samples)) * 0.2
+    yield samples[29:]
+    yield 0.5 * samples + 0.3 * np.r_[np.zeros(150), samples[:-150]]
+    other = np.where(rng.random(len(values)) < 0.15, rng.normal(size=len(values)) * 0.125, values)
+    yield chroma.tones(other)
+
+
+def test_chroma_alignments_and_recall_against_brute_force(spark):
+    path = "/root/testdata/sf0.001/embeddings.parquet"
     rng = np.random.default_rng(11)
-    base = rng.normal(size=(30, 64)) * 0.125
-    near = base + (rng.random(base.shape) < 0.04) * rng.normal(size=base.shape) * 0.05
-    late = np.concatenate([rng.normal(size=(30, 8)) * 0.125, base[:, :56]], 1)
-    vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate([*base, *near, *late, base[0], base[0]])] + [(500, None), (501, []), (502, [0.1] * 2), (503, [0.0] * 64)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    got = {r["id"]: r for r in chroma.search(df, "vec_id", "embedding", lambda i: i < 30).collect()}
-    assert len(got) == len(vectors) and got[90]["class_id"] == 0 and got[500]["class_id"] is None
-    codes = {i: chroma.codes(chroma.tones(np.array(v))) for i, v in vectors if v and i < 90}
-    found = total = 0
-    prints = chroma.fingerprints(df, "vec_id", "embedding").where("id < 90").cache()
+    base = [np.array(r["embedding"]) for r in spark.read.parquet(path).orderBy("vec_id").limit(40).collect()] if os.path.exists(path) else list(rng.normal(size=(40, 64)) * 0.125)
+    recordings = [chroma.tones(v) for v in base]
+    recordings += [x for v in base for x in distorted(rng, chroma.tones(v), v)]
+    rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(recordings)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, place int").repartition(6)
+    prints = chroma.fingerprints(df, "vec_id", "embedding", recording=lambda v: v).cache()
     keys = {r["id"]: r["class_key"] for r in prints.collect()}
-    links = {(r["query"], r["class_key"]) for r in chroma.align(prints.select("class_key", "codes").dropDuplicates(["class_key"]), prints.where("id < 30").select("class_key").distinct()).collect()}
-    for a in range(30):
-        for b in range(90):
+    links = chroma.align(prints.select("class_key", "codes").dropDuplicates(["class_key"]), prints.where("id < 40").select("class_key").distinct())
+    links = {(r["query"], r["class_key"]): (r["error_rate"], r["overlap"], r["offset"]) for r in links.collect()}
+    codes = [chroma.codes(r).view(np.int32) for r in recordings]
+    found = total = 0
+    for a in range(40):
+        for b in range(len(recordings)):
             if keys[a] == keys[b]:
                 continue
-            rates = [(e / (32 * o)) for off in range(-40, 41) for e, o in [chroma.bit_errors(codes[a].view(np.int32), codes[b].view(np.int32), off)] if o >= 64]
-            if min(rates) <= 0.15:
+            best = None
+            for off in range(-len(codes[a]), len(codes[b])):
+                e, o = chroma.bit_errors(codes[a], codes[b], off)
+                if o >= chroma.LEAST_OVERLAP and e <= chroma.MOST_ERRORS * 32 * o:
+                    best = min(best or (2, 0, 0), (e / (32 * o), -o, off))
+            got = links.get((keys[a], keys[b]))
+            assert not got or best
+            if best:
                 total += 1
-                found += (keys[a], keys[b]) in links
-    assert total >= 30 and found >= 0.9 * total
-    assert chroma.search(df.limit(0), "vec_id", "embedding", lambda i: i < 5).count() == 0
+                found += got is not None and abs(got[0] - best[0]) < 1e-12
+    assert total >= 120 and found >= 0.9 * total, (found, total)
+
+
+def test_chroma_edge_cases_and_salted_join(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(30, 64)) * 0.125
+    near = base + (rng.random(base.shape) < 0.04) * rng.normal(size=base.shape) * 0.05
+    vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate([*base, *near, base[0], base[0]])] + [(500, None), (501, []), (502, [0.1] * 2), (503, [0.0] * 64), (504, [None] * 64), (None, [0.0] * 64), (3, [float(x) for x in base[5]])]
+    df = spark.createDataFrame([(*v, "x", 1, 2) for v in vectors], "vec_id long, embedding array<double>, codes string, class_key int, entry int").repartition(3)
+    rows, links = chroma.search(df, "vec_id", "embedding", lambda i: i < 30)
+    got = rows.collect()
+    assert len(got) == len(vectors) and {r["class_id"] for r in got if r["id"] in (0, 60, 61)} == {0} and {r["class_id"] for r in got if r["id"] in (500, 501, 502)} == {None}
+    assert {r["class_id"] for r in got if r["id"] in (503, 504, None)} == {503} and {r["class_id"] for r in got if r["id"] == 3} == {3}
+    plain = sorted(links.collect())
+    of = {r["id"]: r["class_id"] for r in got}
+    assert {(r["class_id"], r["match_class"]) for r in plain} >= {(i, 30 + i) for i in range(30) if i not in (3, 5) and of[30 + i] == 30 + i}
+    monkeypatch.setattr(chroma, "ASKED", 10)
+    monkeypatch.setattr(chroma, "ASKED_CODES", 10)
+    assert sorted(chroma.search(df, "vec_id", "embedding", lambda i: i < 30)[1].collect()) == plain
+    rows, links = chroma.search(df.limit(0), "vec_id", "embedding", lambda i: i < 5)
+    assert rows.count() == links.count() == 0
 
 
 def test_pipeline_against_plain_version(spark, tmp_path):
