@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
-from graphloom.llm.words import PLACES, hash64, hashes_of, mixed
+from graphloom.llm.words import PLACES, Words, hash64, hashes_of, mixed, runs, slices
 from graphloom.runtime import materialize, small
 
 WINDOW, LITERAL, MATCHED = 8, 4, 13
@@ -63,14 +63,9 @@ class Reading:
     """Words of a column of texts, one text after another: own (hash), code (template's hash), other (code by the other reading), slot (is a placeholder), sizes."""
 
     def __init__(self, column: pa.Array):
-        lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))
-        coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
-        of = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-        there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[at] if len(at) else np.zeros(0, bool)
-        at, of = at[there], of[there]
-        self.sizes = np.bincount(of, minlength=len(lists))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        read = Words(column, lower=False)
+        words, at = read.distinct, read.at
+        self.sizes, self.starts, self.text = read.sizes, read.starts, read.text
         core = pc.utf8_trim(words, characters=_EDGES)
         low = pc.ascii_lower(core)
         flag = lambda x: x.to_numpy(zero_copy_only=False)[at]
@@ -88,9 +83,6 @@ class Reading:
         self.code = np.select([number, unit, name], [NUMBER, UNIT, NAME], self.own)
         self.other = np.where(name, self.own, np.where(capital & opens & ~number & ~unit, NAME, self.code))
 
-    def text(self, i: int) -> slice:
-        return slice(self.starts[i], self.starts[i] + self.sizes[i])
-
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(place, hash) of the windows of that size inside a text: by templates, those with a placeholder by plain words, those with another reading of the first word by it."""
         n = len(self.own)
@@ -139,14 +131,6 @@ class Filter:
         return left
 
 
-def runs(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of `size` codes."""
-    total = np.full(len(codes) - size + 1, size, np.uint64)
-    for k in range(size):
-        total += codes[k : k + len(total)] * PLACES[k]
-    return mixed(total)
-
-
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0] + [len(p) for p in parts])
     flat = np.concatenate(parts) if parts else np.zeros(0)
@@ -157,7 +141,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_key, size, own, code, slot, h, place) of every different text with a word: its words, and hashes and places of the windows to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             r = Reading(b.column("text"))
             some = np.flatnonzero(r.sizes)
             sizes, found = np.minimum(r.sizes[some], WINDOW), []
@@ -215,7 +199,7 @@ def passing_texts(docs: DataFrame, sizes: list[int], known: Filter) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
-        for b in batches:
+        for b in slices(batches):
             r = Reading(b.column("text"))
             hits = [(place[left], h[left]) for size in sizes for place, h in r.windows(size) for left in [known.passing(h)] if len(left)]
             if not hits:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
-from graphloom.llm.words import WordHashes, shingles, text_bytes, with_columns
+from graphloom.llm.words import Words, shingles, slices, with_columns
 from graphloom.operators.components import connected_components, forest
 from graphloom.operators.ordered import running
 from graphloom.runtime import materialize, small
@@ -49,11 +49,13 @@ RUN = 2_000
 SHORT = 64
 #: Shingles in a block of a group, and the least that a row counts for: no block has over BLOCK / LEAST rows, so a
 #: product's table of overlaps is bounded where texts are short, too.
-BLOCK, LEAST = 1 << 19, 1 << 8
+BLOCK, LEAST = 1 << 19, 1 << 10
 
 
-def _sets(column: pa.Array, hashes: WordHashes, size: int) -> list[np.ndarray]:
-    return [shingles(hashes.of(t.lower().split()), size) for t in text_bytes(column)]
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    read = Words(column)
+    h = read.hashes()
+    return [shingles(h[read.text(i)], size) for i in range(len(read.sizes))]
 
 
 def _key(s: np.ndarray) -> int:
@@ -79,7 +81,7 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "key", "n", "seen", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, total = WordHashes(), [], 0
+        held, total = [], 0
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -88,8 +90,8 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, pa.array(values), none, pa.array(counts), pa.nulls(len(values), pa.binary())], names)
 
         known: set[int] = set()
-        for b in batches:
-            sets = _sets(b.column("text"), hashes, size)
+        for b in slices(batches):
+            sets = _sets(b.column("text"), size)
             keys = [_key(s) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             sketches = []
@@ -118,9 +120,8 @@ def with_set_keys(docs: DataFrame, shingle_size: int = 4) -> tuple[DataFrame, st
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            yield with_columns(b, {name: pa.array([_key(s) for s in _sets(b.column("text"), hashes, shingle_size)], pa.int64())})
+        for b in slices(batches):
+            yield with_columns(b, {name: pa.array([_key(s) for s in _sets(b.column("text"), shingle_size)], pa.int64())})
 
     return docs.mapInArrow(run, schema), name
 
@@ -172,7 +173,7 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "salt", "n", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), set()
+        known: set[int] = set()
         ends: dict[tuple, tuple] = {}
 
         def across() -> pa.RecordBatch:
@@ -180,9 +181,9 @@ def proposals(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
             g, n, key = zip(*rows)
             return batch([np.array(g, np.uint64)], [np.full(len(g), -1)], [np.array(n)], [np.array(key, np.int64)])
 
-        for b in batches:
+        for b in slices(batches):
             g, salt, n, key = [], [], [], []
-            for s in _sets(b.column("text"), hashes, size):
+            for s in _sets(b.column("text"), size):
                 k = _key(s)
                 if k < 0 or k in known:
                     continue
@@ -377,28 +378,25 @@ def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85)
     i, j = block.alias("i"), block.alias("j")
     pairs = i.join(j, (F.col("i.component") == F.col("j.component")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low")))
     pairs = pairs.select(F.col("i.component").alias("component"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
-    tasks = pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).groupBy("component", "block").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
-    sets = materialize(sets.join(tasks, ["component", "block"]), "candidate-tasks")
+    tasks = materialize(pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "candidate-tasks")
 
-    wanted = small(sets.select(F.col("doc_id").alias("wanted_id"), F.col("key").alias("wanted_key"), "component", "block", "tasks"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id"))).select("text", "wanted_key", "component", "block", "tasks")
+    wanted = small(sets.select(F.col("doc_id").alias("wanted_id"), F.col("key").alias("wanted_key"), "component", "block"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id"))).select("text", "wanted_key", "component", "block")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            at = [(r, t["i"], t["j"]) for r, ts in enumerate(b.column("tasks").to_pylist()) for t in ts]
-            found = _sets(b.column("text"), hashes, shingle_size)
-            keys = b.column("wanted_key").to_pylist()
-            at = [x for x in at if _key(found[x[0]]) == keys[x[0]]]
-            if not at:
+        for b in slices(batches):
+            found = _sets(b.column("text"), shingle_size)
+            rows = [r for r, (s, k) in enumerate(zip(found, b.column("wanted_key").to_pylist())) if _key(s) == k]
+            if not rows:
                 continue
-            r, i_, j_ = (list(x) for x in zip(*at))
-            part = b.select(["component", "block", "wanted_key"]).take(pa.array(r))
-            ends = np.cumsum([0] + [len(found[x]) for x in r])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([found[x] for x in r]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(i_, pa.int32()), pa.array(j_, pa.int32()), lists], ["component", "block", "key", "i", "j", "shingles"])
-
-    matrix = texts.mapInArrow(expand, "component long, block int, key long, i int, j int, shingles array<long>")
+            part = b.select(["component", "block", "wanted_key"]).take(pa.array(rows))
+            ends = np.cumsum([0] + [len(found[r]) for r in rows])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([found[r] for r in rows]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], ["component", "block", "key", "shingles"])
+
+    # a set goes to the products of its block: as often as its group has blocks of sizes that allow a link
+    matrix = texts.mapInArrow(expand, "component long, block int, key long, shingles array<long>").join(small(tasks), ["component", "block"])
+    matrix = matrix.select("component", "block", "key", "i", "j", "shingles")
     products = materialize(matrix.groupBy("component", "i", "j").applyInArrow(_product(percent), "a long, b long, links long"), "links")
     classes = connected_components(products.where("b IS NOT NULL"))
     classes = classes.union(classes.select(F.col("component").alias("node"), "component").distinct())

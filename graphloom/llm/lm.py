@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.words import Words, slices
 from graphloom.runtime import materialize
 
 HEAD, CLASSES, TAILS = 2048, 32, 32
@@ -55,9 +56,9 @@ CACHED = 2_048
 
 
 def tail_classes(words: pa.Array) -> np.ndarray:
-    """Tail class of each of an array of binary words (none empty), by their last two bytes and lengths."""
-    if not len(words):
-        return np.zeros(0, np.int32)
+    """Tail class of each of an array of binary words, by their last two bytes and lengths; any of an empty one."""
+    if not len(words) or words.buffers()[2] is None:
+        return np.zeros(len(words), np.int32)
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
     last, before = data[ends[1:] - 1], data[np.maximum(ends[1:] - 2, ends[:-1])]
@@ -65,24 +66,15 @@ def tail_classes(words: pa.Array) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of a column of texts: `words` (distinct, the end token last), `at` (a row of words for each token), `sizes` (tokens of each text, its end included)."""
+    """Tokens of a column of texts: `words` (distinct, the end token last), `at` (a row of words for each token), `sizes` and `ends` (tokens of each text, its end included, and up to it)."""
 
     def __init__(self, column: pa.Array):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
-        coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.cast(pa.binary()), np.asarray(coded.indices).astype(np.int64)
-        of = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-        # white space at a text's edges leaves empty pieces
-        empty = pc.index(words, b"").as_py()
-        if empty >= 0:
-            at, of = at[at != empty], of[at != empty]
-            words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
-            at -= at > empty
-        self.sizes = np.bincount(of, minlength=len(lists)) + 1
-        self.at = np.full(len(at) + len(lists), len(words))
-        self.at[np.arange(len(at)) + of] = at
-        self.words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        read = Words(column)
+        self.words = pa.concat_arrays([read.distinct.cast(pa.binary()), pa.array([END], pa.binary())])
+        self.sizes = read.sizes + 1
         self.ends = np.cumsum(self.sizes)
+        self.at = np.full(len(read.at) + len(read.sizes), len(self.words) - 1)
+        self.at[np.arange(len(read.at)) + read.of] = read.at
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of one value for each token, in each text."""
@@ -93,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of docs, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             t = Tokens(b.column("text"))
             counts = np.bincount(t.at, minlength=len(t.words))
             held = np.flatnonzero(counts)
@@ -327,7 +319,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, size, weight = Gru(vocabulary, seed), [], 0, 0
-        for b in batches:
+        for b in slices(batches):
             t = Tokens(b.column("text"))
             for ids in np.split(vocabulary.encode(t)[0], t.ends[:-1]) if len(t.ends) else []:
                 held.append(ids)
@@ -393,9 +385,7 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, model: Gru) -> Data
     whole = np.log10(vocabulary.n + 0.5 * (vocabulary.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             t = Tokens(b.column("text"))
             ids, logs = vocabulary.encode(t)
             listed = ~np.isnan(logs)

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
-from graphloom.llm.words import WordHashes, text_bytes, with_columns
+from graphloom.llm.words import Words, hashes_of, slices, with_columns
 from graphloom.runtime import materialize
 
 #: At most so many labelled texts, in expectation, are learned from: a sample by hash where there are more.
@@ -39,16 +40,27 @@ BITS, STEM = 19, 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 
 #: ASCII to what words are split by: letters stay (lower-cased), all else becomes a space.
-LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _SKIP, _NEXT, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def buckets(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashed buckets of a text's features; may repeat."""
-    words = text.translate(LETTERS).split()
-    h, stems = hashes.of(words), hashes.of([b"^" + w[:STEM] for w in words])
-    all_ = np.concatenate([h * _SKIP, stems * _SKIP, (h[:-1] * _PAIR + h[1:]) * _NEXT, (h[:-2] * _NEXT + h[2:]) * _PAIR])
-    return (all_ >> np.uint64(64 - BITS)).astype(np.int64)
+def buckets(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashed buckets of the features of all texts, one text after another, by kind; and where each kind's buckets of each text end. They may repeat."""
+    read = Words(column, lower=False, table=LETTERS)
+    distinct = read.distinct.cast(pa.binary())
+    stems = pc.binary_join_element_wise(pa.scalar(b"^"), pc.binary_slice(distinct, 0, STEM), pa.scalar(b""))
+    h, of = hashes_of(distinct)[read.at], read.of
+    near, far = np.flatnonzero(of[1:] == of[:-1]), np.flatnonzero(of[2:] == of[:-2])
+    kinds = (h * _SKIP, hashes_of(stems)[read.at] * _SKIP, (h[near] * _PAIR + h[near + 1]) * _NEXT, (h[far] * _NEXT + h[far + 2]) * _PAIR)
+    ends = [np.cumsum(np.maximum(read.sizes - less, 0)) for less in (0, 0, 1, 2)]
+    return [(k >> np.uint64(64 - BITS)).astype(np.int32) for k in kinds], ends
+
+
+def distinct_buckets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct buckets of each text, sorted."""
+    kinds, ends = buckets(column)
+    split = [np.split(k, e[:-1]) for k, e in zip(kinds, ends)] if len(column) else []
+    return [np.unique(np.concatenate(parts)) for parts in zip(*split)]
 
 
 class Ftrl:
@@ -101,11 +113,13 @@ class Toxicity:
         w[self.at] = self.values
         return w
 
-    def score(self, texts: list[bytes], hashes: WordHashes, dense: np.ndarray) -> np.ndarray:
-        total = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            at = buckets(t, hashes)
-            total[i] = dense[np.unique(at[dense[at] != 0])].sum(dtype=np.float64)
+    def score(self, texts: pa.Array, dense: np.ndarray) -> np.ndarray:
+        found = []
+        for at, ends in zip(*buckets(texts)):
+            some = np.flatnonzero(dense[at])
+            found.append(np.searchsorted(ends, some, "right") << BITS | at[some])
+        both = np.unique(np.concatenate(found))
+        total = np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], minlength=len(texts))
         return np.round(1 / (1 + np.exp(-np.clip(total + self.intercept, -30, 30))), 9)
 
 
@@ -118,7 +132,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         return Toxicity(None)
     # the sample is bounded, so it may be broadcast
     sample = F.broadcast(known.where(F.col("h") < int(1e6 * max_train / total)) if total > max_train else known)
-    texts = materialize(docs.join(sample, "doc_id").select("text", "y", "h").repartition(parts, "h").sortWithinPartitions("h", "y", "text"), "toxicity-sample")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = distinct_buckets(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), lists], ["y", "h", "at"])
+
+    found = docs.join(sample, "doc_id").select("text", "y", "h").mapInArrow(features, "y int, h long, at array<int>")
+    texts = materialize(found.repartition(parts, "h").sortWithinPartitions("h", "y", "at"), "toxicity-sample")
     state = None
     for k in range(ROUNDS + 1):
         state = _round(texts, state, k == ROUNDS, parts)
@@ -134,12 +156,12 @@ def _round(texts: DataFrame, start: tuple | None, relaxed: bool, parts: int) ->
     """One walk over the sample: buckets with their z and n."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ftrl, hashes, seen = Ftrl(), WordHashes(), 0
+        ftrl, seen = Ftrl(), 0
         if start is not None:
             ftrl.start(*start, relaxed)
         for b in batches:
-            for t, y in zip(text_bytes(b.column("text")), b.column("y").to_pylist()):
-                ftrl.learn(np.append(np.unique(buckets(t, hashes)), 1 << BITS), y)
+            for at, y in zip(b.column("at"), b.column("y").to_pylist()):
+                ftrl.learn(np.append(at.values.to_numpy(zero_copy_only=False), 1 << BITS), y)
                 seen += 1
         if seen:
             at = np.flatnonzero(ftrl.n)
@@ -167,8 +189,8 @@ def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = N
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = WordHashes(), model.dense()
-        for b in batches:
-            yield with_columns(b.select(keep), {name: pa.array(model.score(text_bytes(b.column("text")), hashes, dense), pa.float64())})
+        dense = model.dense()
+        for b in slices(batches):
+            yield with_columns(b.select(keep), {name: pa.array(model.score(b.column("text"), dense), pa.float64())})
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema), name

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat, chroma, decontamination, jaccard, licenses, lm, mixing, quality, secrets, toxicity
-from graphloom.llm.words import WordHashes
+from graphloom.llm.words import hash64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ", size long, score double, mix long, findings string, stats string, license_scan int, set_key long, word string"
@@ -404,7 +404,55 @@ def test_toxicity(spark, odd):
     assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in range(150, 300)]) > 0.97
     scored, name = toxicity.score_documents(odd[1], model)
     assert all(0 <= r[name] <= 1 for r in scored.collect()) and scored.count() == len(odd[0])
-    assert toxicity.fit(docs_of(spark, rows), labels.limit(0)).score([b"", b"x"], WordHashes(), np.zeros(1 << toxicity.BITS, np.float32)).tolist() == [0.5, 0.5]
+    assert toxicity.fit(docs_of(spark, rows), labels.limit(0)).score(pa.array(["", "x", None]), np.zeros(1 << toxicity.BITS, np.float32)).tolist() == [0.5, 0.5, 0.5]
+    assert toxicity.score_documents(docs_of(spark, []), model)[0].count() == 0 and len(toxicity.fit(docs_of(spark, []), labels).at) == 0
+
+
+def test_toxicity_against_plain_ftrl(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(rng.choice(["Good", "fine", "vile", "b\u00e9", "day", "x-y", "word%d" % (i % 9)], int(rng.integers(0, 12)))), "s") for i in range(60)]
+    labels = [(i, int("vile" in t)) for i, t, _ in rows]
+    model = toxicity.fit(docs_of(spark, rows).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def features(text):
+        w = "".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in (text or "")).translate({c: c + 32 for c in range(65, 91)}).split()
+        m, code = (1 << 64) - 1, [hash64(x.encode()) for x in w]
+        skip, near, pair = int(toxicity._SKIP), int(toxicity._NEXT), int(toxicity._PAIR)
+        out = [h * skip for h in code] + [hash64(b"^" + x.encode()[: toxicity.STEM]) * skip for x in w]
+        out += [((a * pair & m) + b) * near for a, b in zip(code, code[1:])] + [((a * near & m) + b) * pair for a, b in zip(code, code[2:])]
+        return sorted({(x & m) >> (64 - toxicity.BITS) for x in out})
+
+    order = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").select("doc_id", F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1_000_000)).alias("h")).collect()}
+    walk = [(features(t), y) for (i, t, _), (_, y) in sorted(zip(rows, labels), key=lambda r: order[r[0][0]])]
+    z, n = {}, {}
+    last, l1, support = 1 << toxicity.BITS, toxicity.L1, None
+
+    def weight(k):
+        if k == last:
+            return -z.get(k, 0.0) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA)
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else (np.sign(v) * l1 - v) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for k in range(toxicity.ROUNDS + 1):
+        if k == toxicity.ROUNDS:
+            support = {b for b, v in z.items() if abs(v) > l1 or b == last}
+            z = {b: z[b] if b == last else z[b] - np.sign(z[b]) * l1 for b in support}
+            n = {b: n[b] for b in support}
+            l1 = 0.0
+        for f, y in walk:
+            at = [b for b in [*f, last] if support is None or b in support]
+            w = {b: weight(b) for b in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for b in at:
+                before = n.get(b, 0.0)
+                z[b] = z.get(b, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / toxicity.ALPHA * w[b]
+                n[b] = before + g * g
+        z, n = {b: float(np.float32(v)) for b, v in z.items()}, {b: float(np.float32(v)) for b, v in n.items()}
+    assert set(model.at) == {b for b in z if b != last and z[b] != 0} and len(model.at) > 3
+    assert np.allclose([model.values[list(model.at).index(b)] for b in model.at], [weight(b) for b in model.at], rtol=1e-4)
+    scored, name = toxicity.score_documents(docs_of(spark, rows), model)
+    got = {r["doc_id"]: r[name] for r in scored.collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-sum(weight(b) for b in [*features(t), last])))) < 1e-5 for i, t, _ in rows)
 
 
 def test_gradients_match_differences():
@@ -446,7 +494,7 @@ def test_lm_tokens():
     got = [[words[i] for i in t.at[e - n : e]] for e, n in zip(t.ends, t.sizes)]
     assert got == [plain_tokens(x) for x in texts]
     assert len(lm.Tokens(pa.array([], pa.string())).sizes) == 0
-    every = [w for w in words if w != lm.END]
+    every = [w for w in words if w not in (lm.END, b"")]
     assert lm.tail_classes(pa.array(every, pa.binary())).tolist() == [(w[-1] * 7 + w[-2:][0] * 31 + len(w) // 6) % lm.TAILS for w in every]
 
 
