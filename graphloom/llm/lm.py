@@ -42,7 +42,7 @@ from graphloom.llm.words import Words, slices
 from graphloom.runtime import materialize
 
 HEAD, CLASSES, TAILS = 2048, 32, 32
-EMBED, STATE, WINDOW = 24, 24, 24
+EMBED, STATE, WINDOW = 16, 16, 24
 #: Words whose counts are sent with the scoring function, at most.
 LISTED = 200_000
 LEARNING_RATE, LANES = 4e-3, 192
@@ -237,25 +237,32 @@ class Gru:
                 dh[rows] += q @ p["D"][k].T
         at_states = np.zeros_like(states)
         at_states[valid] = dh
+        lanes = len(h0)
         back = np.zeros_like(h0)
-        da = np.empty((len(x), len(h0), 3 * s), np.float32)
+        da, inward = np.empty((len(x), lanes, 3 * s), np.float32), np.empty((len(x), lanes, 3 * s), np.float32)
+        before = np.empty_like(states)
+        to_h = np.ascontiguousarray(p["U"].T)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, inner = kept[t]
-            d = at_states[t] + back
-            dnew = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dnew * inner * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dnew], 1)
-            inward = np.concatenate([dz, dr, dnew * r], 1)
-            g["U"] += before.T @ inward
-            back = d * z + inward @ p["U"].T
+            before[t], z, r, new, inner = kept[t]
+            back += at_states[t]
+            rest = back * (1 - z)
+            dnew = rest * (1 - new * new)
+            da[t, :, :s] = (before[t] - new) * rest * z
+            da[t, :, s : 2 * s] = dnew * inner * r * (1 - r)
+            da[t, :, 2 * s :] = dnew
+            inward[t, :, : 2 * s] = da[t, :, : 2 * s]
+            np.multiply(dnew, r, out=inward[t, :, 2 * s :])
+            back *= z
+            back += inward[t] @ to_h
+        g["U"] = before.reshape(-1, s).T @ inward.reshape(-1, 3 * s)
+        # inputs of one word share a row of the table E W + b
         flat, ids = da.reshape(-1, 3 * s), x.ravel()
-        g["b"] = flat.sum(0)
-        g["W"] = p["E"][ids].T @ flat
         order = np.argsort(ids, kind="stable")
         own = ids[order]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        g["E"][own[first]] = np.add.reduceat(flat[order], first, axis=0) @ p["W"].T
+        rows = np.add.reduceat(flat[order], first, axis=0)
+        g["b"], g["W"] = rows.sum(0), p["E"][own[first]].T @ rows
+        g["E"][own[first]] = rows @ p["W"].T
         return g, h_end
 
     def pack(self) -> bytes:
@@ -301,9 +308,16 @@ def _train(model: Gru, documents: list[np.ndarray], rate: float) -> int:
         done += 1
         for k, v in model.p.items():
             m, s = moments[k]
-            m += 0.1 * (g[k] - m)
-            s += 0.01 * (g[k] * g[k] - s)
-            v -= rate * (m / (1 - 0.9**done)) / (np.sqrt(s / (1 - 0.99**done)) + 1e-6)
+            m *= 0.9
+            s *= 0.99
+            s += 0.01 * g[k] * g[k]
+            g[k] *= 0.1
+            m += g[k]
+            step = np.sqrt(s)
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= rate * np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
+            v -= step
     return done
 
 
@@ -315,15 +329,25 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
         return model
     replicas = -(-total // REPLICA)
     lane = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(replicas)).cast("int")
-    dealt = docs.select(lane.alias("replica"), "doc_id", "text").repartitionById(replicas, "replica").sortWithinPartitions("doc_id", "text")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, size, weight = Gru(vocabulary, seed), [], 0, 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             t = Tokens(b.column("text"))
-            for ids in np.split(vocabulary.encode(t)[0], t.ends[:-1]) if len(t.ends) else []:
-                held.append(ids)
-                size += len(ids)
+            ids = vocabulary.encode(t)[0].astype(np.uint16)
+            ends = np.concatenate([[0], t.ends]) * 2
+            own = pa.Array.from_buffers(pa.binary(), len(t.sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("replica"), b.column("doc_id"), own], ["replica", "doc_id", "ids"])
+
+    kind = T.StructType([T.StructField("replica", T.IntegerType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    coded = docs.select(lane.alias("replica"), "doc_id", "text").mapInArrow(encode, kind)
+    dealt = coded.repartitionById(replicas, "replica").sortWithinPartitions("doc_id", "ids").select("ids")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size, weight = Gru(vocabulary, seed), [], 0, 0
+        for b in batches:
+            for ids in b.column("ids").to_pylist():
+                held.append(np.frombuffer(ids, np.uint16).astype(np.int32))
+                size += len(held[-1])
                 if size > WALKED:
                     weight += _train(own, held, LEARNING_RATE)
                     held, size = [], 0
