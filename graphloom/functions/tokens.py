@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +13,9 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+@lru_cache(4)
 def _load(path: str):
+    """The tokenizer of a file, once for each Python worker."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -18,6 +23,12 @@ def _load(path: str):
     return t
 
 
+def counter(path: str = TOKENIZER) -> Callable[[str], int]:
+    """A function that counts a string's tokens."""
+    known = _load(path)
+    return lambda text: len(known.encode(text, add_special_tokens=False).ids)
+
+
 def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
     """Number of tokens; 0 for null."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import number_lines, purpose, signature
-from graphloom.functions.tokens import TOKENIZER, count_tokens
+from graphloom.functions.tokens import TOKENIZER, count_tokens, counter
 from graphloom.operators.ordered import running
 from graphloom.runtime import materialize
 
@@ -85,7 +85,7 @@ def flow_trace(selected: DataFrame, edges: DataFrame, budget: int = 300, path: s
         front = {t for s in front for t in calls.get(s, [])} - known
         known |= front
     named = {r["id"]: f"`{r['name']}()` ({r['file']}:L{r['line_start']})" for r in selected.where(F.col("id").isin(sorted(known))).select("id", "name", "file", "line_start").collect()}
-    tokens = _counter(path)
+    tokens = counter(path)
     lines, seen, left = [FLOW], set(), budget - tokens(FLOW)
     todo = [(e, 0) for e in reversed(entries)]
     while todo:
@@ -102,14 +102,6 @@ def flow_trace(selected: DataFrame, edges: DataFrame, budget: int = 300, path: s
     return "\n".join(lines) if len(lines) > 1 else ""
 
 
-def _counter(path: str):
-    from tokenizers import Tokenizer
-
-    known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
-    return lambda text: len(known.encode(text, add_special_tokens=False).ids)
-
-
 def visual(nodes: DataFrame, edges: DataFrame, highlighted: DataFrame) -> DataFrame:
     """(id, degree, size, label, highlighted) for drawing: hubs are larger, isolated nodes small, highlighted ones never small."""
     ends = materialize(edges.select(F.col("source").alias("id")).union(edges.select("target")).groupBy("id").agg(F.count("*").alias("degree")), "degrees")

@@ -1,25 +1,19 @@
-"""Source trees as graphs: scan, parse, resolve.
-
-Python is parsed with the standard library's ast; other languages by patterns
-for definitions and a brace match for their extent, which covers functions,
-classes and methods but not every corner of their grammars. A file that can't be
-parsed gives its file node only.
-"""
+"""Source trees as graphs: scan, parse (by graphloom.sources.grammar), resolve."""
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import capped
+from graphloom.functions.text import CUT, MOST_CHARS, capped
+from graphloom.functions.tokens import TOKENIZER, counter
 from graphloom.operators.graph import resolve_import_prefixes, resolve_imports, resolve_names
 from graphloom.operators.ordered import running
 from graphloom.runtime import materialize
+from graphloom.sources import grammar
 
 #: Directories that hold no hand-written source.
 SKIPPED = (
@@ -57,92 +51,50 @@ def fingerprint(spark: SparkSession, root: str) -> str:
     return row["h"][:16]
 
 
-_DEFINITION = {
-    "javascript": r"(?:async\s+)?function\s*\*?\s*(?P<function>[A-Za-z_$][\w$]*)|class\s+(?P<class>[A-Za-z_$][\w$]*)|(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^={]+)?=>|[A-Za-z_$][\w$]*\s*=>)|^[ \t]+(?:async\s+|static\s+)*(?P<method>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)[A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?::[^={]+)?\{",
-    "java": r"(?:class|interface|enum)\s+(?P<class>\w+)|^[ \t]*(?:public|private|protected|static|final|synchronized|abstract|\s)*[\w<>\[\],]+\s+(?P<function>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)\w+)\s*\([^()]*\)\s*(?:throws [\w, .]+)?\{",
-    "go": r"^func\s+(?:\([^()]*\)\s*)?(?P<function>\w+)|^type\s+(?P<class>\w+)\s+(?:struct|interface)",
-    "rust": r"\bfn\s+(?P<function>\w+)|\b(?:struct|enum|trait|impl)\s+(?:<[^>]*>\s*)?(?P<class>\w+)",
-}
-_DEFINITION["typescript"] = _DEFINITION["tsx"] = _DEFINITION["javascript"]
-_CONSTANT = re.compile(r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z$][\w$]*)\s*=\s*(?!.*(?:=>|\bfunction\b|\bclass\b))", re.M)
-_CALL = re.compile(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*\(")
-_NO_CALL = frozenset("if for while switch catch return function match fn func sizeof typeof".split())
-
-
-def _python(text: str) -> tuple[list, list, list]:
-    """Definitions (kind, name, first line, last line), calls (first line of the definition, name, callee), imports."""
-    tree = ast.parse(text)
-    found, calls = [], []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            found.append(("class" if isinstance(node, ast.ClassDef) else "function", node.name, node.lineno, node.end_lineno))
-            calls += [(found[-1], ast.unparse(c.func)) for c in ast.walk(node) if isinstance(c, ast.Call)]
-    for node in tree.body:
-        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
-        found += [("constant", t.id, node.lineno, node.end_lineno) for t in targets if isinstance(t, ast.Name) and not t.id.startswith("_") and not isinstance(node.value, ast.Lambda)]
-    imports = [a.name for n in tree.body if isinstance(n, ast.Import) for a in n.names]
-    imports += [x for n in tree.body if isinstance(n, ast.ImportFrom) for x in ([n.module] if n.module else []) + [a.name for a in n.names]]
-    return sorted(found, key=lambda d: (d[2], d[1])), calls, imports
-
-
-def _braces(text: str, lang: str) -> tuple[list, list, list]:
-    bare = re.sub(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-    found, calls = [], []
-    for m in re.finditer(_DEFINITION[lang], bare, re.M):
-        kind = m.lastgroup
-        start, at, depth = bare.count("\n", 0, m.start(kind)) + 1, bare.find("{", m.start()), 0
-        end = bare.find("\n", m.end())
-        if at >= 0 and (end < 0 or kind != "arrow" or at <= end):
-            for end in range(at, len(bare)):
-                depth += (bare[end] == "{") - (bare[end] == "}")
-                if not depth:
-                    break
-        end = len(bare) if end < 0 else end
-        found.append(("function" if kind == "arrow" else kind, m[kind], start, bare.count("\n", 0, end) + 1))
-        calls += [(found[-1], c) for c in _CALL.findall(bare[m.end() : end]) if c not in _NO_CALL]
-    if lang in ("javascript", "typescript", "tsx"):
-        known = {(d[1], d[2]) for d in found}
-        for m in _CONSTANT.finditer(bare):
-            line = bare.count("\n", 0, m.start(1)) + 1
-            if (m[1], line) not in known:
-                found.append(("constant", m[1], line, line))
-    imports = re.findall(r"^import\s+(?:[^'\"\n]*from\s+)?['\"]([^'\"]+)['\"]", text, re.M)
-    return found, calls, imports
-
-
-SCHEMA = "file string, kind string, id string, type string, name string, line_start int, line_end int, content string, callee string"
-
-
-def parse(files: DataFrame) -> DataFrame:
-    """(file, lang, text) -> rows of kind node, call and import; one bad file costs its definitions, not the task."""
+SCHEMA = "file string, kind string, id string, type string, name string, line_start int, line_end int, content string, callee string, token_count int, ordinal int"
+
+
+def parse(files: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(file, lang, text) -> rows of kind node, call and import; one bad file costs its definitions, not the task.
+
+    ordinal is a row's place in its file: the file, definitions by the kinds of
+    their language and the text, constants; calls and imports in the text's order.
+    token_count is of the content that is kept, by the tokenizer file at path. A
+    file without definitions and constants is a node with its text as content.
+    """
+
+    def rows_of(file: str, lang: str, text: str, count: Callable[[str], int]) -> list[tuple]:
+        try:
+            found = grammar.parse_text(lang, text, count)
+        except (ValueError, RecursionError, IndexError, KeyError):
+            found = grammar.Parsed([], [], [])
+        lines, inner = grammar.Lines(text), found.definitions + found.constants
+        kept = lambda t: t if len(t) <= MOST_CHARS else t[:MOST_CHARS] + CUT
+        rows = [(file, "node", f"file:{file}", "file", file.rsplit("/", 1)[-1], 1, text.count("\n") + 1, "" if inner else text, None, 0 if inner else count(kept(text)), 0)]
+        for d in inner:
+            row, content = lines.row(d.start), text[d.start : d.end]
+            own = f"{d.kind}:{file}:{d.name}:{row}"
+            rows.append((file, "node", own, d.kind, d.name, row + 1, lines.row(max(d.end - 1, d.start)) + 1, content, None, count(kept(content)), len(rows)))
+            rows += [(file, "call", own, "calls", None, 0, 0, None, c, 0, len(rows) + k) for k, c in enumerate(d.calls)]
+        return rows + [(file, "import", f"file:{file}", "imports", None, 0, 0, None, name, 0, len(rows) + k) for k, name in enumerate(found.imports)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(path)
         for part in parts:
-            rows = []
-            for file, lang, text in part[["file", "lang", "text"]].itertuples(index=False):
-                lines = text.split("\n")
-                try:
-                    found, calls, imports = _python(text) if lang == "python" else _braces(text, lang)
-                except (SyntaxError, ValueError, RecursionError):
-                    found, calls, imports = [], [], []
-                ids = {d: f"{d[0]}:{file}:{d[1]}:{d[2] - 1}" for d in found}
-                rows.append((file, "node", f"file:{file}", "file", file.rsplit("/", 1)[-1], 1, len(lines), "" if found else text, None))
-                rows += [(file, "node", ids[d], d[0], d[1], d[2], d[3], "\n".join(lines[d[2] - 1 : d[3]]), None) for d in found]
-                rows += [(file, "call", ids[d], "calls", None, 0, 0, None, callee) for d, callee in calls]
-                rows += [(file, "import", f"file:{file}", "imports", None, 0, 0, None, name) for name in imports]
+            rows = [r for f in part[["file", "lang", "text"]].itertuples(index=False) for r in rows_of(f.file, f.lang, f.text or "", count)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("file", "lang", "text").mapInPandas(run, SCHEMA)
 
 
 def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type, name, file, line_start, line_end, content, seq) and edges (source, target, type) of parsed files.
+    """Nodes (id, type, name, file, line_start, line_end, content, token_count, seq) and edges (source, target, type) of parsed files.
 
-    seq follows path and line, so the first-three and first-one rules depend on
-    neither the file system's order nor the partitioning.
+    seq follows path and place in the file, so the first-three and first-one
+    rules depend on neither the file system's order nor the partitioning.
     """
-    nodes = parsed.where("kind = 'node'").withColumn("content", capped(F.col("content")))
-    nodes = nodes.withColumn("seq", F.struct("file", (F.col("type") != "file").alias("inner"), "line_start", "name")).select("id", "type", "name", "file", "line_start", "line_end", "content", "seq")
+    nodes = parsed.where("kind = 'node'").withColumn("content", capped(F.col("content"), MOST_CHARS))
+    nodes = nodes.withColumn("seq", F.struct("file", "ordinal")).select("id", "type", "name", "file", "line_start", "line_end", "content", "token_count", "seq")
     contains = nodes.where("type <> 'file'").select(F.concat(F.lit("file:"), "file").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"))
     calls = parsed.where("kind = 'call'").select(F.col("id").alias("source"), "callee", "type", F.lit(0).alias("seq"))
     called = resolve_names(calls, nodes, 3).select("source", "target", "type")
