@@ -49,7 +49,7 @@ RUN = 2_000
 SHORT = 64
 #: Shingles in a block of a group, and the least that a row counts for: no block has over BLOCK / LEAST rows, so a
 #: product's table of overlaps is bounded where texts are short, too.
-BLOCK, LEAST = 1 << 19, 1 << 10
+BLOCK, LEAST = 1 << 19, 1 << 9
 
 
 def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
