@@ -52,9 +52,43 @@ def truncate(text: Column, limit: int, path: str = TOKENIZER) -> Column:
     return cut(text)
 
 
-def compress(context: Column, target: int = 500, path: str = TOKENIZER) -> Column:
-    """(compressed, original_tokens, compressed_tokens, ratio): contexts that fit pass through, others are truncated."""
-    short = truncate(context, target, path)
+#: A model keeps this share of a context's tokens at least.
+LEAST_RATE = 0.1
+
+
+def device(wanted: str = "auto", cuda: bool = False, mps: bool = False) -> str:
+    """Where a model runs: what is asked for, else the best of what the caller says there is."""
+    return wanted if wanted != "auto" else "cuda" if cuda else "mps" if mps else "cpu"
+
+
+def model_name(on: str, names: dict[str, str], wanted: str | None = None) -> str | None:
+    """A model for a device: what is asked for, else the device's own, else the default of names."""
+    return wanted or names.get(on) or names.get("default")
+
+
+def compress(context: Column, target: int = 500, path: str = TOKENIZER, model: Callable[[list[str], list[float]], list[str]] | None = None, rate: float | None = None) -> Column:
+    """(compressed, original_tokens, compressed_tokens, ratio) of contexts.
+
+    Those that fit pass through. Others go to the model, a function of texts and
+    rates (target over tokens, between LEAST_RATE and 1, unless given) that runs
+    in the tasks; what it returns is cut at target tokens, and without a model,
+    or where it fails, so is the context itself.
+    """
+
+    @F.pandas_udf("string")
+    def shortened(parts: pd.Series) -> pd.Series:
+        texts = parts.fillna("").tolist()
+        sizes = [len(x.ids) for x in _load(path).encode_batch(texts, add_special_tokens=False)]
+        long = [i for i, n in enumerate(sizes) if n > target]
+        try:
+            made = model([texts[i] for i in long], [min(max(rate if rate is not None else target / sizes[i], LEAST_RATE), 1.0) for i in long]) if long else []
+        except Exception:  # the model is the caller's: any failure of it falls back to truncation
+            made = [texts[i] for i in long]
+        for i, t in zip(long, made):
+            texts[i] = t
+        return pd.Series(texts)
+
+    short = truncate(context if model is None else shortened(context), target, path)
     before, after = count_tokens(context, path), count_tokens(short, path)
     ratio = F.when(before > 0, after / before).otherwise(0.0)
     return F.struct(short.alias("compressed"), before.alias("original_tokens"), after.alias("compressed_tokens"), ratio.alias("ratio"))

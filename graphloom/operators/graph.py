@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import short_name
+from graphloom.operators.ordered import running
 from graphloom.runtime import materialize
 
 
@@ -25,34 +28,45 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("id")).union(edges.select("target")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+#: Steps of PageRank whose ranks are written, and compared, together.
+TOGETHER = 3
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """(id, rank) on the undirected simple graph of the nodes, brought to sum 1 after every step.
 
-    Isolated nodes get (1 - damping) / n before that. Every fourth step is
-    written to the shared folder and compared with the last one written, so
-    lineage and checks stay short.
+    Isolated nodes get (1 - damping) / n before that. The sum before it is known
+    without a look at the rows: what connected nodes hold is given on whole, and
+    isolated ones all hold the same. So a step is one join and one aggregate;
+    TOGETHER steps keep their ranks side by side and are written as one table, of
+    which one aggregate says after which step the ranks moved less than tol.
     """
     ids = materialize(nodes.select("id").distinct(), "pagerank-nodes")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
     pairs = adjacency(restrict_edges(edges, ids))
-    pairs = materialize(pairs.join(pairs.groupBy("src").agg(F.count("*").alias("degree")), "src").repartition("src"), "pagerank-edges")
-    ranks = ids.select("id", F.lit(1.0 / n).alias("rank"))
-    done = 0
+    degree = pairs.groupBy("src").agg(F.count("*").alias("degree"))
+    pairs = materialize(pairs.join(degree, "src").repartition("src"), "pagerank-edges")
+    alone = n - pairs.select("src").distinct().count()
+    own = (1 - damping) / n
+    now, isolated, done = ids.withColumn("r0", F.lit(1.0 / n)), 1.0 / n, 0
     while done < max_iter:
-        steps = min(4, max_iter - done)
-        for _ in range(steps):
-            last = ranks
-            given = pairs.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-            raw = ids.join(given, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("raw"))
-            ranks = raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("all")))).select("id", (F.col("raw") / F.col("all")).alias("rank"))
-        done += steps
-        both = materialize(ranks.join(last.select("id", F.col("rank").alias("before")), "id"), "pagerank")
-        ranks = both.select("id", "rank")
-        if (both.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved")).first()["moved"] or 0.0) < tol:
+        steps = min(TOGETHER, max_iter - done)
+        for k in range(1, steps + 1):
+            whole = 1 - damping + damping * (1 - alone * isolated)
+            isolated = own / whole
+            last = f"r{k - 1}"
+            given = pairs.join(now.select("id", last), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col(last) / F.col("degree")).alias("got"))
+            ranked = (F.lit(own) + F.lit(damping) * F.coalesce("got", F.lit(0.0))) / F.lit(whole)
+            now = now.join(given, F.col("id") == F.col("dst"), "left").withColumn(f"r{k}", ranked).drop("dst", "got")
+        now = materialize(now, "pagerank")
+        moved = now.agg(*[F.sum(F.abs(F.col(f"r{k}") - F.col(f"r{k - 1}"))).alias(f"m{k}") for k in range(1, steps + 1)]).first()
+        still = next((k for k in range(1, steps + 1) if moved[f"m{k}"] < tol), None)
+        now, done = now.select("id", F.col(f"r{still or steps}").alias("r0")), done + steps
+        if still:
             break
-    return ranks
+    return now.withColumnRenamed("r0", "rank")
 
 
 def resolve_names(refs: DataFrame, nodes: DataFrame, first: int = 3) -> DataFrame:
@@ -97,10 +111,15 @@ def resolve_import_prefixes(imports: DataFrame, files: DataFrame) -> DataFrame:
     return asked.join(first, "prefix").select("source", "import_name", "target")
 
 
+#: Links in one row of an edge index.
+LINKS = 10_000
+
+
 def edge_index(edges: DataFrame, own: str = "source", other: str = "target") -> DataFrame:
-    """(id, links): the other ends of each node's edges in edge order, repeats kept. For nodes of bounded degree."""
-    listed = F.sort_array(F.collect_list(F.struct("seq", F.col(other).alias("other"))))
-    return edges.groupBy(F.col(own).alias("id")).agg(F.transform(listed, lambda x: x["other"]).alias("links"))
+    """(id, part, links): the other ends of each node's edges in edge order, repeats kept, LINKS of them a row: a hub has many rows, none of them long."""
+    placed = running(materialize(edges.select(F.col(own).alias("id"), F.col(other).alias("other"), "seq"), "edges"), ["id"], ["seq", "other"])
+    listed = F.sort_array(F.collect_list(F.struct("place", "other")))
+    return placed.groupBy("id", F.floor((F.col("place") - 1) / LINKS).alias("part")).agg(F.transform(listed, lambda x: x["other"]).alias("links"))
 
 
 def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
@@ -135,6 +154,48 @@ def diff_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.select(key).distinct().join(a, key, "left_anti").withColumn("change", F.lit("added")).union(gone)
 
 
+@dataclass
+class Difference:
+    """Two graphs compared: nodes (change, id, name, type, file, line_start, line_end; as the later graph has them, removed ones as the earlier) and edges (change, source, target, type), written tables."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    sizes: dict
+
+    def listed(self, change: str) -> DataFrame:
+        """Nodes of one kind of change, in order of their ids."""
+        return self.nodes.where(F.col("change") == change).drop("change").orderBy("id")
+
+    def linked(self, change: str) -> DataFrame:
+        """Edges of one kind of change, in order of their ends and types."""
+        return self.edges.where(F.col("change") == change).drop("change").orderBy("source", "target", "type")
+
+    def counts(self) -> DataFrame:
+        """(what, change, n, files): how many nodes and edges changed, and in how many files nodes did."""
+        of_nodes = self.nodes.groupBy("change").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).select(F.lit("nodes").alias("what"), "change", "n", "files")
+        of_edges = self.edges.groupBy("change").agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "change", "n", F.lit(None).cast("long").alias("files"))
+        return of_nodes.union(of_edges)
+
+    def summary(self) -> str:
+        """One line of counts; at most five rows come to the driver."""
+        found = {(r["what"], r["change"]): r for r in self.counts().collect()}
+        told = [f"{r['n']} nodes {c} across {r['files']} file(s)" for c in ("added", "removed", "modified") if (r := found.get(("nodes", c)))]
+        told += [f"{r['n']} edges {c}" for c in ("added", "removed") if (r := found.get(("edges", c)))]
+        return "; ".join(told) or "No changes detected"
+
+
+def diff(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> Difference:
+    """What became of graph a = (nodes, edges) in graph b."""
+    shown = ["id", "name", "type", "file", "line_start", "line_end"]
+    changes = materialize(diff_nodes(a[0], b[0]), "changes")
+    later = changes.where("change <> 'removed'").join(b[0].select(*shown), "id")
+    earlier = changes.where("change = 'removed'").join(a[0].select(*shown), "id")
+    nodes = materialize(later.unionByName(earlier).select("change", *shown), "changed-nodes")
+    edges = materialize(diff_edges(a[1], b[1]).select("change", "source", "target", "type"), "changed-edges")
+    sizes = {k: {"nodes": g[0].count(), "edges": g[1].count()} for k, g in (("graph_a", a), ("graph_b", b))}
+    return Difference(nodes, edges, sizes)
+
+
 def update(nodes: DataFrame, refs: DataFrame, changed: DataFrame, parsed_nodes: DataFrame, parsed_refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and unresolved references after files changed: theirs are dropped and what was parsed anew is added."""
     kept = nodes.join(changed.select("file").distinct(), "file", "left_anti")
@@ -143,9 +204,10 @@ def update(nodes: DataFrame, refs: DataFrame, changed: DataFrame, parsed_nodes:
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
-    """(entry, id, depth): nodes reached from each entry (id) in at most `depth` steps, at their least depth."""
-    found = front = start.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth"))
+    """(entry, id, depth): nodes reached from each entry (id) in at most `depth` steps, at their least depth. What was reached before isn't walked again."""
+    found = front = start.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        front = front.join(edges, F.col("id") == F.col("source")).select("entry", F.col("target").alias("id"), F.lit(d).alias("depth")).distinct()
+        new = front.join(edges.select("source", "target"), F.col("id") == F.col("source")).select("entry", F.col("target").alias("id")).distinct()
+        front = materialize(new.join(found, ["entry", "id"], "left_anti").withColumn("depth", F.lit(d)), "reach")
         found = found.union(front)
-    return found.groupBy("entry", "id").agg(F.min("depth").alias("depth"))
+    return found

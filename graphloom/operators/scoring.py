@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import ident_tokens, is_test_path, prose_tokens
 from graphloom.operators.ordered import running
-from graphloom.runtime import small
+from graphloom.runtime import materialize, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 CLIFF, FLOOR = 0.6, 0.13
 FEATURES = 5_000
-#: Common English words that carry no topic.
+#: Common English words that carry no topic; a parameter wherever they are used.
 STOP_WORDS = (
     "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
     "just me more most my no not of on one or our out over own she so some such than that the their them then there these they this those to too "
@@ -25,48 +25,78 @@ STOP_WORDS = (
 ).split()
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, idf) with negative idf replaced by a fraction of the mean, and the mean."""
-    tokens = docs.select(F.explode(F.array_distinct(ident_tokens(F.col("text")))).alias("term"))
-    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def english_stop_words() -> tuple[str, ...]:
+    """The vectoriser library's list where it is installed, else STOP_WORDS."""
+    try:
+        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
+    except ImportError:
+        return tuple(STOP_WORDS)
+    return tuple(sorted(ENGLISH_STOP_WORDS))
+
+
+def _idf(df: DataFrame, n: Column) -> DataFrame:
+    """(term, df, ..., n) -> with idf: negative ones are a fraction of the mean over all terms. df should be a table."""
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))).drop("raw", "mean")
+
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """(term, df, idf) of every term. Documents are read once: their number is the number of rows without a term."""
+    tokens = F.array_distinct(ident_tokens(F.col("text")))
+    spots = docs.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), tokens)).alias("term"))
+    counts = materialize(spots.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    n = counts.where("term IS NULL").select(F.col("df").alias("n"))
+    return _idf(counts.where("term IS NOT NULL").crossJoin(F.broadcast(n)), F.col("n")).select("term", "df", "idf")
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of every document for every query with a score other than 0.
 
-    Only query terms leave the scan as postings; corpus statistics come from
-    distinct terms of each document, combined before the shuffle.
+    One scan tokenises the documents, and one aggregate after it gives all that
+    is needed, as rows of three kinds: how many documents hold a term (of each
+    document's distinct terms, combined before the shuffle), how often a document
+    holds a term that is asked for, and the number and lengths of all documents.
     """
     bag = queries.select("query_id", F.explode(ident_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = small(bag.select("term").distinct())
-    idf = corpus_stats(docs).join(terms, "term", "left_semi").select("term", "idf")
-    weights = small(bag.join(idf, "term"))
-    sized = docs.select("id", ident_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    average = sized.agg(F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    postings = sized.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    bag = materialize(bag, "asked")
+    terms = small(bag.select("term", F.lit(True).alias("asked")).distinct())
+    kind = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("term"))
+    spots = F.concat(F.transform(F.array_distinct("tokens"), lambda t: kind(0, t)), F.transform("tokens", lambda t: kind(1, t)), F.array(kind(2, F.lit(None).cast("string"))))
+    rows = docs.select("id", ident_tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("dl"), F.explode(spots).alias("s")).select("id", "dl", "s.kind", "s.term")
+    rows = rows.join(terms, "term", "left").where("kind <> 1 OR asked")
+    of = F.when(F.col("kind") == 1, F.col("id"))
+    counts = rows.groupBy("kind", "term", of.alias("id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == 2, F.col("dl")).otherwise(0)).alias("length"), F.max("dl").alias("dl"))
+    counts = materialize(counts, "postings")
+    total = counts.where("kind = 2").select(F.col("n").alias("docs"), (F.col("length") / F.col("n")).alias("avgdl"))
+    idf = _idf(counts.where("kind = 0").select("term", F.col("n").alias("df")).crossJoin(F.broadcast(total)), F.col("docs"))
+    weights = small(materialize(bag.join(idf, "term").select("query_id", "term", "qtf", "idf", "avgdl"), "weights"))
+    postings = counts.where("kind = 1").select("id", "dl", "term", F.col("n").alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return postings.join(weights, "term").crossJoin(F.broadcast(average)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return postings.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def tfidf(docs: DataFrame, query: str, features: int = FEATURES) -> DataFrame:
-    """(id, score): cosine of tf-idf vectors with the query, which counts as a document; 0 for documents without a kept term."""
-    spark = docs.sparkSession
-    asked = spark.range(1, numPartitions=1).select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.lit(query).alias("text"), F.lit(True).alias("is_query"))
-    every = docs.select("id", "text", F.lit(False).alias("is_query")).unionByName(asked)
-    words = every.select("id", "is_query", F.explode(F.filter(prose_tokens(F.col("text")), lambda w: ~w.isin(STOP_WORDS))).alias("term"))
-    tf = words.groupBy("id", "is_query", "term").agg(F.count("*").alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
+def tfidf(docs: DataFrame, query: str, features: int = FEATURES, stop_words: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, score): cosine of tf-idf vectors with the query, which counts as a document; 0 for documents without a kept term.
+
+    Documents are tokenised once, into a table of their terms' counts. The
+    vocabulary has a bound (features) and is broadcast with the query's weights in it.
+    """
+    stop = list(english_stop_words() if stop_words is None else stop_words)
+    kept = lambda text: F.filter(prose_tokens(text), lambda w: ~w.isin(stop))
+    tf = docs.select("id", F.explode(kept(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tf, "term-counts")
+    one = docs.sparkSession.range(1, numPartitions=1)
+    asked = one.select(F.explode(kept(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    spread = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    both = spread.join(F.broadcast(asked), "term", "full_outer").select("term", "qtf", (F.coalesce("total", F.lit(0)) + F.coalesce("qtf", F.lit(0))).alias("total"), (F.coalesce("df", F.lit(0)) + F.col("qtf").isNotNull().cast("long")).alias("df"))
     n = docs.agg((F.count("*") + 1).alias("n"))
-    idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(F.broadcast(idf), "term").select("id", "is_query", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    q = weighted.where("is_query").select("term", F.col("w").alias("qw"))
-    q_norm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    per_doc = weighted.where("NOT is_query").join(F.broadcast(q), "term", "left").groupBy("id").agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scores = per_doc.crossJoin(F.broadcast(q_norm)).select("id", F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0).alias("score"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    vocabulary = materialize(both.orderBy(F.desc("total"), "term").limit(features).crossJoin(F.broadcast(n)).select("term", idf.alias("idf"), (F.coalesce("qtf", F.lit(0)) * idf).alias("qw")), "vocabulary")
+    norm = vocabulary.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    w = F.col("tf") * F.col("idf")
+    per_doc = tf.join(F.broadcast(vocabulary), "term").groupBy("id").agg(F.sum(w * F.col("qw")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
+    scores = per_doc.crossJoin(F.broadcast(norm)).select("id", F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0).alias("score"))
     return docs.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,53 +47,59 @@ def knapsack(rows: DataFrame, group: list[str], order: list[str], tokens: str, b
     return running(kept, group, order).select(*group, (F.col("place") - 1).alias("position"), key)
 
 
-def round_robin(rows: pd.DataFrame, budget: int, per_directory: int = 3, share: float = 0.6) -> list:
-    """Ids in order of choice: directories take turns, best next score first.
+#: In a round-robin choice a directory gives so many rows at most, and a row takes that share of the budget at most.
+PER_DIRECTORY, SHARE = 3, 0.6
+
+
+def chosen_in_turns(offers: pd.DataFrame, budget: int) -> list:
+    """Ids in order of choice. offers: one row for each turn of each directory (turn, directory, best, id, score, tokens).
 
-    rows: id, directory, score, tokens, in score order. Each turn takes a
-    directory's next row for good; it is kept if it is within its share and the
-    budget. Directories are done after per_directory kept rows; a round that
-    keeps none ends the choice.
+    Turn k of a directory is its k-th best row, taken or passed over for good. A
+    turn's rows come by score, equal ones by their directories' best rows; one is
+    chosen if its directory still may give, it is within its share and what is
+    left of the budget holds it. A turn without a choice is the last.
     """
-    queues = {d: list(g.itertuples(index=False)) for d, g in rows.groupby("directory", sort=False)}
-    seen, kept, used = dict.fromkeys(queues, 0), [], 0
-    while used < budget:
-        before = len(kept)
-        for d in sorted(queues, key=lambda d: -(queues[d][0].score if queues[d] else 0.0)):
-            if not queues[d] or seen[d] >= per_directory:
-                continue
-            r = queues[d].pop(0)
-            if r.tokens <= int(share * budget) and used + r.tokens <= budget:
-                kept.append(r.id)
-                seen[d] += 1
-                used += r.tokens
-        if len(kept) == before:
-            break
-    return kept
+    offers = offers.assign(order=-offers["score"]).sort_values(["turn", "order", "best"], kind="stable")
+    fits = offers[offers["tokens"] <= int(SHARE * budget)]
+    given, chosen, left, turn = Counter(), [], budget, 0
+    for row in fits.itertuples(index=False):
+        if row.turn > turn:
+            # turns in between offered nothing that fits, so they would have ended the choice
+            if left <= 0 or row.turn > turn + 1 or turn and not chose:
+                break
+            turn, chose = row.turn, False
+        if row.tokens <= left and given[row.directory] < PER_DIRECTORY:
+            chosen.append(row.id)
+            given[row.directory] += 1
+            left -= row.tokens
+            chose = True
+    return chosen
 
 
 def select_round_robin(scored: DataFrame, budget: int, group: str | None = None) -> DataFrame:
     """(id, directory, score, tokens) -> (id, position), for each group if one is named.
 
-    Every round but the last keeps a row, and a directory keeps three at most, so
-    there are 3 * directories + 1 rounds at most. Each takes one row of a
+    Every turn but the last keeps a row, and a directory keeps three at most, so
+    there are 3 * directories + 1 turns at most. Each takes one row of a
     directory: no row beyond that place is ever looked at, and the fold sees the
     square of the number of directories, not of rows.
     """
     by = scored.withColumn("fold", F.lit(0) if group is None else F.col(group)).select("fold", "id", "directory", "score", "tokens")
     by = materialize(by, "round-robin")
-    rounds = by.groupBy("fold").agg((F.countDistinct("directory") * 3 + 1).alias("rounds"))
-    rounds = rounds.withColumnRenamed("fold", "of")
-    by = running(by, ["fold", "directory"], [F.desc("score"), "id"]).join(rounds, F.col("fold").eqNullSafe(F.col("of"))).where("place <= rounds")
-    kind = by.schema["fold"].dataType.simpleString()
+    per = by.groupBy("fold").agg((F.countDistinct("directory") * PER_DIRECTORY + 1).alias("turns"))
+    by = running(by, ["fold", "directory"], [F.desc("score"), "id"]).withColumnRenamed("place", "turn").join(per.withColumnRenamed("fold", "of"), F.col("fold").eqNullSafe(F.col("of"))).where("turn <= turns")
+    first = by.where("turn = 1").select(F.col("fold").alias("of_fold"), F.col("directory").alias("of_directory"), F.struct((-F.col("score")).alias("s"), "id").alias("best"))
+    offers = by.join(first, F.col("fold").eqNullSafe(F.col("of_fold")) & F.col("directory").eqNullSafe(F.col("of_directory")))
+    kind, id_kind = by.schema["fold"].dataType.simpleString(), scored.schema["id"].dataType.simpleString()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        kept = round_robin(rows, budget)
+        ranks = {key: k for k, key in enumerate(sorted({(s, i) for s, i in zip(rows["s"], rows["best_id"])}))}
+        rows = rows.assign(best=[ranks[key] for key in zip(rows["s"], rows["best_id"])])
+        kept = chosen_in_turns(rows, budget)
         return pd.DataFrame({"fold": rows["fold"].iloc[0], "id": kept, "position": range(len(kept))})
 
-    id_kind = scored.schema["id"].dataType.simpleString()
-    out = by.select("fold", "id", "directory", "score", "tokens").groupBy("fold").applyInPandas(fold, f"fold {kind}, id {id_kind}, position long")
+    offers = offers.select("fold", "id", "directory", "score", "tokens", "turn", F.col("best.s").alias("s"), F.col("best.id").alias("best_id"))
+    out = offers.groupBy("fold").applyInPandas(fold, f"fold {kind}, id {id_kind}, position long")
     return out.drop("fold") if group is None else out.withColumnRenamed("fold", group)
 
 

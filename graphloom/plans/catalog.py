@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text, tokens
 from graphloom.operators import graph, render, retrieval, scoring, select
-from graphloom.runtime import materialize, spread, table
+from graphloom.runtime import materialize, table
 from graphloom.sources import code
 
 QUERY = "attion of_the ThandbleReading with heed"
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def _path() -> F.Column:
@@ -83,9 +83,9 @@ def ident_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(ts).cast("long").alias("n_tokens"), F.md5(F.array_join(ts, " ")).alias("tokens_md5"))
 
 
-STATS_CTE = f"""d AS (SELECT doc_id AS id, {IDENT.format(t='text')} AS ts FROM documents),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM d) GROUP BY term),
-raw AS (SELECT term, df, ln((SELECT count(*) FROM d) - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM df),
+STATS_CTE = f"""d AS MATERIALIZED (SELECT doc_id AS id, {IDENT.format(t='text')} AS ts FROM documents),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM d) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM d) - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM df),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25e0 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
@@ -122,7 +122,7 @@ def batch_topk(spark, d):
 
 STOP = "(" + ", ".join(f"'{w}'" for w in scoring.STOP_WORDS) + ")"
 TFIDF_CTE = rf"""e AS (SELECT doc_id AS id, text, false AS is_query FROM documents UNION ALL SELECT NULL, '{QUERY}', true),
-tf AS (SELECT id, is_query, term, count(*) AS tf FROM (SELECT id, is_query, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS term FROM e) WHERE term NOT IN {STOP} GROUP BY ALL),
+tf AS MATERIALIZED (SELECT id, is_query, term, count(*) AS tf FROM (SELECT id, is_query, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS term FROM e) WHERE term NOT IN {STOP} GROUP BY ALL),
 voc AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
 w AS (SELECT id, is_query, term, tf * (ln((2 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term)),
 qw AS (SELECT term, w AS qw FROM w WHERE is_query),
@@ -131,7 +131,7 @@ tfidf AS (SELECT id, coalesce(sum(w * coalesce(qw, 0)) / (sqrt(sum(w * w)) * (SE
 
 @query(f"WITH {TFIDF_CTE} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM documents d LEFT JOIN tfidf ON tfidf.id = d.doc_id")
 def tfidf_cosine(spark, d):
-    return scoring.tfidf(_docs(spark, d), QUERY).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return scoring.tfidf(_docs(spark, d), QUERY, stop_words=scoring.STOP_WORDS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(
@@ -147,7 +147,7 @@ def cosine_topk(spark, d):
 def _signals(spark, d) -> DataFrame:
     docs = _docs(spark, d)
     bm25 = docs.select("id").join(scoring.bm25(docs, _asked(spark)), "id", "left").select(F.lit("bm25").alias("signal"), "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
-    tfidf = scoring.tfidf(docs, QUERY).select(F.lit("tfidf").alias("signal"), "id", F.round("score", 6).alias("score"))
+    tfidf = scoring.tfidf(docs, QUERY, stop_words=scoring.STOP_WORDS).select(F.lit("tfidf").alias("signal"), "id", F.round("score", 6).alias("score"))
     degree = graph.degrees(table(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_custkey").alias("target"))).select("id", F.col("degree").cast("double").alias("score"))
     degree = docs.select("id").join(degree, "id", "left").select(F.lit("degree").alias("signal"), "id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return materialize(bm25.union(tfidf).union(degree), "signals")
@@ -453,7 +453,7 @@ def exclude_returned(spark, d):
 
 @query(f"WITH {SIGNALS_CTE}, {ELIGIBLE} SELECT CASE WHEN top < 0.05e0 THEN 'low' WHEN top >= 0.5e0 THEN 'high' ELSE 'medium' END AS label, round(top, 6) AS confidence FROM (SELECT max(score) AS top FROM tfidf)")
 def confidence_label(spark, d):
-    top = scoring.tfidf(_docs(spark, d), QUERY).agg(F.max("score").alias("top"))
+    top = scoring.tfidf(_docs(spark, d), QUERY, stop_words=scoring.STOP_WORDS).agg(F.max("score").alias("top"))
     return top.select(scoring.confidence(F.col("top")).alias("label"), F.round("top", 6).alias("confidence"))
 
 

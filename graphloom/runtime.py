@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after it has been counted and found to be at most this long.
 BROADCAST_ROWS = 200_000
-#: Only tables up to this size are dealt out again before heavy expressions.
-SPREAD_BYTES = 256 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -47,12 +45,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt over all cores by key, if the plan's size says 256 MB at most: a small file may be one row group, which one task reads. Larger tables stay as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

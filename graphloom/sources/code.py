@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,8 +14,9 @@ from graphloom.functions.text import CUT, MOST_CHARS, capped
 from graphloom.functions.tokens import TOKENIZER, counter
 from graphloom.operators.graph import resolve_import_prefixes, resolve_imports, resolve_names
 from graphloom.operators.ordered import running
-from graphloom.runtime import materialize
+from graphloom.runtime import materialize, work_dir
 from graphloom.sources import grammar
+from graphloom.sources.files import checked_folder
 
 #: Directories that hold no hand-written source.
 SKIPPED = (
@@ -29,10 +32,11 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts":
 GENERATED = (".min.js", ".min.ts", ".bundle.js", ".chunk.js", ".min.jsx", ".min.tsx")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(file, lang, text) of the source files under root, without skipped directories and generated files."""
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """Binary files under root with `file`, their path in it, and `lang`: those of known languages outside skipped directories that aren't generated."""
+    root = checked_folder(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,js,jsx,ts,tsx,java,go,rs}").load(root)
-    base = F.lit(root.rstrip("/") + "/")
+    base = F.lit(root + "/")
     rel = F.expr("substring(path, instr(path, base) + length(base))")
     out = files.withColumn("base", base).withColumn("file", rel).withColumn("name", F.lower(F.element_at(F.split("file", "/"), -1)))
     inside = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
@@ -40,15 +44,19 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     for s in GENERATED:
         generated = generated | F.col("name").endswith(s)
     lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.regexp_extract("file", r"(\.[^./]+)$", 1)]
-    out = out.where(~F.arrays_overlap(inside, F.array(*map(F.lit, SKIPPED))) & ~generated).withColumn("lang", lang).where("lang IS NOT NULL")
-    return out.select("file", "lang", F.expr("make_valid_utf8(cast(content AS string))").alias("text"))
+    return out.where(~F.arrays_overlap(inside, F.array(*map(F.lit, SKIPPED))) & ~generated).withColumn("lang", lang).where("lang IS NOT NULL")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(file, lang, text) of the source files under root, without skipped directories and generated files. Bytes that aren't UTF-8 are replaced."""
+    return _listed(spark, root).select("file", "lang", F.expr("make_valid_utf8(cast(content AS string))").alias("text"))
 
 
 def fingerprint(spark: SparkSession, root: str) -> str:
-    """A short hash of all source files' paths and times of change."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
-    row = files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", F.col("modificationTime").cast("double").cast("string")))), "|"), 256).alias("h")).first()
-    return row["h"][:16]
+    """A short hash of the scanned files' paths and times of change: sums that don't depend on their order, so no list of files meets in one task."""
+    each = F.xxhash64("file", F.col("modificationTime").cast("double"))
+    row = _listed(spark, root).agg(F.count("*").alias("n"), F.bit_xor(each).alias("x"), F.sum(each.cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{row['n']}:{row['x']}:{row['s']}".encode()).hexdigest()[:16]
 
 
 SCHEMA = "file string, kind string, id string, type string, name string, line_start int, line_end int, content string, callee string, token_count int, ordinal int"
@@ -108,9 +116,26 @@ def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, contains.union(called).union(imported)
 
 
-def progress(files: DataFrame, batch: int = 50) -> DataFrame:
-    """(batch, files_parsed, progress): running counts over batches of files in path order."""
-    placed = running(materialize(files.select("file"), "files"), [], ["file"])
-    per = placed.groupBy(F.floor((F.col("place") - 1) / batch).alias("batch")).agg(F.max("place").alias("files_parsed"))
+def progress(parsed: DataFrame, batch: int = 50) -> DataFrame:
+    """(batch, files_parsed, nodes_so_far, progress): running counts over batches of files, in path order, of parsed rows."""
+    per_file = materialize(parsed.where("kind = 'node'").groupBy("file").agg(F.count("*").alias("nodes")), "files")
+    placed = running(per_file, [], ["file"], "nodes")
+    per = placed.groupBy(F.floor((F.col("place") - 1) / batch).alias("batch")).agg(F.max("place").alias("files_parsed"), F.max("used").alias("nodes_so_far"))
     total = per.agg(F.max("files_parsed").alias("total"))
-    return per.crossJoin(F.broadcast(total)).select("batch", "files_parsed", (F.col("files_parsed") / F.col("total")).alias("progress"))
+    return per.crossJoin(F.broadcast(total)).select("batch", "files_parsed", "nodes_so_far", (F.col("files_parsed") / F.col("total")).alias("progress"))
+
+
+def parse_in_batches(files: DataFrame, batch: int = 50, path: str = TOKENIZER) -> Iterator[dict]:
+    """Events of a parse, one after each batch of files in path order, and at last one with the graph. A batch is one job, so its size should grow with the tree's."""
+    spark = files.sparkSession
+    numbered = materialize(running(materialize(files.select("file", "lang", "text"), "files"), [], ["file"]), "numbered")
+    total = numbered.count()
+    folder, nodes = f"{work_dir(spark)}/batches-{uuid.uuid4().hex}", 0
+    for low in range(0, total, batch):
+        parse(numbered.where((F.col("place") > low) & (F.col("place") <= low + batch)), path).write.mode("append").parquet(folder)
+        done = min(low + batch, total)
+        nodes += spark.read.schema(SCHEMA).parquet(folder).where("kind = 'node'").count() - nodes
+        yield {"stage": "parsing", "progress": done / total, "files_parsed": done, "total_files": total, "nodes_so_far": nodes}
+    parsed = spark.read.schema(SCHEMA).parquet(folder) if total else spark.createDataFrame([], SCHEMA)
+    found = graph_of(parsed)
+    yield {"stage": "done", "progress": 1.0, "files_parsed": total, "total_files": total, "nodes_so_far": nodes, "graph": found}

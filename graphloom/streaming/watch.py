@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.sources.code import LANGUAGES
+from graphloom.sources.files import Files, checked_folder
 from graphloom.streaming.changes import LiveGraph
 
 #: So many roots are watched at once; the one watched longest gives way.
@@ -17,10 +18,19 @@ WATCHED = 8
 
 
 class Watch:
-    """One root's listing and the graph kept from it. A tick that fails leaves the last listing, so the next one repeats its changes."""
+    """One root's listing and the graph kept from it.
+
+    A tick that fails leaves the last listing, so the next one repeats its
+    changes. A driver that starts again goes on from the listing of the last
+    tick whose changes the graph holds.
+    """
 
     def __init__(self, spark: SparkSession, root: str, live: LiveGraph, folder: str):
-        self.spark, self.root, self.live, self.folder, self.version = spark, root.rstrip("/"), live, folder.rstrip("/"), 0
+        self.spark, self.root, self.live, self.folder = spark, checked_folder(spark, root), live, folder.rstrip("/")
+        applied = live.state()["batch"]
+        self.version = applied if applied > 0 and Files(spark, folder).exists(f"listing-{applied}", "_SUCCESS") else 0
+        # without its listing, ticks still have to count on from what was applied
+        self.number = max(applied, 0)
 
     def _listing(self) -> DataFrame:
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,js,jsx,ts,tsx,java,go,rs}").load(self.root)
@@ -33,7 +43,7 @@ class Watch:
 
     def tick(self) -> int:
         """Applies what changed since the last tick; returns the number of files."""
-        number = self.version + 1
+        number = self.number + 1
         path = f"{self.folder}/listing-{number}"
         self._listing().write.mode("overwrite").parquet(path)
         now = self.spark.read.schema("file string, size long, changed double").parquet(path)
@@ -47,8 +57,10 @@ class Watch:
             lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.regexp_extract("file", r"(\.[^./]+)$", 1)]
             # a file that went away since it was listed counts as deleted, and is found so again by the next tick
             changes = moved.join(texts, "file", "left").select("file", lang.alias("lang"), "text", (F.col("deleted") | F.col("text").isNull()).alias("deleted"), F.lit(number).alias("at"))
-            self.live.apply(changes, number)
-        self.version = number
+            if not self.live.apply(changes, number):
+                return 0  # a reset came in between; the next tick compares again
+            Files(self.spark, self.folder).delete(f"listing-{self.version}")
+        self.version = self.number = number
         return found
 
     def follow(self, checkpoint: str, every: str = "2 seconds"):
