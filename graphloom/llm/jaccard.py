@@ -8,8 +8,8 @@ pair, and only between rows whose sizes differ by no more than t allows. The
 order puts shingles that many texts hold last. A proposed pair must also pass a bound
 by blocks of columns: no overlap exceeds the sum, over the blocks, of the lesser
 of the two rows' sizes in it. Rows that the pairs left connect form a candidate
-group. A group's rows are cut, by size, into blocks of bounded
-shingle counts, and every pair of blocks whose sizes allow a link is one sparse
+group; groups of more than one block are first cut by all pairs' bounds into
+smaller ones. A group's rows are cut, by size, into blocks of bounded shingle counts, and every pair of blocks whose sizes allow a link is one sparse
 product: overlap counts are accumulated column by column, pairs below the bound
 are discarded and the rest are links, exactly. Components of the links follow.
 
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.columns import fresh
 from graphloom.llm.words import Words, shingles, slices, with_columns
-from graphloom.operators.components import connected_components, forest
+from graphloom.operators.components import connected_components
 from graphloom.operators.ordered import running
 from graphloom.runtime import materialize, small
 
@@ -49,7 +49,7 @@ RUN = 2_000
 SHORT = 64
 #: Shingles in a block of a group, and the least that a row counts for: no block has over BLOCK / LEAST rows, so a
 #: product's table of overlaps is bounded where texts are short, too.
-BLOCK, LEAST = 1 << 19, 1 << 9
+BLOCK, LEAST = 1 << 19, 1 << 10
 
 
 def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -68,11 +68,17 @@ def _key(s: np.ndarray) -> int:
 
 
 def column_counts(s: np.ndarray) -> bytes | None:
-    """How many of the set's shingles are in each of 256 blocks of columns; None where a count is over 255."""
-    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    """How many of the set's shingles are in each block of columns, of which there are about half as many as shingles; None where a count is over 255."""
+    bits = max(4, (len(s) // 2).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def folded(sketch: np.ndarray, blocks: int) -> np.ndarray:
+    """A sketch over fewer, wider blocks."""
+    return sketch.reshape(blocks, -1).sum(1, dtype=np.int32) if len(sketch) > blocks else sketch.astype(np.int32)
+
+
 def set_sizes(docs: DataFrame, size: int) -> DataFrame:
     """For every row: doc_id, key of its set, and n, its size; sketch: column_counts of the set, where a task first meets it.
 
@@ -268,9 +274,10 @@ def _bounded(percent: int):
                 if x is None or y is None:
                     keep.append(True)
                     continue
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                most = int(np.minimum(x, y).sum(dtype=np.int64))
-                keep.append(100 * most >= percent * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - most))
+                blocks = min(len(x), len(y))
+                x, y = folded(np.frombuffer(x, np.uint8), blocks), folded(np.frombuffer(y, np.uint8), blocks)
+                most = int(np.minimum(x, y).sum())
+                keep.append(100 * most >= percent * (int(x.sum()) + int(y.sum()) - most))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -288,7 +295,7 @@ def candidate_edges(rows: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def overlaps(column: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """The product of a 0/1 matrix with its transpose: shared columns of each pair of rows.
+    """The product of a 0/1 matrix with its transpose, above the diagonal: shared columns of each pair of rows.
 
     Columns with few rows add their pairs at each distance in the column; the
     others are multiplied densely, some at a time.
@@ -298,7 +305,7 @@ def overlaps(column: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]]) if len(column) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(column)])
     of = np.repeat(np.arange(len(counts)), counts)
-    total = np.zeros(rows * rows, np.int64)
+    total = np.zeros(rows * rows, np.int32)
     sparse = 24
     low = (counts[of] > 1) & (counts[of] <= sparse)
     c, r = of[low], row[low]
@@ -306,20 +313,36 @@ def overlaps(column: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         same = c[lag:] == c[:-lag]
         if not same.any():
             break
-        total += np.bincount(r[:-lag][same] * rows + r[lag:][same], minlength=rows * rows)
+        at, times = np.unique(r[:-lag][same] * rows + r[lag:][same], return_counts=True)
+        total[at] += times.astype(np.int32)
     total = total.reshape(rows, rows)
     dense = np.flatnonzero(counts > sparse)
-    for k in range(0, len(dense), 1024):
-        part = dense[k : k + 1024]
+    for k in range(0, len(dense), 512):
+        part = dense[k : k + 512]
         place = np.full(len(counts), -1)
         place[part] = np.arange(len(part))
         mine = place[of] >= 0
         a = np.zeros((rows, len(part)), np.float32)
         a[row[mine], place[of[mine]]] = 1
-        total += np.rint(a @ a.T).astype(np.int64)
+        total += np.rint(a @ a.T).astype(np.int32)
     return np.triu(total, 1)
 
 
+def spanning(neighbours, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest: neighbours(row, others) says which of the others are linked with the row. Rows that are in a tree aren't looked at again."""
+    left, a, b = np.arange(rows), [], []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            v = front.pop()
+            hit = neighbours(v, left)
+            found, left = left[hit], left[~hit]
+            a.append(np.full(len(found), v))
+            b.append(found)
+            front += found.tolist()
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+
+
 def _product(percent: int):
     """One pair of blocks of one group -> links' forest (a, b), and links of each row (a, null b, links)."""
 
@@ -329,24 +352,19 @@ def _product(percent: int):
         _, first = np.unique(keys, return_index=True)
         t, keys, block = t.take(pa.array(first)), keys[first], block[first]
         lists = t["shingles"].combine_chunks()
-        column = np.asarray(lists.flatten())
-        n = np.diff(np.asarray(lists.offsets))
-        row = np.repeat(np.arange(len(keys)), n)
-        shared = overlaps(column, row, len(keys))
-        x, y = np.nonzero(shared)
+        n = np.diff(np.asarray(lists.offsets)).astype(np.int32)
+        linked = overlaps(np.asarray(lists.flatten()), np.repeat(np.arange(len(keys)), n), len(keys))
+        linked = np.stack([100 * shared.astype(np.int64) >= percent * (n[i] + n - shared.astype(np.int64)) for i, shared in enumerate(linked)]) & (linked > 0)
+        linked |= linked.T
         if len(table) and table["i"][0].as_py() != table["j"][0].as_py():
-            apart = block[x] != block[y]
-            x, y = x[apart], y[apart]
-        both = shared[x, y]
-        linked = 100 * both >= percent * (n[x] + n[y] - both)
-        x, y = x[linked], y[linked]
-        a, b = forest(keys[x], keys[y])
-        links = np.bincount(np.concatenate([x, y]), minlength=len(keys))
+            linked &= block[:, None] != block
+        a, b = spanning(lambda v, others: linked[v, others], len(keys))
+        links = linked.sum(1)
         some = np.flatnonzero(links)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([a, keys[some]]), pa.int64()),
-                "b": pa.array(np.concatenate([b, np.zeros(len(some), np.int64)]), pa.int64(), mask=np.r_[np.zeros(len(a), bool), np.ones(len(some), bool)]),
+                "a": pa.array(np.concatenate([keys[a], keys[some]]), pa.int64()),
+                "b": pa.array(np.concatenate([keys[b], np.zeros(len(some), np.int64)]), pa.int64(), mask=np.r_[np.zeros(len(a), bool), np.ones(len(some), bool)]),
                 "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]), pa.int64()),
             }
         )
@@ -354,6 +372,68 @@ def _product(percent: int):
     return run
 
 
+def _refinement(percent: int):
+    """One pair of blocks of one group, as sketches -> edges (a, b) that connect all rows whose sizes, whole and by blocks of columns, allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        keys = np.asarray(t["key"])
+        _, first = np.unique(keys, return_index=True)
+        keys, n, sketches = keys[first], np.asarray(t["n"])[first], [t["sketch"][int(i)].as_py() for i in first]
+        known = [np.frombuffer(x, np.uint8) for x in sketches if x is not None]
+        blocks = min(map(len, known), default=16)
+        matrix = np.zeros((len(keys), blocks), np.int32)
+        blind = np.array([x is None for x in sketches])
+        matrix[~blind] = [folded(x, blocks) for x in known] if known else 0
+
+        def may_link(v: int, others: np.ndarray) -> np.ndarray:
+            fits = (100 * np.minimum(n[v], n[others]) >= percent * np.maximum(n[v], n[others]))
+            if not blind[v]:
+                for k in range(0, len(others), 256):
+                    part = others[k : k + 256]
+                    most = np.minimum(matrix[v], matrix[part]).sum(1)
+                    fits[k : k + 256] &= blind[part] | (100 * most >= percent * (n[v] + n[part] - most))
+            return fits
+
+        a, b = spanning(may_link, len(keys))
+        return pa.table({"a": pa.array(keys[a], pa.int64()), "b": pa.array(keys[b], pa.int64())})
+
+    return run
+
+
+def _blocks(sets: DataFrame, weight: str, size: int, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """sets (component, key, n, ...) with `block`, by size and a bounded sum of weights in each, and (component, block, i, j): the pairs of blocks (i, j) that a block is in, as far as sizes allow a link."""
+    columns = sets.columns
+    sets = running(sets, ["component"], ["n", "key"], weight)
+    sets = materialize(sets.withColumn("block", F.floor((F.col("used") - F.col(weight)) / size).cast("int")).select(*columns, "block"), label)
+    block = sets.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    i, j = block.alias("i"), block.alias("j")
+    pairs = i.join(j, (F.col("i.component") == F.col("j.component")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low")))
+    pairs = pairs.select(F.col("i.component").alias("component"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
+    return sets, materialize(pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), f"{label}-pairs")
+
+
+def refined(sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """sets (component, key, n, doc_id, counted) with groups of several blocks cut into smaller ones, or none, by the sketches of their sets.
+
+    Long runs of common shingles chain what shares hardly more than those, so a
+    large group may hold few sets that can link. Sketches are a sixteenth of the
+    sets, and here they meet before the sets do.
+    """
+    large = materialize(sets.groupBy("component").agg(F.sum("counted").alias("whole")).where(F.col("whole") > BLOCK).select("component"), "large-groups")
+    if large.isEmpty():
+        return sets
+    sketch = sketches.groupBy("key").agg(F.first("sketch").alias("sketch"))
+    inside = materialize(sets.join(small(large), "component", "left_semi").join(sketch, "key", "left").withColumn("weight", F.greatest(F.coalesce(F.length("sketch"), F.lit(0)), F.lit(LEAST)).cast("long")), "large-sets")
+    inside, tasks = _blocks(inside, "weight", BLOCK, percent, "sketched-sets")
+    meeting = inside.select("component", "block", "key", "n", "sketch").join(small(tasks), ["component", "block"])
+    edges = materialize(meeting.groupBy("component", "i", "j").applyInArrow(_refinement(percent), "a long, b long"), "refined-edges")
+    groups = connected_components(edges)
+    groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
+    cut = inside.select("key", "n", "doc_id", "counted").join(groups, F.col("key") == F.col("node")).select("component", "key", "n", "doc_id", "counted")
+    return materialize(sets.join(small(large), "component", "left_anti").select("component", "key", "n", "doc_id", "counted").unionByName(cut), "refined-sets")
+
+
 def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, set_key, class_key) of every row of docs.
 
@@ -371,14 +451,8 @@ def similar_documents(docs: DataFrame, shingle_size: int = 4, percent: int = 85)
 
     # blocks: a group's sets by size, a bounded number of shingles and of rows in each
     sets = rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")).join(groups, F.col("key") == F.col("node")).drop("node")
-    sets = materialize(sets.withColumn("counted", F.greatest("n", F.lit(LEAST))), "candidate-sizes")
-    sets = running(sets, ["component"], ["n", "key"], "counted")
-    sets = materialize(sets.withColumn("block", F.floor((F.col("used") - F.col("counted")) / BLOCK).cast("int")).drop("place", "used", "counted"), "candidate-sets")
-    block = sets.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    i, j = block.alias("i"), block.alias("j")
-    pairs = i.join(j, (F.col("i.component") == F.col("j.component")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low")))
-    pairs = pairs.select(F.col("i.component").alias("component"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
-    tasks = materialize(pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "candidate-tasks")
+    sets = materialize(sets.select("component", "key", "n", "doc_id", F.greatest("n", F.lit(LEAST)).alias("counted")), "candidate-sizes")
+    sets, tasks = _blocks(refined(sets, sized.where("sketch IS NOT NULL").select("key", "sketch"), percent), "counted", BLOCK, percent, "candidate-sets")
 
     wanted = small(sets.select(F.col("doc_id").alias("wanted_id"), F.col("key").alias("wanted_key"), "component", "block"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id"))).select("text", "wanted_key", "component", "block")

@@ -104,6 +104,42 @@ def test_jaccard_links_across_salts_whose_ends_are_dissimilar(spark, monkeypatch
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(0, 0, 40)] + [(i, 0, 1) for i in range(1, 41)]
 
 
+def test_jaccard_cuts_large_groups_and_keeps_links(spark, monkeypatch):
+    # 40 texts share a passage that chains them and most of nothing else; two pairs of them are near copies
+    rng = np.random.default_rng(18)
+    passage = words(rng, 30)
+    rows = [(i, passage + " " + " ".join("w%d_%d" % (i, k) for k in range(20)), "s") for i in range(40)]
+    rows += [(50, rows[3][1] + " more", "s"), (51, "first " + rows[7][1], "s"), (52, rows[3][1] + " other end", "s")]
+    calls = []
+    kept = jaccard._refinement
+    # in an order that doesn't know which shingles are common, the passage proposes pairs
+    monkeypatch.setattr(jaccard, "common_shingles", lambda seen: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(jaccard, "_refinement", lambda percent: calls.append(percent) or kept(percent))
+    for name, value in (("BLOCK", 200), ("LEAST", 8), ("SHORT", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.similar_documents(docs_of(spark, rows), 4, 85).collect()}
+    assert calls and got[50] == (3, 2) and got[52] == (3, 2) and got[51] == (7, 1) and got[3] == (3, 2) and got[7] == (7, 1)
+    assert all(got[i] == (i, 0) for i in range(40) if i not in (3, 7))
+
+
+def test_jaccard_sketches_bound_overlaps():
+    rng = np.random.default_rng(19)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 700)))) for _ in range(2))
+        x, y = (np.frombuffer(jaccard.column_counts(s), np.uint8) for s in (a, b))
+        blocks = min(len(x), len(y))
+        assert np.minimum(jaccard.folded(x, blocks), jaccard.folded(y, blocks)).sum() >= len(np.intersect1d(a, b))
+
+
+def test_jaccard_null_and_shared_ids(spark):
+    body, other = words(np.random.default_rng(20), 60), words(np.random.default_rng(21), 60)
+    rows = [(None, body, "s"), (9, body + " x", "s"), (None, other, "s"), (4, other, "s"), (4, body, "s"), (5, None, "s"), (None, "", "s"), (7, "a b", "s"), (7, "c d", "s")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard.similar_documents(docs_of(spark, rows, clash=True)).collect())
+    # the smallest id that isn't null names a class; an id at several texts belongs to each one's class
+    assert got == sorted([("None", 57, "4", 1), ("9", 58, "4", 1), ("None", 57, "4", 0), ("4", 57, "4", 0), ("4", 57, "4", 1), ("5", 0, "5", 0), ("None", 0, "None", 0), ("7", 1, "7", 0), ("7", 1, "7", 0)])
+
+
 def test_overlaps_is_the_matrix_product():
     rng = np.random.default_rng(5)
     a = rng.random((40, 90)) < 0.5
