@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def prefix_sums(values: str, block: int = 256) -> str:
-    """SQL: for each entry of an array of ints, the sum of those before it.
+def prefix_sums(values: str, block: int = 256, kind: str = "int") -> str:
+    """SQL: for each entry of an array of numbers of a kind, the sum of those before it.
 
     In two levels, inside blocks and over the blocks' totals, so that the cost of
     copying what a fold has gathered stays near the array's length.
     """
-    empty = "named_struct('at', 0, 'all', cast(array() AS array<int>))"
+    empty = f"named_struct('at', cast(0 AS {kind}), 'all', cast(array() AS array<{kind}>))"
     inside = f"""transform(sequence(0, (size(addends) - 1) div {block}), b -> aggregate(slice(addends, b * {block} + 1, {block}), {empty},
         (s, x) -> named_struct('at', s.at + x, 'all', concat(s.all, array(s.at)))))"""
     before = f"aggregate(parts, {empty}, (s, x) -> named_struct('at', s.at + x.at, 'all', concat(s.all, array(s.at))), s -> s.all)"
