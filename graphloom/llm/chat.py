@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.columns import prefix_sums
+from graphloom.functions.arrays import prefix_sums
 
 #: The template's control strings.
 OPEN, NAMED, MERGED, CLOSE = "<turn ", ">\n", "<+>", "</turn>\n"
@@ -66,18 +66,17 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         ),
     )
     made = made.select("conv_id", placed.alias("parts"))
-
-    def starts(measure: str) -> Column:
-        return F.expr(prefix_sums(f"transform(parts, p -> {measure}(p.head) + {measure}(p.body) + {measure}(p.tail))"))
-
-    made = made.select("conv_id", "parts", starts("char_length").alias("at"), starts("octet_length").alias("byte_at"))
+    # code points and bytes before each turn in one sum: no string has 2^31 bytes
+    both = " + ".join(f"shiftleft(cast(char_length(p.{c}) AS bigint), 31) + octet_length(p.{c})" for c in ("head", "body", "tail"))
+    made = made.select("conv_id", "parts", F.expr(prefix_sums(f"transform(parts, p -> {both})", kind="bigint")).alias("sums"))
     spans = F.filter(
-        F.transform(
+        F.zip_with(
             "parts",
-            lambda p, i: F.struct(
-                (F.get("at", i) + F.length(p["head"])).alias("start"),
+            "sums",
+            lambda p, at: F.struct(
+                (F.shiftright(at, 31).cast("int") + F.length(p["head"])).alias("start"),
                 F.length(p["body"]).alias("length"),
-                (F.get("byte_at", i) + F.octet_length(p["head"])).alias("byte_start"),
+                (at.bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + F.octet_length(p["head"])).alias("byte_start"),
                 F.octet_length(p["body"]).alias("byte_length"),
                 p["learned"].alias("learned"),
             ),

@@ -25,17 +25,3 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo folds, is that remainder. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == remainder
-
-
-def prefix_sums(values: str, block: int = 256) -> str:
-    """SQL: for each entry of an array of ints, the sum of those before it.
-
-    In two levels, inside blocks and over the blocks' totals, so that the cost of
-    copying what a fold has gathered stays near the array's length.
-    """
-    empty = "named_struct('at', 0, 'all', cast(array() AS array<int>))"
-    inside = f"""transform(sequence(0, (size(addends) - 1) div {block}), b -> aggregate(slice(addends, b * {block} + 1, {block}), {empty},
-        (s, x) -> named_struct('at', s.at + x, 'all', concat(s.all, array(s.at)))))"""
-    before = f"aggregate(parts, {empty}, (s, x) -> named_struct('at', s.at + x.at, 'all', concat(s.all, array(s.at))), s -> s.all)"
-    return f"""flatten(flatten(flatten(transform(array({values}), addends -> flatten(transform(array({inside}), parts ->
-        transform(array({before}), offsets -> transform(parts, (x, k) -> transform(x.all, a -> a + offsets[k])))))))))"""

@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.columns import fresh, prefix_sums
+from graphloom.functions.arrays import prefix_sums
+from graphloom.llm.columns import fresh
 from graphloom.runtime import materialize
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
