@@ -29,7 +29,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 #: Steps of PageRank whose ranks are written, and compared, together.
-TOGETHER = 3
+TOGETHER = 8
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
@@ -37,9 +37,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
 
     Isolated nodes get (1 - damping) / n before that. The sum before it is known
     without a look at the rows: what connected nodes hold is given on whole, and
-    isolated ones all hold the same. So a step is one join and one aggregate;
-    TOGETHER steps keep their ranks side by side and are written as one table, of
-    which one aggregate says after which step the ranks moved less than tol.
+    isolated ones all hold the same. Every node also has an edge to itself that
+    carries the ranks it had, so a step is one join and one aggregate of the last
+    one, and a plan of several steps stays as long as they are. TOGETHER steps are
+    written as one table, of which one aggregate says after which step the ranks
+    moved less than tol.
     """
     ids = materialize(nodes.select("id").distinct(), "pagerank-nodes")
     n = ids.count()
@@ -47,26 +49,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
         return ids.select("id", F.lit(0.0).alias("rank"))
     pairs = adjacency(restrict_edges(edges, ids))
     degree = pairs.groupBy("src").agg(F.count("*").alias("degree"))
-    pairs = materialize(pairs.join(degree, "src").repartition("src"), "pagerank-edges")
-    alone = n - pairs.select("src").distinct().count()
-    own = (1 - damping) / n
-    now, isolated, done = ids.withColumn("r0", F.lit(1.0 / n)), 1.0 / n, 0
+    own_edges = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("long").alias("degree"))
+    links = materialize(pairs.join(degree, "src").select("src", "dst", "degree").union(own_edges), "pagerank-edges")
+    alone = n - links.where("degree IS NOT NULL").select("src").distinct().count()
+    share = (1 - damping) / n
+    now, isolated, done = ids.withColumn("ranks", F.array(F.lit(1.0 / n))), 1.0 / n, 0
     while done < max_iter:
         steps = min(TOGETHER, max_iter - done)
-        for k in range(1, steps + 1):
+        for _ in range(steps):
             whole = 1 - damping + damping * (1 - alone * isolated)
-            isolated = own / whole
-            last = f"r{k - 1}"
-            given = pairs.join(now.select("id", last), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col(last) / F.col("degree")).alias("got"))
-            ranked = (F.lit(own) + F.lit(damping) * F.coalesce("got", F.lit(0.0))) / F.lit(whole)
-            now = now.join(given, F.col("id") == F.col("dst"), "left").withColumn(f"r{k}", ranked).drop("dst", "got")
+            isolated = share / whole
+            met = links.join(now, F.col("src") == F.col("id"))
+            given = F.sum(F.when(F.col("degree").isNotNull(), F.element_at("ranks", -1) / F.col("degree")).otherwise(0.0))
+            held = F.max(F.when(F.col("degree").isNull(), F.col("ranks")))
+            now = met.groupBy("dst").agg(given.alias("given"), held.alias("held"))
+            now = now.select(F.col("dst").alias("id"), F.concat("held", F.array((F.lit(share) + F.lit(damping) * F.col("given")) / F.lit(whole))).alias("ranks"))
         now = materialize(now, "pagerank")
-        moved = now.agg(*[F.sum(F.abs(F.col(f"r{k}") - F.col(f"r{k - 1}"))).alias(f"m{k}") for k in range(1, steps + 1)]).first()
+        moved = now.agg(*[F.sum(F.abs(F.get("ranks", F.lit(k)) - F.get("ranks", F.lit(k - 1)))).alias(f"m{k}") for k in range(1, steps + 1)]).first()
         still = next((k for k in range(1, steps + 1) if moved[f"m{k}"] < tol), None)
-        now, done = now.select("id", F.col(f"r{still or steps}").alias("r0")), done + steps
+        now, done = now.select("id", F.array(F.get("ranks", F.lit(still or steps))).alias("ranks")), done + steps
         if still:
             break
-    return now.withColumnRenamed("r0", "rank")
+    return now.select("id", F.get("ranks", F.lit(0)).alias("rank"))
 
 
 def resolve_names(refs: DataFrame, nodes: DataFrame, first: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +53,14 @@ def code_pieces(selected: DataFrame, budget: int = 0, path: str = TOKENIZER) ->
     return placed.select("place", "piece")
 
 
-def map_lines(nodes: DataFrame, budget: int = 500, per_file: int = 3, path: str = TOKENIZER) -> DataFrame:
-    """(place, line) of the map: up to three definitions of each file by line, with what they are for, files in order."""
+def map_lines(nodes: DataFrame, budget: int = 500, per_file: int = 3, path: str = TOKENIZER, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(place, line) of the map: up to three definitions of each file by line, with what they are for, files in order. tokens: another measure of the budget."""
+    size = tokens or (lambda text: count_tokens(text, path))
     top = nodes.where("type NOT IN ('file', 'module') AND name <> ''").withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("line_start", "id"))).where(F.col("nth") <= per_file)
     said = purpose(F.col("content"))
     line = F.concat(F.lit("- `"), "name", F.lit("` ("), "file", F.lit(":L"), F.col("line_start").cast("string"), F.lit(")"), F.when(said != "", F.concat(F.lit(" — "), said)).otherwise(""))
-    rows = materialize(top.select("file", "nth", line.alias("line")).withColumn("tokens", count_tokens(F.col("line"), path)), "map")
-    title = nodes.sparkSession.range(1, numPartitions=1).select(count_tokens(F.lit(MAP), path)).first()[0]
+    rows = materialize(top.select("file", "nth", line.alias("line")).withColumn("tokens", size(F.col("line"))), "map")
+    title = nodes.sparkSession.range(1, numPartitions=1).select(size(F.lit(MAP))).first()[0]
     return running(rows, [], ["file", "nth"], "tokens").where(F.col("used") + title <= budget).select("place", "line")
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text, tokens
 from graphloom.operators import graph, render, retrieval, scoring, select
+from graphloom.operators import savings as saved
+from graphloom.plans import trees
 from graphloom.runtime import materialize, table
-from graphloom.sources import code
 
 QUERY = "attion of_the ThandbleReading with heed"
 PATH_SQL = "CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE 'lib/' END || source || '/' || doc_id || '.py'"
@@ -225,21 +226,25 @@ def edge_semi(spark, d):
     return graph.restrict_edges(edges, nodes.where(F.length("id") <= 3)).select("source", "target")
 
 
-def _pagerank_sql(rounds: int) -> str:
+def _pagerank_sql(most: int = 100, tol: float = 1e-6) -> str:
     steps = "".join(
         f""",
 r{k} AS (SELECT n.id, 0.15e0 / (SELECT count(*) FROM n) + 0.85e0 * coalesce(g.got, 0) AS raw FROM n LEFT JOIN (SELECT dst, sum(rank / degree) AS got FROM a JOIN deg USING (src) JOIN s{k - 1} ON s{k - 1}.id = a.src GROUP BY dst) g ON g.dst = n.id),
 s{k} AS MATERIALIZED (SELECT id, raw / (SELECT sum(raw) FROM r{k}) AS rank FROM r{k})"""
-        for k in range(1, rounds + 1)
+        for k in range(1, most + 1)
     )
-    return f"""WITH e AS ({EDGES_SQL}), a AS MATERIALIZED (SELECT source AS src, target AS dst FROM e UNION SELECT target, source FROM e), n AS (SELECT DISTINCT src AS id FROM a),
-deg AS (SELECT src, count(*) AS degree FROM a GROUP BY src), s0 AS (SELECT id, 1e0 / (SELECT count(*) FROM n) AS rank FROM n){steps} SELECT id, round(rank, 9) AS rank FROM s{rounds}"""
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(x.rank - y.rank)) AS moved FROM s{k} x JOIN s{k - 1} y USING (id)" for k in range(1, most + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM s{k}" for k in range(1, most + 1))
+    return f"""WITH e AS ({EDGES_SQL}), a AS MATERIALIZED (SELECT source AS src, target AS dst FROM e UNION SELECT target, source FROM e), n AS MATERIALIZED (SELECT DISTINCT src AS id FROM a),
+deg AS MATERIALIZED (SELECT src, count(*) AS degree FROM a GROUP BY src), s0 AS (SELECT id, 1e0 / (SELECT count(*) FROM n) AS rank FROM n){steps},
+stop AS (SELECT coalesce(min(k) FILTER (moved < {tol}), {most}) AS k FROM ({moved})) SELECT id, round(rank, 9) AS rank FROM ({every}) JOIN stop USING (k)"""
 
 
-@query(_pagerank_sql(8))
+@query(_pagerank_sql())
 def pagerank(spark, d):
+    """With the operator's defaults: until the ranks move less than 1e-6 in a step, or a hundred steps."""
     nodes, edges = _containment(spark, d)
-    return graph.pagerank(nodes, edges, max_iter=8, tol=0.0).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes, edges).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(
@@ -334,12 +339,22 @@ def knapsack_select(spark, d):
     return select.knapsack(table(spark, d, "documents"), ["source"], ["doc_id"], "n_chars", 20_000, "doc_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SIGNALS_CTE}, {ELIGIBLE},
+f AS MATERIALIZED (SELECT id, round(sum(1e0 / (60 + rank)), 9) AS score, regexp_extract(any_value(path), '^(.*)/[^/]*$', 1) AS directory, any_value(n_chars) AS tokens FROM ranked JOIN el USING (id) JOIN (SELECT doc_id AS id, n_chars, {PATH_SQL} AS path FROM documents) USING (id) GROUP BY id),
+t AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY score DESC, id) AS turn, first_value(id) OVER (PARTITION BY directory ORDER BY score DESC, id) AS best, first_value(score) OVER (PARTITION BY directory ORDER BY score DESC, id) AS top FROM f),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY turn, score DESC, top DESC, best) AS place FROM t),
+r AS (SELECT 0::BIGINT AS place, 0::BIGINT AS turn, 20000::BIGINT AS budget, []::VARCHAR[] AS given, true AS chose, NULL::BIGINT AS id
+  UNION ALL SELECT place, turn, CASE WHEN ok THEN budget - tokens ELSE budget END, CASE WHEN ok THEN list_append(given, directory) ELSE given END, ok OR (turn = before AND chose), CASE WHEN ok THEN id END
+  FROM (SELECT o.place, o.turn, r.turn AS before, budget, given, chose, tokens, directory, o.id, tokens <= 12000 AND tokens <= budget AND len(list_filter(given, lambda x: x = directory)) < 3 AS ok
+    FROM r JOIN o ON o.place = r.place + 1 WHERE o.turn = r.turn OR (chose AND budget > 0)))
+SELECT id, row_number() OVER (ORDER BY place) - 1 AS position FROM r WHERE id IS NOT NULL"""
+)
 def round_robin_select(spark, d):
     signals = _signals(spark, d)
-    fused = scoring.fuse(signals).join(scoring.eligible(signals), "id", "left_semi")
+    fused = scoring.fuse(signals).join(scoring.eligible(signals), "id", "left_semi").select("id", F.round("fused", 9).alias("score"))
     nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.directory(_path()).alias("directory"), F.col("n_chars").alias("tokens"))
-    return select.select_round_robin(fused.withColumnRenamed("fused", "score").join(nodes, "id"), 20_000)
+    return select.select_round_robin(fused.join(nodes, "id"), 20_000)
 
 
 @query(
@@ -351,20 +366,12 @@ def flow_reach(spark, d):
     return graph.reach(edges, turns.where("turn = 0"))
 
 
-@query("SELECT doc_id AS id, source AS file, md5(CASE WHEN source IN ('src1', 'src2') THEN text || '!' ELSE text END) AS content_md5 FROM documents")
-def incremental_update(spark, d):
-    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("content"))
-    changed = nodes.where(F.col("file").isin("src1", "src2"))
-    refs = nodes.select(F.col("id").alias("source"), F.lit("f").alias("callee"))
-    again = changed.withColumn("content", F.concat("content", F.lit("!")))
-    out, _ = graph.update(nodes, refs, changed.select("file"), again, refs.limit(0))
-    return out.select("id", "file", F.md5("content").alias("content_md5"))
-
-
-@query("SELECT source, sum(n_chars)::BIGINT AS baseline, sum(least(n_chars, 500))::BIGINT AS sent, round(100e0 * greatest(sum(n_chars) - sum(least(n_chars, 500)), 0) / sum(n_chars), 1) AS reduction_pct FROM documents GROUP BY source")
+@query("SELECT source, sum(least(n_chars, 500))::BIGINT AS sent, sum(n_chars)::BIGINT AS baseline, count(*) AS files_counted, greatest(sum(n_chars) - sum(least(n_chars, 500)), 0)::BIGINT AS saved, round(100e0 * greatest(sum(n_chars) - sum(least(n_chars, 500)), 0) / sum(n_chars), 1) AS reduction_pct FROM documents GROUP BY source")
 def savings(spark, d):
-    out = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("baseline"), F.sum(F.least(F.col("n_chars"), F.lit(500))).alias("sent"))
-    return out.withColumn("reduction_pct", F.when(F.col("baseline") > 0, F.round(F.lit(100.0) * F.greatest(F.col("baseline") - F.col("sent"), F.lit(0)) / F.col("baseline"), 1)).otherwise(0.0))
+    """Answers of one source each, of 500 characters of every document at most, against the whole documents."""
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("file"), F.col("n_chars").alias("tokens"))
+    sent = docs.groupBy("source").agg(F.sum(F.least(F.col("tokens"), F.lit(500))).alias("sent"))
+    return saved.savings(docs, docs, sent, ["source"])
 
 
 _PHRASES = " OR ".join("contains(p, '" + w.replace("'", "''") + "')" for w in text.QUESTION_PHRASES)
@@ -391,12 +398,6 @@ def recent_fifo(spark, d):
     return select.recent(events, "user_id", "event_type", "first_id", 3).withColumn("place", F.col("place").cast("long"))
 
 
-@query("WITH f AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents), b AS (SELECT batch, count(*) AS n FROM f GROUP BY batch) SELECT batch, (sum(n) OVER (ORDER BY batch))::BIGINT AS nodes_so_far, round(least((batch * 50 + 50) / (SELECT count(*) FROM documents)::DOUBLE, 1), 6) AS progress FROM b")
-def batch_progress(spark, d):
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"))
-    return code.progress(files).select("batch", F.col("files_parsed").alias("nodes_so_far"), F.round("progress", 6).alias("progress"))
-
-
 @query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS hash, substr(text, 1, 50000) = text AS whole FROM documents")
 def content_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", text.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), (text.capped(F.col("text")) == F.col("text")).alias("whole"))
@@ -476,10 +477,10 @@ def neighbourhood(spark, d):
     return graph.neighbourhood(_containment(spark, d)[1], "n3").select("source", "target")
 
 
-@query(f"WITH e AS ({EDGES_SQL}) SELECT source AS id, string_agg(target, ',' ORDER BY target) AS links FROM e GROUP BY source")
+@query(f"WITH e AS ({EDGES_SQL}), p AS (SELECT source AS id, target, (row_number() OVER (PARTITION BY source ORDER BY target) - 1) // {graph.LINKS} AS part FROM e) SELECT id, part, string_agg(target, ',' ORDER BY target) AS links FROM p GROUP BY ALL")
 def edge_index(spark, d):
     edges = _containment(spark, d)[1].withColumn("seq", F.col("target"))
-    return graph.edge_index(edges).select("id", F.array_join("links", ",").alias("links"))
+    return graph.edge_index(edges).select("id", "part", F.array_join("links", ",").alias("links"))
 
 
 @query("WITH i AS (SELECT DISTINCT p_type || '.' || substr(p_name, 1, 3) AS import_name, substr(p_name, 1, 3) AS prefix FROM part) SELECT import_name, min(p_partkey) AS target FROM i JOIN part ON starts_with(p_name, prefix) GROUP BY import_name")
@@ -507,9 +508,33 @@ def node_markdown(spark, d):
     return _coded(spark, d).select("id", F.md5(render.node_markdown()).alias("markdown_md5"))
 
 
-@query()
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_SAID = [_STRIP.format(x=r"string_split(" + _STRIP.format(x=r"regexp_replace(regexp_extract(content, '(?s)/\*\*\s*(.+?)\*/', 1), '(?m)^\s*\*\s?', '', 'g')") + ", '.')[1]"), _STRIP.format(x="string_split(" + _STRIP.format(x="regexp_extract(content, '(?s)\"\"\"(.+?)\"\"\"', 1)") + ", chr(10))[1]")]
+PURPOSE_SQL = "substr(CASE " + " ".join(f"WHEN length({x}) > 5 THEN {x}" for x in _SAID) + " ELSE " + _STRIP.format(x=r"regexp_extract(content, '^\s*//\s*(.+)', 1)") + " END, 1, 150)"
+
+
+@query(
+    f"WITH c AS ({CODED}), t AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_start, id) AS nth FROM (SELECT id, name, 'src/' || name || '.py' AS file, line_start, coalesce(content, '') AS content FROM c) QUALIFY nth <= 3), l AS (SELECT file, nth, '- `' || name || '` (' || file || ':L' || line_start || ')' || CASE WHEN p <> '' THEN ' — ' || p ELSE '' END AS line FROM (SELECT *, {PURPOSE_SQL} AS p FROM t)) "
+    f"SELECT place, line FROM (SELECT line, row_number() OVER (ORDER BY file, nth) AS place, sum(length(line)) OVER (ORDER BY file, nth) AS used FROM l) WHERE used + {len(render.MAP)} <= 5000"
+)
 def map_lines(spark, d):
-    return render.map_lines(_coded(spark, d))
+    """The map of documents as definitions in one file for each name, its budget in characters."""
+    nodes = _coded(spark, d).withColumn("file", F.concat(F.lit("src/"), "name", F.lit(".py")))
+    return render.map_lines(nodes, 5_000, tokens=F.length)
+
+
+@query(f"SELECT doc_id AS id, md5({_scrub_sql()}) AS content_md5, n_chars AS token_count FROM documents")
+def scrubbed_nodes(spark, d):
+    """Scrubbed contents of nodes; their token counts stay."""
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("n_chars").alias("token_count"))
+    return scrub.scrub_content(nodes).select("id", F.md5("content").alias("content_md5"), "token_count")
+
+
+@query("SELECT id, score, rank FROM (SELECT doc_id AS id, round(n_chars / 7.0e0, 4) AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 20 AND score > 0")
+def supporting_nodes(spark, d):
+    """The best twenty with a positive score, rounded."""
+    rows = scoring.rank_signals(table(spark, d, "documents").select(F.lit("size").alias("signal"), F.col("doc_id").alias("id"), (F.col("n_chars") / 7.0).alias("score")))
+    return rows.where("rank <= 20 AND score > 0").select("id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -523,8 +548,8 @@ def compress_contexts(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, **trees.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **trees.SQL}
