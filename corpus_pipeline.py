@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard, mixing, quality, secrets
 from graphloom.llm.columns import held_out
-from graphloom.runtime import materialize, small, table
+from graphloom.runtime import materialize, scratch, small, table
 
 #: Words of a shingle, and the least similarity in hundredths, of the near-duplicate stage.
 SHINGLE, PERCENT = 5, 80
@@ -98,8 +98,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage made on its way, and what it read, goes when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as made:
+            made += last
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            last = [made.pop()]
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,31 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is materialized inside is deleted at the end, but for paths that are taken off the list. Nothing lazy that reads it may be left."""
+    from graphloom.sources.files import Files
+
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            Files(spark, path).delete()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder once and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
