@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard, mixing, quality, secrets
-from graphloom.llm.columns import held_out
+from graphloom.llm.columns import fresh, held_out
 from graphloom.runtime import materialize, scratch, small, table
 
 #: Words of a shingle, and the least similarity in hundredths, of the near-duplicate stage.
@@ -39,19 +39,21 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = materialize(jaccard.similar_documents(docs, SHINGLE, PERCENT), "pipeline-classes")
     twice = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
     gone = found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    gone_id, again_id, class_doc, class_set, class_key = (fresh(docs, c) for c in ("gone_id", "again_id", "class_doc", "class_set", "class_key"))
     if twice.isEmpty():
         # ids are unique: what isn't its class's smallest goes
-        gone = small(materialize(gone, "pipeline-dropped").withColumnRenamed("doc_id", "gone_id"))
-        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+        gone = small(materialize(gone, "pipeline-dropped").withColumnRenamed("doc_id", gone_id))
+        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(gone_id)), "left_anti")
     # an id that stands in several rows says nothing about a row: those rows are told apart by their sets
-    gone = small(materialize(gone.union(twice).distinct().withColumnRenamed("doc_id", "gone_id"), "pipeline-dropped"))
-    single = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    again = small(twice.withColumnRenamed("doc_id", "again_id"))
-    rows, key = jaccard.with_set_keys(docs.join(again, docs["doc_id"].eqNullSafe(F.col("again_id")), "left_semi"), SHINGLE)
-    classes = found.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("class_doc"), F.col("set_key").alias("class_set"), "class_key").distinct()
-    held = rows.join(classes, rows["doc_id"].eqNullSafe(F.col("class_doc")) & (rows[key] == F.col("class_set")))
+    gone = small(materialize(gone.union(twice).distinct(), "pipeline-dropped").withColumnRenamed("doc_id", gone_id))
+    single = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(gone_id)), "left_anti")
+    again = small(twice.withColumnRenamed("doc_id", again_id))
+    rows, key = jaccard.with_set_keys(docs.join(again, docs["doc_id"].eqNullSafe(F.col(again_id)), "left_semi"), SHINGLE)
+    classes = found.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = classes.select(F.col("doc_id").alias(class_doc), F.col("set_key").alias(class_set), F.col("class_key").alias(class_key)).distinct()
+    held = rows.join(classes, rows["doc_id"].eqNullSafe(F.col(class_doc)) & (rows[key] == F.col(class_set)))
     # the least text is found by partial aggregates, so a class of any size is no task's burden
-    held = held.groupBy("class_key").agg(F.min_by(F.struct(*[held[c] for c in docs.columns]), held["text"]).alias("row")).select("row.*")
+    held = held.groupBy(class_key).agg(F.min_by(F.struct(*[held[c] for c in docs.columns]), held["text"]).alias("row")).select("row.*")
     return single.unionByName(held).unionByName(rows.where(F.col(key) == -1).select(*docs.columns))
 
 

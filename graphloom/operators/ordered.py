@@ -15,30 +15,36 @@ from graphloom.runtime import materialize
 _ROW_BITS = 33  # of monotonically_increasing_id
 
 
-def running(rows: DataFrame, group: list[str], order: list[str | Column], weight: str | None = None) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: list[str | Column], weight: str | list[str] | None = None) -> DataFrame:
     """rows with `place` (long, from 1) by order in each group and, of a long column, the sum `used` up to and with each row.
 
-    The order must tell a group's rows apart. Null groups are groups; null
-    weights add nothing. rows is computed twice, so it should be a table.
+    Of several columns, the sums are `used_` and each one's name. The order must
+    tell a group's rows apart. Null groups are groups; null weights add nothing.
+    rows is computed twice, so it should be a table.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weights = {"used": weight} if isinstance(weight, str) else {f"used_{c}": c for c in weight or []}
     keys = [F.col(c) for c in group] + [F.col(c) if isinstance(c, str) else c for c in order]
-    weighed = rows.withColumn("_weight", F.lit(0).cast("long") if weight is None else F.coalesce(F.col(weight).cast("long"), F.lit(0).cast("long")))
+    zero = F.lit(0).cast("long")
+    weighed = rows
+    for k, c in enumerate(weights.values()):
+        weighed = weighed.withColumn(f"_weight{k}", F.coalesce(F.col(c).cast("long"), zero))
     laid = weighed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     laid = materialize(laid.withColumn("_part", F.shiftright("_at", _ROW_BITS)), "ordered")
     here = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *group).orderBy("_at"))).withColumn("_used", F.sum("_weight").over(here))
+    inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *group).orderBy("_at")))
+    for k in range(len(weights)):
+        inside = inside.withColumn(f"_used{k}", F.sum(f"_weight{k}").over(here))
     # a partition has one group at most that began before it, so `earlier` has one row for each partition at most
-    sums = laid.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.sum("_weight").alias("_w"))
+    sums = laid.groupBy("_part", *group).agg(F.count("*").alias("_n"), *[F.sum(f"_weight{k}").alias(f"_w{k}") for k in range(len(weights))])
     past = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.sum("_n").over(past).alias("_n0"), F.sum("_w").over(past).alias("_w0")).where("_n0 IS NOT NULL")
+    before = [F.sum("_n").over(past).alias("_n0"), *[F.sum(f"_w{k}").over(past).alias(f"_before{k}") for k in range(len(weights))]]
+    earlier = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *before).where("_n0 IS NOT NULL")
     same = F.col("_part") == F.col("_p")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     out = inside.join(F.broadcast(earlier), same, "left")
-    zero = F.lit(0).cast("long")
     added = [(F.col("_place") + F.coalesce("_n0", zero)).alias("place")]
-    if weight is not None:
-        added.append((F.col("_used") + F.coalesce("_w0", zero)).alias("used"))
+    added += [(F.col(f"_used{k}") + F.coalesce(f"_before{k}", zero)).alias(name) for k, name in enumerate(weights)]
     return out.select(*rows.columns, *added)
