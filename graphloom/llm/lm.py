@@ -5,9 +5,10 @@ form CLASSES classes of equal size, by rank; every other word belongs to one of
 TAILS classes by its last bytes. The output softmax is factored: the network
 gives the class from its state, and for head words the word in its class from
 its state; within a tail class, words follow their smoothed counts (count + 0.5,
-with one more such share for words never seen). Biases start at the counted
-frequencies, so training starts from the unigram model. Text probabilities sum
-to one over all texts, seen words or not.
+with one more such share for what was never seen: a class's seen words and the
+event of any other word in it sum to one, and each unseen word is given that
+event's probability). Biases start at the counted frequencies, so training starts
+from the unigram model.
 
 Every training document is walked once. Replicas, as many as the documents need,
 walk their parts window by window, carrying the state from one window to the

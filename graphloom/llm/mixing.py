@@ -13,10 +13,11 @@ columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.columns import fresh, word_count
+from graphloom.operators.ordered import running
 from graphloom.runtime import materialize, small
 
 #: Weights that the sources take in order, repeating.
@@ -26,29 +27,28 @@ MAX_REPEATS = 3
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, source_size) -> (source, source_size, target, rate).
+    """(source, source_size) -> (source, source_size, target, rate). Weights and max_repeats are whole numbers; sizes should be a table.
 
     Targets share the total of all sizes by weight; what a source has above its
     cap is shared again by weight among the others. With sources ordered by cap
     over weight, the capped ones come first, so one pass of running sums finds
-    the level at which all others stand.
+    the level at which all others stand. The sums go over range partitions: there
+    may be any number of sources.
     """
-    n = len(weights)
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    rising = Window.orderBy("cap_by_weight", F.col("source").asc_nulls_last())
-    everything = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    onward = rising.rowsBetween(0, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") - 1) % n + 1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
+    by_name = F.col("source").asc_nulls_last()
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    caps = running(sizes, [], [by_name]).withColumn("weight", weight).drop("place")
+    caps = caps.withColumn("cap", F.col("source_size") * F.lit(max_repeats)).withColumn("cap_by_weight", F.col("cap") / F.col("weight"))
+    rising = ["cap_by_weight", by_name]
+    summed = materialize(running(materialize(caps, "mix-caps"), [], rising, ["cap", "weight"]).drop("place"), "mix-caps")
+    whole = summed.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    # the level at which this source and all after it would stand, if those before are capped
+    own = (F.col("all_sizes") - (F.col("used_cap") - F.col("cap"))) / (F.col("all_weights") - (F.col("used_weight") - F.col("weight")))
+    leveled = summed.crossJoin(F.broadcast(whole)).withColumn("own_level", own)
+    level = leveled.agg(F.max(F.when(F.col("own_level") <= F.col("cap_by_weight"), F.col("own_level"))).alias("level"))
     return (
-        sizes.withColumn("place", F.row_number().over(place))
-        .withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-        .withColumn("cap_by_weight", F.col("cap") / F.col("weight"))
-        .withColumn("own_level", level)
-        .withColumn("level", F.max(F.when(F.col("own_level") <= F.col("cap_by_weight"), F.col("own_level"))).over(everything))
-        .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")))
+        summed.crossJoin(F.broadcast(level))
+        .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")))
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .select("source", "source_size", "target", "rate")
     )
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
 def mix_plan(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, str]:
     """docs with a struct column (size, source_size, target, rate, copies), and that column's name."""
     name, key = fresh(docs, "mix"), fresh(docs, "mix_source")
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    sizes = materialize(docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size")), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, max_repeats), "mix-targets")
     targets = small(targets.select(F.struct("source", "source_size", "target", "rate").alias(key)), 10_000)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"), word_count(F.col("text"))))

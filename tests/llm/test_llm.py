@@ -689,3 +689,44 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     plan, name = mixing.mix_plan(docs_of(spark, kept))
     want = sorted((r["doc_id"], r["text"]) for r in plan.collect() for _ in range(r[name]["copies"]))
     assert sorted((r["doc_id"], r["text"]) for r in got) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, df = odd
+    df = df.withColumn("quality_score", F.lit("q")).withColumn("text_key", F.lit(1)).withColumn("gone_id", F.lit(2)).withColumn("has_secret", F.lit("h")).withColumn("mix_copy", F.lit(0))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)] + [(3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "a template of four words that is not there 12 34"), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda d: sorted((str(r["doc_id"]), str(r["text"]), str(r["source"])) for r in d.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert set(texts(out)) <= set(texts(df)), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+        if name in ("benchmark_decontamination", "secret_scan"):
+            assert texts(out) == texts(df)
+        if name == "ngram_jaccard_join":
+            kept = texts(out)
+            # one of the copies of the body, one of the pair of two words, every text without words, and what is like nothing else
+            assert sum(t == rows[0][1] or t == rows[0][1] + " tail" for _, t, _ in kept) == 1 and sum(t == "one two" for _, t, _ in kept) == 1
+            assert sum(not t.strip() or t == "None" for _, t, _ in kept) == 3 and len(kept) == 9
+
+
+def test_mixing_of_many_sources(spark):
+    # more sources than a window's task should hold is nothing a test can show; that all of them are weighed in order is
+    rows = [(i, "w " * (i % 7), "s%03d" % (i % 50), None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, a int, mix_source int")
+    planned, name = mixing.mix_plan(df)
+    got = {r["source"]: (r[name]["target"], r[name]["source_size"]) for r in planned.collect()}
+    total, sizes = sum(i % 7 for i in range(400)), {s: v[1] for s, v in got.items()}
+    free, left, target = set(sizes), float(total), {}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(sizes))}
+    while True:
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * sizes[s]}
+        if not over:
+            break
+        target.update({s: 3.0 * sizes[s] for s in over})
+        left -= sum(3.0 * sizes[s] for s in over)
+        free -= over
+    target.update({s: left * weight[s] / sum(weight[x] for x in free) for s in free})
+    assert all(abs(got[s][0] - target[s]) < 1e-9 for s in sizes)
