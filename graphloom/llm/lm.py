@@ -52,6 +52,8 @@ REPLICA, WALKED, SUMS = 4_000, 2_000_000, 16
 #: Words of a batch that is scored side by side, about.
 SIDE_BY_SIDE = 1_500_000
 END = b"\n"  # no word has this byte
+#: Bytes of text whose tokens a task holds at a time, about.
+SLICE = 12 << 20
 #: Rows of logits that are worked on at a time, so that they stay in a core's cache.
 CACHED = 2_048
 
@@ -86,7 +88,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of docs, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             t = Tokens(b.column("text"))
             counts = np.bincount(t.at, minlength=len(t.words))
             held = np.flatnonzero(counts)
@@ -332,7 +334,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 6) -> Gru:
     lane = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(replicas)).cast("int")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             t = Tokens(b.column("text"))
             ids = vocabulary.encode(t)[0].astype(np.uint16)
             ends = np.concatenate([[0], t.ends]) * 2
@@ -410,7 +412,7 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, model: Gru) -> Data
     whole = np.log10(vocabulary.n + 0.5 * (vocabulary.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             t = Tokens(b.column("text"))
             ids, logs = vocabulary.encode(t)
             listed = ~np.isnan(logs)

@@ -36,7 +36,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of text, or one row, so that what is computed for all words of one stays small."""
     for b in batches:
         lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
