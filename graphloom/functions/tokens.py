@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,9 +12,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
-@lru_cache(4)
 def _load(path: str):
-    """The tokenizer of a file, once for each Python worker."""
+    """The tokenizer of a file; columns load it once for each task."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -33,9 +31,10 @@ def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
     """Number of tokens; 0 for null."""
 
     @F.pandas_udf("long")
-    def count(parts: pd.Series) -> pd.Series:
-        found = _load(path).encode_batch(parts.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([len(x.ids) for x in found])
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _load(path)
+        for parts in batches:
+            yield pd.Series([len(x.ids) for x in known.encode_batch(parts.fillna("").tolist(), add_special_tokens=False)])
 
     return count(text)
 
@@ -44,10 +43,12 @@ def truncate(text: Column, limit: int, path: str = TOKENIZER) -> Column:
     """The text of the first `limit` tokens, cut where the last of them ends."""
 
     @F.pandas_udf("string")
-    def cut(parts: pd.Series) -> pd.Series:
-        texts = parts.fillna("").tolist()
-        found = _load(path).encode_batch(texts, add_special_tokens=False)
-        return pd.Series([t if len(x.ids) <= limit else t[: x.offsets[limit - 1][1]] if limit > 0 else "" for t, x in zip(texts, found)])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _load(path)
+        for parts in batches:
+            texts = parts.fillna("").tolist()
+            found = known.encode_batch(texts, add_special_tokens=False)
+            yield pd.Series([t if len(x.ids) <= limit else t[: x.offsets[limit - 1][1]] if limit > 0 else "" for t, x in zip(texts, found)])
 
     return cut(text)
 
@@ -76,17 +77,19 @@ def compress(context: Column, target: int = 500, path: str = TOKENIZER, model: C
     """
 
     @F.pandas_udf("string")
-    def shortened(parts: pd.Series) -> pd.Series:
-        texts = parts.fillna("").tolist()
-        sizes = [len(x.ids) for x in _load(path).encode_batch(texts, add_special_tokens=False)]
-        long = [i for i, n in enumerate(sizes) if n > target]
-        try:
-            made = model([texts[i] for i in long], [min(max(rate if rate is not None else target / sizes[i], LEAST_RATE), 1.0) for i in long]) if long else []
-        except Exception:  # the model is the caller's: any failure of it falls back to truncation
-            made = [texts[i] for i in long]
-        for i, t in zip(long, made):
-            texts[i] = t
-        return pd.Series(texts)
+    def shortened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _load(path)
+        for parts in batches:
+            texts = parts.fillna("").tolist()
+            sizes = [len(x.ids) for x in known.encode_batch(texts, add_special_tokens=False)]
+            long = [i for i, n in enumerate(sizes) if n > target]
+            try:
+                made = model([texts[i] for i in long], [min(max(rate if rate is not None else target / sizes[i], LEAST_RATE), 1.0) for i in long]) if long else []
+            except Exception:  # the model is the caller's: any failure of it falls back to truncation
+                made = [texts[i] for i in long]
+            for i, t in zip(long, made):
+                texts[i] = t
+            yield pd.Series(texts)
 
     short = truncate(context if model is None else shortened(context), target, path)
     before, after = count_tokens(context, path), count_tokens(short, path)
