@@ -68,8 +68,8 @@ def _key(s: np.ndarray) -> int:
 
 
 def column_counts(s: np.ndarray) -> bytes | None:
-    """How many of the set's shingles are in each block of columns, of which there are about half as many as shingles; None where a count is over 255."""
-    bits = max(4, (len(s) // 2).bit_length())
+    """How many of the set's shingles are in each block of columns, of which there are about a third as many as shingles; None where a count is over 255."""
+    bits = max(4, (len(s) // 4).bit_length())
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
@@ -417,7 +417,7 @@ def refined(sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """sets (component, key, n, doc_id, counted) with groups of several blocks cut into smaller ones, or none, by the sketches of their sets.
 
     Long runs of common shingles chain what shares hardly more than those, so a
-    large group may hold few sets that can link. Sketches are a sixteenth of the
+    large group may hold few sets that can link. Sketches are a fraction of the
     sets, and here they meet before the sets do.
     """
     large = materialize(sets.groupBy("component").agg(F.sum("counted").alias("whole")).where(F.col("whole") > BLOCK).select("component"), "large-groups")
