@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import short_name
 from graphloom.operators.ordered import running
@@ -30,6 +35,29 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 #: Steps of PageRank whose ranks are written, and compared, together.
 TOGETHER = 8
+#: A graph of so many links at most, as a code base has, is walked by one task, which needs no job for a step.
+ONE_TASK = 200_000
+
+
+def _ranks_in_one_task(damping: float, max_iter: int, tol: float) -> Callable[[pa.Table], pa.Table]:
+    """The steps of pagerank over a table of all links."""
+
+    def run(links: pa.Table) -> pa.Table:
+        t = links.combine_chunks()
+        ids = t.filter(pc.is_null(t["degree"]))["src"]  # every node has one link to itself
+        real = t.filter(pc.is_valid(t["degree"]))
+        src, dst = (pc.index_in(real[c], value_set=ids).to_numpy() for c in ("src", "dst"))
+        degree, n = real["degree"].to_numpy(), len(ids)
+        rank = np.full(n, 1 / n)
+        for _ in range(max_iter):
+            new = (1 - damping) / n + damping * np.bincount(dst, rank[src] / degree, minlength=n)
+            new /= new.sum()
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < tol:
+                break
+        return pa.table({"id": ids, "rank": rank})
+
+    return run
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
@@ -41,7 +69,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     carries the ranks it had, so a step is one join and one aggregate of the last
     one, and a plan of several steps stays as long as they are. TOGETHER steps are
     written as one table, of which one aggregate says after which step the ranks
-    moved less than tol.
+    moved less than tol. A graph of up to ONE_TASK links takes the same steps in one task.
     """
     ids = materialize(nodes.select("id").distinct(), "pagerank-nodes")
     n = ids.count()
@@ -51,6 +79,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     degree = pairs.groupBy("src").agg(F.count("*").alias("degree"))
     own_edges = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("long").alias("degree"))
     links = materialize(pairs.join(degree, "src").select("src", "dst", "degree").union(own_edges), "pagerank-edges")
+    if links.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        kind = T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("rank", T.DoubleType())])
+        return links.groupBy(F.lit(0).alias("whole")).applyInArrow(_ranks_in_one_task(damping, max_iter, tol), kind)
     alone = n - links.where("degree IS NOT NULL").select("src").distinct().count()
     share = (1 - damping) / n
     now, isolated, done = ids.withColumn("ranks", F.array(F.lit(1.0 / n))), 1.0 / n, 0

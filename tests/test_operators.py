@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -172,16 +173,18 @@ def test_round_robin_on_rows(spark):
         assert [r["id"] for r in got.orderBy("position").collect()] == turns_by_hand(rows, budget)
 
 
-def test_pagerank_stops_by_the_step(spark):
+@pytest.mark.parametrize("links", [0, 200_000])
+def test_pagerank_stops_by_the_step(spark, monkeypatch, links):
+    monkeypatch.setattr(graph, "ONE_TASK", links)
     rng = np.random.default_rng(5)
     n = 12
-    links = {(int(a), int(b)) for a, b in rng.integers(0, n - 2, (20, 2))}
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n - 2, (20, 2))}
     nodes = spark.createDataFrame([(str(i),) for i in range(n)], "id string")
-    edges = spark.createDataFrame([(str(a), str(b), "calls", k) for k, (a, b) in enumerate(links)] + [("0", "gone", "calls", 99)], "source string, target string, type string, seq int")
+    edges = spark.createDataFrame([(str(a), str(b), "calls", k) for k, (a, b) in enumerate(pairs)] + [("0", "gone", "calls", 99)], "source string, target string, type string, seq int")
     a = np.zeros((n, n))
-    for x, y in links:
+    for x, y in pairs:
         a[x, y] = a[y, x] = 1
-    for tol, most in ((1e-3, 100), (1e-2, 100), (1e-9, 5), (1e-5, 100)):
+    for tol, most in ((1e-3, 100), (1e-9, 9), (1e-2, 100)):
         rank, steps = np.full(n, 1 / n), 0
         for steps in range(1, most + 1):
             new = 0.15 / n + 0.85 * (a / np.maximum(a.sum(1, keepdims=True), 1)).T @ rank
@@ -246,3 +249,14 @@ def test_identifier_tokens_and_purpose(spark):
     said = {"/** Adds two numbers. More.\n */ x": "Adds two numbers", "/**\n * Sums\n * up all. */": "Sums\nup all", 'def f():\n    """First line.\n    more"""': "First line.", "// leads here\nx": "leads here", '/** ab. */ """also too"""': "also too", "x": "", "": ""}
     got = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", text.purpose(F.col("t")).alias("p")).collect()}
     assert got == said
+
+
+def test_scratch_deletes_what_was_made(spark):
+    from graphloom import runtime
+
+    with runtime.scratch(spark) as made:
+        runtime.materialize(spark.range(3), "first")
+        kept = runtime.materialize(spark.range(4), "second")
+        first, last = made[0], made.pop()
+    folder = runtime.work_dir(spark)
+    assert kept.count() == 4 and last.startswith(folder) and not os.path.exists(first.removeprefix("file://"))
