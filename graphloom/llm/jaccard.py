@@ -20,7 +20,8 @@ chance that any two of them are confused is under 1e-7.
 
 Edge cases: null and empty texts have empty sets and are linked with nothing;
 texts of fewer words than a shingle are one shingle; repeated rows are copies;
-very long texts are whole rows; rows with a null id take part, and their
+very long texts are whole rows; ids are integers; an id that stands at several
+texts belongs to each one's class; rows with a null id take part, and their
 component is the smallest id among what they are linked to, or null; an
 empty table gives no rows; other columns are ignored.
 """
