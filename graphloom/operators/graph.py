@@ -189,6 +189,10 @@ def diff_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.select(key).distinct().join(a, key, "left_anti").withColumn("change", F.lit("added")).union(gone)
 
 
+# The parts of a difference's summary.
+CHANGED_NODES, CHANGED_EDGES, UNCHANGED = "{n} nodes {change} across {files} file(s)", "{n} edges {change}", "No changes detected"
+
+
 @dataclass
 class Difference:
     """Two graphs compared: nodes (change, id, name, type, file, line_start, line_end; as the later graph has them, removed ones as the earlier) and edges (change, source, target, type), written tables."""
@@ -214,9 +218,8 @@ class Difference:
     def summary(self) -> str:
         """One line of counts; at most five rows come to the driver."""
         found = {(r["what"], r["change"]): r for r in self.counts().collect()}
-        told = [f"{r['n']} nodes {c} across {r['files']} file(s)" for c in ("added", "removed", "modified") if (r := found.get(("nodes", c)))]
-        told += [f"{r['n']} edges {c}" for c in ("added", "removed") if (r := found.get(("edges", c)))]
-        return "; ".join(told) or "No changes detected"
+        order = [(CHANGED_NODES, "nodes", c) for c in ("added", "removed", "modified")] + [(CHANGED_EDGES, "edges", c) for c in ("added", "removed")]
+        return "; ".join(told.format(**found[key].asDict()) for told, *key in order if (key := tuple(key)) in found) or UNCHANGED
 
 
 def diff(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> Difference:
