@@ -218,8 +218,8 @@ class Difference:
     def summary(self) -> str:
         """One line of counts; at most five rows come to the driver."""
         found = {(r["what"], r["change"]): r for r in self.counts().collect()}
-        order = [(CHANGED_NODES, "nodes", c) for c in ("added", "removed", "modified")] + [(CHANGED_EDGES, "edges", c) for c in ("added", "removed")]
-        return "; ".join(told.format(**found[key].asDict()) for told, *key in order if (key := tuple(key)) in found) or UNCHANGED
+        order = [(CHANGED_NODES, ("nodes", c)) for c in ("added", "removed", "modified")] + [(CHANGED_EDGES, ("edges", c)) for c in ("added", "removed")]
+        return "; ".join(told.format(**found[key].asDict()) for told, key in order if key in found) or UNCHANGED
 
 
 def diff(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> Difference:
