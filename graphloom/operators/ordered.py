@@ -22,15 +22,14 @@ def running(rows: DataFrame, group: list[str], order: list[str | Column], weight
     tell a group's rows apart. Null groups are groups; null weights add nothing.
     rows is computed twice, so it should be a table.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weights = {"used": weight} if isinstance(weight, str) else {f"used_{c}": c for c in weight or []}
     keys = [F.col(c) for c in group] + [F.col(c) if isinstance(c, str) else c for c in order]
     zero = F.lit(0).cast("long")
     weighed = rows
     for k, c in enumerate(weights.values()):
         weighed = weighed.withColumn(f"_weight{k}", F.coalesce(F.col(c).cast("long"), zero))
-    laid = weighed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    # without a number of partitions, so that small ones may be read together
+    laid = weighed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     laid = materialize(laid.withColumn("_part", F.shiftright("_at", _ROW_BITS)), "ordered")
     here = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *group).orderBy("_at")))
