@@ -43,10 +43,10 @@ from graphloom.llm.words import Words, slices
 from graphloom.runtime import materialize
 
 HEAD, CLASSES, TAILS = 2048, 32, 32
-EMBED, STATE, WINDOW = 16, 16, 24
+EMBED, STATE, WINDOW = 16, 16, 32
 #: Words whose counts are sent with the scoring function, at most.
 LISTED = 200_000
-LEARNING_RATE, LANES = 4e-3, 192
+LEARNING_RATE, LANES = 6e-3, 192
 #: Training documents to a replica, about, words that it walks at a time, and partial sums of replicas that the driver adds.
 REPLICA, WALKED, SUMS = 4_000, 2_000_000, 16
 #: Words of a batch that is scored side by side, about.
