@@ -37,7 +37,7 @@ BINS = 400
 #: Character classes; what no entry names is class 0.
 CLASSES = {1: b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2: b"abcdefghijklmnopqrstuvwxyz", 3: b"0123456789", 4: b" \t\r\x0b\x0c", 5: b"\n", 6: b"!?", 7: b"|", 8: b"#$%&*@^~`=+<>\\_/{}[]", 9: b".,;:'\"()-", 10: bytes(range(128, 256))}
 STATS = ("chars", "words", "word_length", *(f"class_{k}" for k in range(11)), "distinct_words", "distinct_pairs", "same_as_last", "distinct_lines", "symbol_endings", "capitalised")
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def text_stats(texts: list[bytes]) -> np.ndarray:

@@ -45,6 +45,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")), low + 1)
             yield b.slice(low, high - low)
             low = high
+            # a worker that waits keeps what Arrow holds in reserve
+            pa.default_memory_pool().release_unused()
 
 
 class Words:
