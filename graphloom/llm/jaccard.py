@@ -142,7 +142,8 @@ def common_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = seen.groupBy("key").agg(F.sum("seen").alias("seen")).where("seen >= 4")
     counts = materialize(counts, "shingle-counts")
     left, least = 0, 1 << 62
-    for r in counts.groupBy("seen").count().orderBy(F.desc("seen")).toLocalIterator():
+    # a line of the histogram has a shingle at least, so no more than these lines are read; an iterator would take a job for each partition
+    for r in counts.groupBy("seen").count().orderBy(F.desc("seen")).limit(COMMON + 1).collect():
         left += r["count"]
         if left > COMMON:
             break

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import materialize
 
+#: A forest of so many links at most is joined by one task, which needs no rounds.
+ONE_TASK = 200_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of those edges and the smallest node that each is joined to by them; only nodes that aren't their own."""
@@ -38,16 +41,28 @@ def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a partition, at once, as one forest of stars."""
+    if held := list(batches):
+        yield from _local_forests(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge to another; component is its smallest node.
 
-    Node ids are longs. Every round joins each node's neighbours to the smallest
-    of them, larger neighbours first, and is written to the shared folder; the
-    loop ends when a round changes nothing. Loops and repeated edges are fine,
-    null ends are ignored; no edges give no rows.
+    Node ids are longs. Every batch of edges is cut to a forest first; forests
+    of up to ONE_TASK edges together are joined by one task. Larger ones go by
+    rounds, each of a dozen shuffles that the driver plans and follows. Every
+    round joins each node's neighbours to the smallest of them, larger neighbours
+    first, and is written to the shared folder; the loop ends when a round changes
+    nothing. Loops and repeated edges are fine, null ends are ignored; no edges
+    give no rows.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     star = materialize(pairs.mapInArrow(_local_forests, "u long, v long").distinct(), "components")
+    if star.count() <= ONE_TASK:
+        star = materialize(star.coalesce(1).mapInArrow(_whole_forest, "u long, v long"), "components")
+        return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = star.union(star.select("v", "u"))

@@ -76,6 +76,22 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """A chain in mixed order, stars and a loop: one task joins them, and rounds, which larger forests take, find the same."""
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or write(df, label))
+    order = np.random.default_rng(3).permutation(300).tolist()
+    pairs = list(zip(order, order[1:])) + [(1000, 1000 + k) for k in range(1, 30)] + [(5000, 2000), (2000, 5000), (7, 7), (None, 8), (-4, 6000)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    expected = {**{x: 0 for x in range(1, 300)}, **{1000 + k: 1000 for k in range(1, 30)}, 5000: 2000, 6000: -4}
+    found = components.connected_components(edges).collect()
+    assert len(written) == 2 and len(found) == len(expected)
+    assert {r["node"]: r["component"] for r in found} == expected
+    monkeypatch.setattr(components, "ONE_TASK", len(expected) // 2)
+    assert {r["node"]: r["component"] for r in components.connected_components(edges).collect()} == expected
+    assert len(written) > 4
+
+
 def test_diff(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, content string")
     b = spark.createDataFrame([("2", "z"), ("3", "y")], "id string, content string")
