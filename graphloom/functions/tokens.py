@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +14,12 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
-def _load(path: str):
-    """The tokenizer of a file; columns load it once for each task."""
+#: Characters that are encoded together: an encoding takes some fifty times the memory of its text.
+ENCODED_TOGETHER = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def _loaded(path: str, changed: int):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -21,10 +27,40 @@ def _load(path: str):
     return t
 
 
+def _load(path: str):
+    """The tokenizer of a file; a process loads it once, and again if the file changes."""
+    return _loaded(path, os.stat(path).st_mtime_ns)
+
+
+def slices(texts: list[str], size: int = ENCODED_TOGETHER) -> Iterator[list[str]]:
+    """The texts in runs of at most so many characters, or one text."""
+    low = used = 0
+    for i, t in enumerate(texts):
+        if i > low and used + len(t) > size:
+            yield texts[low:i]
+            low, used = i, 0
+        used += len(t)
+    if texts:
+        yield texts[low:]
+
+
+def sizes(texts: list[str], path: str = TOKENIZER) -> list[int]:
+    """Tokens of each text, a slice of texts at a time."""
+    known = _load(path)
+    return [len(x) for part in slices(texts) for x in known.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def cut(text: str, limit: int, path: str = TOKENIZER) -> tuple[str, int]:
+    """The text of the first `limit` tokens, cut where the last of them ends, and how many tokens the whole text has."""
+    found = _load(path).encode(text, add_special_tokens=False)
+    n = len(found)
+    return (text if n <= limit else text[: found.token_to_chars(limit - 1)[1]] if limit > 0 else ""), n
+
+
 def counter(path: str = TOKENIZER) -> Callable[[str], int]:
     """A function that counts a string's tokens."""
     known = _load(path)
-    return lambda text: len(known.encode(text, add_special_tokens=False).ids)
+    return lambda text: len(known.encode(text, add_special_tokens=False))
 
 
 def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
@@ -32,9 +68,8 @@ def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _load(path)
         for parts in batches:
-            yield pd.Series([len(x.ids) for x in known.encode_batch(parts.fillna("").tolist(), add_special_tokens=False)])
+            yield pd.Series(sizes(parts.fillna("").tolist(), path), dtype="int64")
 
     return count(text)
 
@@ -43,14 +78,11 @@ def truncate(text: Column, limit: int, path: str = TOKENIZER) -> Column:
     """The text of the first `limit` tokens, cut where the last of them ends."""
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _load(path)
+    def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for parts in batches:
-            texts = parts.fillna("").tolist()
-            found = known.encode_batch(texts, add_special_tokens=False)
-            yield pd.Series([t if len(x.ids) <= limit else t[: x.offsets[limit - 1][1]] if limit > 0 else "" for t, x in zip(texts, found)])
+            yield pd.Series([cut(t, limit, path)[0] for t in parts.fillna("")], dtype="object")
 
-    return cut(text)
+    return short(text)
 
 
 #: A model keeps this share of a context's tokens at least.
@@ -76,22 +108,33 @@ def compress(context: Column, target: int = 500, path: str = TOKENIZER, model: C
     or where it fails, so is the context itself.
     """
 
-    @F.pandas_udf("string")
-    def shortened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _load(path)
+    def modelled(texts: list[str]) -> list[str]:
+        before = sizes(texts, path)
+        long = [i for i, n in enumerate(before) if n > target]
+        try:
+            made = model([texts[i] for i in long], [min(max(rate if rate is not None else target / before[i], LEAST_RATE), 1.0) for i in long]) if long else []
+        except Exception:  # the model is the caller's: any failure of it falls back to truncation
+            made = [texts[i] for i in long]
+        out = list(texts)
+        for i, t in zip(long, made):
+            out[i] = t
+        return out
+
+    @F.pandas_udf("compressed string, original_tokens long, compressed_tokens long, ratio double")
+    def compressed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for parts in batches:
-            texts = parts.fillna("").tolist()
-            sizes = [len(x.ids) for x in known.encode_batch(texts, add_special_tokens=False)]
-            long = [i for i, n in enumerate(sizes) if n > target]
-            try:
-                made = model([texts[i] for i in long], [min(max(rate if rate is not None else target / sizes[i], LEAST_RATE), 1.0) for i in long]) if long else []
-            except Exception:  # the model is the caller's: any failure of it falls back to truncation
-                made = [texts[i] for i in long]
-            for i, t in zip(long, made):
-                texts[i] = t
-            yield pd.Series(texts)
-
-    short = truncate(context if model is None else shortened(context), target, path)
-    before, after = count_tokens(context, path), count_tokens(short, path)
-    ratio = F.when(before > 0, after / before).otherwise(0.0)
-    return F.struct(short.alias("compressed"), before.alias("original_tokens"), after.alias("compressed_tokens"), ratio.alias("ratio"))
+            rows = []
+            for texts in slices(parts.fillna("").tolist()):
+                if model is None:
+                    cuts = [cut(t, target, path) for t in texts]
+                    short, before = [t for t, _ in cuts], [n for _, n in cuts]
+                else:
+                    short, before = [cut(t, target, path)[0] for t in modelled(texts)], sizes(texts, path)
+                # what was cut may be encoded otherwise than as a part of the whole
+                after = [n if s == t else None for s, t, n in zip(short, texts, before)]
+                again = iter(sizes([s for s, n in zip(short, after) if n is None], path))
+                after = [next(again) if n is None else n for n in after]
+                rows += [(s, b, a, a / b if b else 0.0) for s, b, a in zip(short, before, after)]
+            yield pd.DataFrame(rows, columns=["compressed", "original_tokens", "compressed_tokens", "ratio"])
+
+    return compressed(context)
