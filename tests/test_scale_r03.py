@@ -1,9 +1,13 @@
 """What grows with the tables: one test for each step that did more than its share."""
 
+import glob
 import inspect
+import os
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.functions import tokens
 
 
@@ -41,3 +45,30 @@ def test_tokens_are_counted_a_slice_at_a_time(monkeypatch):
     monkeypatch.setattr(tokens.slices, "__defaults__", (1000,))
     assert tokens.sizes(texts) == expected and len(seen) > 100
     assert all(len(p) == 1 or sum(map(len, p)) <= 1000 for p in seen) and tokens.sizes([]) == []
+
+
+def of_sql(name, folder, tables):
+    """Rows of a query's SQL over the folder's tables."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con.execute(entry.oracle_sql()[name]).fetchall()
+
+
+def written(df, folder, name):
+    df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts-{name}")
+    (part,) = glob.glob(f"{folder}/parts-{name}/*.parquet")
+    os.replace(part, f"{folder}/{name}.parquet")
+
+
+ODD_LINES = ["a\n\n", "a\n\n\n", "", None, "\n", "\r\n", "a\r\nb\r\n", "a\rb", "\rb", "\x0b\x0bx \x0b\n", "  x  ", "x\x85", "x   \ny", " x ", "\t\n \f\r\n y\t\r\n", "a\r", "é" * 200, "a\x1cb", "a\n\r\n", "a\n\r", "z\n "]
+
+
+def test_lines_are_those_of_the_sql(spark, tmp_path):
+    """Texts that end in several line feeds, hold lone carriage returns or other separators, are empty or null."""
+    docs = [(k, t, "en", "src1", len(t or "")) for k, t in enumerate(ODD_LINES)]
+    written(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path, "documents")
+    for name in ("number_lines", "node_markdown"):
+        got = {tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+        expected = set(of_sql(name, tmp_path, ["documents"]))
+        assert got == expected and len(got) == len(docs)
