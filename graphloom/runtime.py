@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after it has been counted and found to be at most this long.
@@ -59,6 +59,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows are dealt out so that a task gets so many at least, and so many at most.
+LEAST_DEALT, MOST_DEALT = 500, 20_000
+
+
+def dealt(df: DataFrame, key: str | Column) -> DataFrame:
+    """df with its rows dealt out by key if one partition holds more than its share, as the only row group of a file does; else df.
+
+    Costs a count of each partition's rows, so df must be cheap to count, and a
+    shuffle only where most cores would wait for few. The key should tell rows apart.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    n, most = held["n"] or 0, held["most"] or 0
+    wanted = max(min(2 * cores, n // LEAST_DEALT), -(-n // MOST_DEALT))
+    return df.repartition(wanted, key) if wanted > 1 and most > 2 * max(n / cores, LEAST_DEALT) else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most that many rows; otherwise df, for a shuffled join.
 

@@ -6,15 +6,15 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import CUT, MOST_CHARS, capped
-from graphloom.functions.tokens import TOKENIZER, counter
+from graphloom.functions.tokens import TOKENIZER, counter, sizes, slices
 from graphloom.operators.graph import resolve_import_prefixes, resolve_imports, resolve_names
 from graphloom.operators.ordered import running
-from graphloom.runtime import materialize, work_dir
+from graphloom.runtime import dealt, materialize, work_dir
 from graphloom.sources import grammar
 from graphloom.sources.files import checked_folder
 
@@ -71,28 +71,44 @@ def parse(files: DataFrame, path: str = TOKENIZER) -> DataFrame:
     file without definitions and constants is a node with its text as content.
     """
 
-    def rows_of(file: str, lang: str, text: str, count: Callable[[str], int]) -> list[tuple]:
+    def rows_of(file: str, lang: str, text: str, count: Callable[[str], int], kept: list[str], nodes: list[int], before: int) -> list[tuple]:
+        """Rows of a file without token counts. What is to be counted goes to kept and its row, of those that `before` rows stand before, to nodes."""
         try:
             found = grammar.parse_text(lang, text, count)
         except (ValueError, RecursionError, IndexError, KeyError):
             found = grammar.Parsed([], [], [])
         lines, inner = grammar.Lines(text), found.definitions + found.constants
-        kept = lambda t: t if len(t) <= MOST_CHARS else t[:MOST_CHARS] + CUT
-        rows = [(file, "node", f"file:{file}", "file", file.rsplit("/", 1)[-1], 1, text.count("\n") + 1, "" if inner else text, None, 0 if inner else count(kept(text)), 0)]
+        rows = [(file, "node", f"file:{file}", "file", file.rsplit("/", 1)[-1], 1, text.count("\n") + 1, "" if inner else text, None, 0)]
+        counted = [] if inner else [0]
         for d in inner:
             row, content = lines.row(d.start), text[d.start : d.end]
             own = f"{d.kind}:{file}:{d.name}:{row}"
-            rows.append((file, "node", own, d.kind, d.name, row + 1, lines.row(max(d.end - 1, d.start)) + 1, content, None, count(kept(content)), len(rows)))
-            rows += [(file, "call", own, "calls", None, 0, 0, None, c, 0, len(rows) + k) for k, c in enumerate(d.calls)]
-        return rows + [(file, "import", f"file:{file}", "imports", None, 0, 0, None, name, 0, len(rows) + k) for k, name in enumerate(found.imports)]
+            counted.append(len(rows))
+            rows.append((file, "node", own, d.kind, d.name, row + 1, lines.row(max(d.end - 1, d.start)) + 1, content, None, len(rows)))
+            rows += [(file, "call", own, "calls", None, 0, 0, None, c, len(rows) + k) for k, c in enumerate(d.calls)]
+        nodes += [before + k for k in counted]
+        kept += [rows[k][7] if len(rows[k][7]) <= MOST_CHARS else rows[k][7][:MOST_CHARS] + CUT for k in counted]
+        return rows + [(file, "import", f"file:{file}", "imports", None, 0, 0, None, name, len(rows) + k) for k, name in enumerate(found.imports)]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in SCHEMA.split(", ")]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for part in parts:
-            rows = [r for f in part[["file", "lang", "text"]].itertuples(index=False) for r in rows_of(f.file, f.lang, f.text or "", count)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            files, langs, texts = (part.column(c).to_pylist() for c in ("file", "lang", "text"))
+            low = 0
+            for piece in slices([t or "" for t in texts]):
+                rows, kept, nodes = [], [], []
+                for file, lang, text in zip(files[low:], langs[low:], piece):
+                    rows += rows_of(file, lang, text, count, kept, nodes, len(rows))
+                low, totals = low + len(piece), [0] * len(rows)
+                for k, n in zip(nodes, sizes(kept, path)):
+                    totals[k] = n
+                *columns, ordinal = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((*columns, totals, ordinal), kinds)], names=names)
 
-    return files.select("file", "lang", "text").mapInPandas(run, SCHEMA)
+    return dealt(files.select("file", "lang", "text"), "file").mapInArrow(run, SCHEMA)
 
 
 def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,11 +124,13 @@ def graph_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     called = resolve_names(calls, nodes, 3).select("source", "target", "type")
     imports = parsed.where("kind = 'import'").select(F.col("id").alias("source"), F.col("callee").alias("import_name")).distinct()
     in_files = nodes.where("type = 'file'")
-    by_path = resolve_imports(imports, in_files)
-    by_path = by_path.union(resolve_import_prefixes(imports.join(by_path, ["source", "import_name"], "left_anti"), in_files))
-    left = imports.join(by_path, ["source", "import_name"], "left_anti").select("source", F.col("import_name").alias("callee"), F.lit("imports").alias("type"), F.lit(0).alias("seq"))
-    by_name = resolve_names(left, nodes, 1).select("source", "target", "type")
-    imported = by_path.select("source", "target", F.lit("imports").alias("type")).union(by_name)
+    # a name means the same wherever it is imported, so names are looked up, not imports
+    names = imports.select(F.col("import_name").alias("source"), "import_name").distinct()
+    by_path = resolve_imports(names, in_files)
+    by_path = by_path.union(resolve_import_prefixes(names.join(by_path, "import_name", "left_anti"), in_files))
+    left = names.join(by_path, "import_name", "left_anti").select("source", F.col("import_name").alias("callee"), F.lit("imports").alias("type"), F.lit(0).alias("seq"))
+    meant = by_path.select(F.col("source").alias("import_name"), "target").union(resolve_names(left, nodes, 1).select("source", "target"))
+    imported = imports.join(meant, "import_name").select("source", "target", F.lit("imports").alias("type"))
     return nodes, contains.union(called).union(imported)
 
 
