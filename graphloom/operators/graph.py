@@ -124,12 +124,13 @@ def import_candidates(name) -> list:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, import_name) -> (source, import_name, target): the first file, by seq, whose path is or ends with a candidate.
 
-    Every suffix of a file's path is a key, so this is an equi-join.
+    Every suffix of a file's path is a key, so this is an equi-join. A name is looked up once, however many sources import it.
     """
     parts = F.split("file", "/", -1)
     suffixes = files.select("id", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
-    asked = imports.select("source", "import_name", F.explode(F.array_distinct(F.array(*import_candidates(F.col("import_name"))))).alias("suffix"))
-    return asked.join(suffixes, "suffix").groupBy("source", "import_name").agg(F.min_by("id", "seq").alias("target"))
+    asked = imports.select("import_name").distinct().select("import_name", F.explode(F.array_distinct(F.array(*import_candidates(F.col("import_name"))))).alias("suffix"))
+    found = asked.join(suffixes, "suffix").groupBy("import_name").agg(F.min_by("id", "seq").alias("target"))
+    return imports.select("source", "import_name").distinct().join(found, "import_name").select("source", "import_name", "target")
 
 
 def resolve_import_prefixes(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -140,8 +141,10 @@ def resolve_import_prefixes(imports: DataFrame, files: DataFrame) -> DataFrame:
     as long as some import's last part, and combines before the shuffle.
     """
     asked = imports.select("source", "import_name", F.element_at(F.split("import_name", r"\.", -1), -1).alias("prefix"))
-    ends = F.transform(F.sequence(F.lit(0), F.length("name")), lambda i: F.substring("name", 1, i))
-    first = files.select("id", "seq", F.explode(ends).alias("prefix")).join(asked.select("prefix").distinct(), "prefix", "left_semi")
+    prefixes = asked.select("prefix").distinct()
+    long = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    ends = F.transform(F.filter("lengths", lambda i: i <= F.length("name")), lambda i: F.substring("name", F.lit(1), i))
+    first = files.crossJoin(F.broadcast(long)).select("id", "seq", F.explode(ends).alias("prefix")).join(prefixes, "prefix", "left_semi")
     first = first.groupBy("prefix").agg(F.min_by("id", "seq").alias("target"))
     return asked.join(first, "prefix").select("source", "import_name", "target")
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from graphloom.functions import tokens
+from graphloom.operators import graph
+from graphloom.sources import code
 
 
 def plan_of(df):
@@ -72,3 +74,40 @@ def test_lines_are_those_of_the_sql(spark, tmp_path):
         got = {tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
         expected = set(of_sql(name, tmp_path, ["documents"]))
         assert got == expected and len(got) == len(docs)
+
+
+def spread(df):
+    """Partitions that hold rows, and the largest one's rows."""
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    return sum(n > 0 for n in sizes), max(sizes)
+
+
+def test_files_of_one_partition_are_parsed_by_all_cores(spark):
+    """A table in one row group is read by one task, which parsed it alone."""
+    k = F.col("id").cast("string")
+    text = F.concat(F.lit("from nation.rates import rate\n\n\ndef f"), k, F.lit("(x):\n    return g(x)\n"))
+    files = spark.range(6000, numPartitions=1).select(F.concat(F.lit("a/f"), k, F.lit(".py")).alias("file"), F.lit("python").alias("lang"), text.alias("text"))
+    parsed = code.parse(files)
+    parts, most = spread(parsed)
+    assert parts >= spark.sparkContext.defaultParallelism and most < 6 * 6000 // 3
+    assert parsed.where("kind = 'node'").count() == 12_000 and parsed.where("kind = 'import'").count() == 12_000
+    few = code.parse(files.limit(40))
+    assert spread(few)[0] == 1, "a few files stay where they are"
+    row = {r["kind"] + r["type"]: r for r in few.where("file = 'a/f7.py'").collect()}
+    known = tokens.counter()
+    assert row["nodefunction"]["token_count"] == known("def f7(x):\n    return g(x)") and row["nodefile"]["token_count"] == 0
+    assert (row["nodefunction"]["ordinal"], row["callcalls"]["ordinal"], row["callcalls"]["callee"]) == (1, 2, "g")
+
+
+def test_imported_names_are_looked_up_once(spark):
+    """Names are made distinct before they become candidates; repeated and many sources get what their names mean."""
+    imports = spark.range(3000).selectExpr("concat('s', id % 1500) AS source", "concat('pkg.m', id % 3) AS import_name")
+    files = spark.createDataFrame([("f0", 2, "x/pkg/m0.py", "m0.py"), ("f1", 1, "y/pkg/m0.py", "m0.py"), ("f2", 3, "pkg/m1/index.js", "index.js"), ("f3", 4, "m2_and.py", "m2_and.py")], "id string, seq int, file string, name string")
+    found = graph.resolve_imports(imports, files)
+    assert {(r["source"], r["import_name"], r["target"]) for r in found.collect()} == {(f"s{i}", f"pkg.m{i % 3}", ["f1", "f2"][i % 3]) for i in range(1500) if i % 3 < 2}
+    assert found.count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    asked = next(part for part in plan.split("Generate explode")[1:] if "array_distinct" in part.splitlines()[0])
+    assert asked.splitlines()[1].lstrip(" +-:|").startswith(("Aggregate", "Filter")) and "Aggregate [import_name" in asked
+    left = imports.where("import_name = 'pkg.m2'").limit(1)
+    assert [r["target"] for r in graph.resolve_import_prefixes(left, files).collect()] == ["f3"]
