@@ -7,7 +7,7 @@ customers with parts, events are a change feed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scrub, text, tokens
@@ -117,8 +117,8 @@ def bm25_content(spark, d):
 )
 def batch_topk(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 7)), "id")
-    return scoring.bm25(_docs(spark, d), asked).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 5).alias("score"))
+    top = scoring.bm25_top(_docs(spark, d), asked, 10)
+    return top.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in scoring.STOP_WORDS) + ")"

@@ -73,7 +73,7 @@ def dealt(df: DataFrame, key: str | Column) -> DataFrame:
     held = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
     n, most = held["n"] or 0, held["most"] or 0
     wanted = max(min(2 * cores, n // LEAST_DEALT), -(-n // MOST_DEALT))
-    return df.repartition(wanted, key) if wanted > 1 and most > 2 * max(n / cores, LEAST_DEALT) else df
+    return df.repartition(wanted, key) if wanted > 1 and most > max(1.5 * n / cores, 2 * LEAST_DEALT) else df
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

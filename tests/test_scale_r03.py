@@ -5,11 +5,13 @@ import inspect
 import os
 
 import duckdb
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from graphloom.functions import tokens
-from graphloom.operators import graph
+from graphloom.operators import graph, scoring
+from graphloom.runtime import materialize
 from graphloom.sources import code
 
 
@@ -111,3 +113,45 @@ def test_imported_names_are_looked_up_once(spark):
     assert asked.splitlines()[1].lstrip(" +-:|").startswith(("Aggregate", "Filter")) and "Aggregate [import_name" in asked
     left = imports.where("import_name = 'pkg.m2'").limit(1)
     assert [r["target"] for r in graph.resolve_import_prefixes(left, files).collect()] == ["f3"]
+
+
+def texts_of(spark, n, words=40):
+    return spark.range(n, numPartitions=1).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), F.pow(F.rand(k) * 3, 4).cast("int").cast("string")) for k in range(words)]).alias("text"))
+
+
+def test_the_first_documents_are_found_where_they_stand(spark, monkeypatch):
+    """The first ten of all scores, with ties, are those that the tasks hand on; queries too many to be sent are joined."""
+    docs = materialize(texts_of(spark, 900).union(texts_of(spark, 300).withColumn("id", F.col("id") + 5000)).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "none")], "id long, text string")), "docs")
+    asked = spark.createDataFrame([(1, "w0 w1 w7 w7"), (2, "w80"), (None, "w3 w5"), (4, "unknown"), (5, None)], "query_id int, text string")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 7)), "id")
+    every = scoring.bm25(docs, asked).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    key = lambda rows: {(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in rows}
+    expected = key(every.collect())
+    top = scoring.bm25_top(docs, asked, 10)
+    assert key(top.collect()) == expected and len(expected) == 30
+    monkeypatch.setattr(scoring, "SCORED_TOGETHER", 64)
+    monkeypatch.setattr(scoring, "COUNTED_TOGETHER", 100)
+    monkeypatch.setattr(scoring, "HELD_TERMS", 5)
+    assert key(scoring.bm25_top(docs, asked, 10).collect()) == expected
+    monkeypatch.setattr(scoring, "BAG_ROWS", 2)
+    assert key(scoring.bm25_top(docs, asked, 10).collect()) == expected
+
+
+def test_terms_of_documents_are_not_shuffled(spark, monkeypatch):
+    """What scans write grows with distinct terms, not with documents times terms, and documents of one row group are dealt out."""
+    wrote, write = {}, scoring.materialize
+
+    def watched(df, label):
+        out = write(df, label)
+        wrote[label] = out.count()
+        return out
+
+    monkeypatch.setattr(scoring, "materialize", watched)
+    docs = materialize(texts_of(spark, 4000).coalesce(1), "docs")
+    assert docs.rdd.getNumPartitions() == 1
+    scores = scoring.tfidf(docs, "w1 w2", stop_words=())
+    distinct = docs.select(F.explode(F.split("text", " ")).alias("t")).distinct().count()
+    assert wrote["term-counts"] <= 8 * (distinct + 1) < 4000
+    assert scores.count() == 4000 and spread(scores)[0] > 1
+    assert {r["id"] for r in scoring.bm25(docs, spark.createDataFrame([(0, "w77")], "query_id int, text string")).collect()} == {r["id"] for r in docs.where("text RLIKE '\\\\bw77\\\\b'").collect()}
+    assert wrote["postings"] <= 8 * (distinct + 1) + docs.where("text RLIKE '\\\\bw77\\\\b'").count()
