@@ -44,15 +44,16 @@ def _ranks_in_one_task(damping: float, max_iter: int, tol: float) -> Callable[[p
 
     def run(links: pa.Table) -> pa.Table:
         t = links.combine_chunks()
-        ids = t.filter(pc.is_null(t["degree"]))["src"]  # every node has one link to itself
+        own = t.filter(pc.is_null(t["degree"]))  # every node has one link to itself
+        ids, times = own["src"], own["times"].to_numpy()
         real = t.filter(pc.is_valid(t["degree"]))
         src, dst = (pc.index_in(real[c], value_set=ids).to_numpy() for c in ("src", "dst"))
-        degree, n = real["degree"].to_numpy(), len(ids)
-        rank = np.full(n, 1 / n)
+        share, n = real["times"].to_numpy() / real["degree"].to_numpy(), times.sum()
+        rank = np.full(len(ids), 1 / n)
         for _ in range(max_iter):
-            new = (1 - damping) / n + damping * np.bincount(dst, rank[src] / degree, minlength=n)
-            new /= new.sum()
-            moved, rank = np.abs(new - rank).sum(), new
+            new = (1 - damping) / n + damping * np.bincount(dst, rank[src] * share, minlength=len(ids))
+            new /= (new * times).sum()
+            moved, rank = (np.abs(new - rank) * times).sum(), new
             if moved < tol:
                 break
         return pa.table({"id": ids, "rank": rank})
@@ -63,40 +64,68 @@ def _ranks_in_one_task(damping: float, max_iter: int, tol: float) -> Callable[[p
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """(id, rank) on the undirected simple graph of the nodes, brought to sum 1 after every step.
 
-    Isolated nodes get (1 - damping) / n before that. The sum before it is known
-    without a look at the rows: what connected nodes hold is given on whole, and
-    isolated ones all hold the same. Every node also has an edge to itself that
-    carries the ranks it had, so a step is one join and one aggregate of the last
-    one, and a plan of several steps stays as long as they are. TOGETHER steps are
-    written as one table, of which one aggregate says after which step the ranks
-    moved less than tol. A graph of up to ONE_TASK links takes the same steps in one task.
+    Nodes whose only neighbour is the same hub hold the same rank at every step,
+    and so do isolated ones: each such class is one node that counts as many times
+    as it has members, whose rank all of them get at the end. A graph of files
+    and what they contain has few other nodes.
     """
     ids = materialize(nodes.select("id").distinct(), "pagerank-nodes")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    pairs = adjacency(restrict_edges(edges, ids))
+    pairs = materialize(adjacency(restrict_edges(edges, ids)), "pagerank-pairs")
     degree = pairs.groupBy("src").agg(F.count("*").alias("degree"))
-    own_edges = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("long").alias("degree"))
-    links = materialize(pairs.join(degree, "src").select("src", "dst", "degree").union(own_edges), "pagerank-edges")
+    ends = pairs.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("other")), "dst")
+    ends = materialize(ends.select("src", "dst", "degree", "other"), "pagerank-ends")
+    leaves = ends.where("degree = 1 AND other > 1")
+    classes = materialize(leaves.groupBy("dst").agg(F.min("src").alias("member"), F.count("*").alias("times"), F.max("other").alias("degree")), "pagerank-classes")
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    core = ends.where("NOT (degree = 1 AND other > 1) AND NOT (degree > 1 AND other = 1)").select("src", "dst", "degree", one.alias("times"))
+    isolated = ids.join(degree, ids["id"] == degree["src"], "left_anti")
+    first, alone = isolated.agg(F.min("id"), F.count("*")).first()
+    single = core.select(F.col("src").alias("id")).union(classes.select("dst")).distinct()
+    lone = ids.where(F.col("id").eqNullSafe(F.lit(first).cast(ids.schema["id"].dataType))).select("id", F.lit(alone).cast("long").alias("times")).limit(1 if alone else 0)
+    own = single.select("id", one.alias("times")).union(classes.select("member", "times")).union(lone)
+    links = core.union(classes.select("member", "dst", one, "times")).union(classes.select("dst", "member", "degree", one))
+    links = materialize(links.union(own.select("id", F.col("id").alias("dst"), none, "times")), "pagerank-edges")
+    ranks = _ranks(links, n, alone, damping, max_iter, tol, ids.schema["id"].dataType)
+    ranks = materialize(ranks, "pagerank-ranks")
+    of_class = classes.join(ranks, F.col("member") == F.col("id")).select("dst", "rank")
+    members = leaves.select(F.col("src").alias("id"), "dst").join(of_class, "dst").select("id", "rank")
+    apart = isolated.crossJoin(F.broadcast(ranks.where(F.col("id").eqNullSafe(F.lit(first).cast(ids.schema["id"].dataType))).select("rank").limit(1 if alone else 0)))
+    return ranks.join(single, "id").select("id", "rank").union(members).union(apart.select("id", "rank"))
+
+
+def _ranks(links: DataFrame, n: int, alone: int, damping: float, max_iter: int, tol: float, id_type: T.DataType) -> DataFrame:
+    """(id, rank) of nodes, some of which stand for several.
+
+    Links (src, dst, degree, times) carry the rank of src over its degree so many
+    times. The sum of a step is known without a look at the rows: what connected
+    nodes hold is given on whole, and isolated ones all hold the same. Every node
+    also has a link to itself, without a degree, that carries the ranks it had, so
+    a step is one join and one aggregate of the last one, and a plan of several
+    steps stays as long as they are; its times are the node's. TOGETHER steps are
+    written as one table, of which one aggregate says after which step the ranks
+    moved less than tol. Up to ONE_TASK links take the same steps in one task.
+    """
     if links.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        kind = T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("rank", T.DoubleType())])
+        kind = T.StructType([T.StructField("id", id_type), T.StructField("rank", T.DoubleType())])
         return links.groupBy(F.lit(0).alias("whole")).applyInArrow(_ranks_in_one_task(damping, max_iter, tol), kind)
-    alone = n - links.where("degree IS NOT NULL").select("src").distinct().count()
     share = (1 - damping) / n
-    now, isolated, done = ids.withColumn("ranks", F.array(F.lit(1.0 / n))), 1.0 / n, 0
+    now = links.where("degree IS NULL").select(F.col("src").alias("id"), F.array(F.lit(1.0 / n)).alias("ranks"))
+    isolated, done = 1.0 / n, 0
     while done < max_iter:
         steps = min(TOGETHER, max_iter - done)
         for _ in range(steps):
             whole = 1 - damping + damping * (1 - alone * isolated)
             isolated = share / whole
-            met = links.join(now, F.col("src") == F.col("id"))
-            given = F.sum(F.when(F.col("degree").isNotNull(), F.element_at("ranks", -1) / F.col("degree")).otherwise(0.0))
-            held = F.max(F.when(F.col("degree").isNull(), F.col("ranks")))
+            met = links.join(now.select("id", "ranks"), F.col("src") == F.col("id"))
+            given = F.sum(F.when(F.col("degree").isNotNull(), F.element_at("ranks", -1) * F.col("times") / F.col("degree")).otherwise(0.0))
+            held = F.max(F.when(F.col("degree").isNull(), F.struct("ranks", "times")))
             now = met.groupBy("dst").agg(given.alias("given"), held.alias("held"))
-            now = now.select(F.col("dst").alias("id"), F.concat("held", F.array((F.lit(share) + F.lit(damping) * F.col("given")) / F.lit(whole))).alias("ranks"))
+            now = now.select(F.col("dst").alias("id"), F.col("held.times").alias("times"), F.concat("held.ranks", F.array((F.lit(share) + F.lit(damping) * F.col("given")) / F.lit(whole))).alias("ranks"))
         now = materialize(now, "pagerank")
-        moved = now.agg(*[F.sum(F.abs(F.get("ranks", F.lit(k)) - F.get("ranks", F.lit(k - 1)))).alias(f"m{k}") for k in range(1, steps + 1)]).first()
+        moved = now.agg(*[F.sum(F.col("times") * F.abs(F.get("ranks", F.lit(k)) - F.get("ranks", F.lit(k - 1)))).alias(f"m{k}") for k in range(1, steps + 1)]).first()
         still = next((k for k in range(1, steps + 1) if moved[f"m{k}"] < tol), None)
         now, done = now.select("id", F.array(F.get("ranks", F.lit(still or steps))).alias("ranks")), done + steps
         if still:

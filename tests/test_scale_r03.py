@@ -5,6 +5,7 @@ import inspect
 import os
 
 import duckdb
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -155,3 +156,30 @@ def test_terms_of_documents_are_not_shuffled(spark, monkeypatch):
     assert scores.count() == 4000 and spread(scores)[0] > 1
     assert {r["id"] for r in scoring.bm25(docs, spark.createDataFrame([(0, "w77")], "query_id int, text string")).collect()} == {r["id"] for r in docs.where("text RLIKE '\\\\bw77\\\\b'").collect()}
     assert wrote["postings"] <= 8 * (distinct + 1) + docs.where("text RLIKE '\\\\bw77\\\\b'").count()
+
+
+def test_leaves_of_a_hub_are_ranked_as_one(spark, monkeypatch):
+    """Stars, pairs, loops and isolated nodes hold the ranks of a plain power iteration, in one task and by joins, and stars leave few links."""
+    wrote, write = {}, graph.materialize
+
+    def watched(df, label):
+        out = write(df, label)
+        wrote[label] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialize", watched)
+    pairs = [(0, k) for k in range(10, 400)] + [(1, k) for k in range(400, 900)] + [(0, 1), (1, 2), (2, 0), (2, 3), (5, 6), (7, 7), (8, 8), (8, 9), (10, 0)]
+    n = 1000
+    a = np.zeros((n, n))
+    for x, y in pairs:
+        a[x, y] = a[y, x] = 1
+    nodes, edges = spark.range(n), spark.createDataFrame(pairs, "source long, target long")
+    rank = np.full(n, 1 / n)
+    for _ in range(11):
+        rank = 0.15 / n + 0.85 * (a / np.maximum(a.sum(1, keepdims=True), 1)).T @ rank
+        rank /= rank.sum()
+    for limit in (200_000, 0):
+        monkeypatch.setattr(graph, "ONE_TASK", limit)
+        got = graph.pagerank(nodes, edges, max_iter=11, tol=0.0).collect()
+        assert len(got) == n and np.allclose([r["rank"] for r in sorted(got, key=lambda r: r["id"])], rank, atol=1e-13, rtol=1e-9)
+        assert wrote["pagerank-edges"] < 50
